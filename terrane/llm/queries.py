@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from terrane.llm import mixing, sharding
+from terrane.llm import mixing, quality, sharding, simhash
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_quality": quality.op2_quality,
+    "op3_simhash": simhash.op3_simhash,
     "op7_sharding": sharding.op7_sharding,
 }
 
