@@ -49,6 +49,15 @@ def forget(df: DataFrame) -> None:
             folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def packed(docs: DataFrame) -> Column:
+    """All columns of docs as one struct, so that no name among them can clash with a name used here."""
+    return F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row")
+
+
+def unpacked(df: DataFrame, *more: str) -> DataFrame:
+    return df.select("_row.*", *more)
+
+
 def word_count(text: Column) -> Column:
     return F.when(text.isNull(), F.lit(0).cast("long")).otherwise(F.regexp_count(text, F.lit(WORD)).cast("long"))
 

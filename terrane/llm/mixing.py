@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terrane.llm.common import bucket_digits, group_key, random_key, running_total, settle, table, word_count
+from terrane.llm.common import bucket_digits, group_key, packed, random_key, running_total, settle, table, unpacked, word_count
 
 MAX_EPOCHS, SEED = 3, "mix-1:"
 
@@ -67,8 +67,9 @@ def mix(docs: DataFrame, size: Column | None = None, rows: int | None = None, se
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of docs as often as the mix takes it, with the columns of docs."""
-    out = mix(docs, **options)
-    return out.where("copies > 0").withColumn("_copy", F.explode(F.expr("sequence(1L, copies)"))).select(docs.columns)
+    whole = docs.select("doc_id", "source", "text", packed(docs))
+    out = mix(whole, **options)
+    return unpacked(out.where("copies > 0").withColumn("_copy", F.explode(F.expr("sequence(1L, copies)"))))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

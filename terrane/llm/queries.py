@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from terrane.llm import mixing, quality, sharding, simhash
+from terrane.llm import mixing, quality, sharding, simhash, substrings
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_quality": quality.op2_quality,
     "op3_simhash": simhash.op3_simhash,
     "op7_sharding": sharding.op7_sharding,
+    "op9_substrings": substrings.op9_substrings,
 }
 
 SQL = {"op1_mixing": mixing.OP1_SQL}

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from terrane.llm.common import settle, table
+from terrane.llm.common import packed, settle, table, unpacked
 from terrane.llm.components import components
 
 SHINGLE, SEED, RADIUS, TILE = 4, 42, 4, 2048
@@ -173,8 +173,8 @@ def survivors(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row of docs for each component: the smallest id, then the smallest text hash."""
     keep = grouped(docs, radius).groupBy("component_id").agg(F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("i"), "th")).alias("k"))
     keep = keep.select(F.col("k.i").alias("_i"), F.col("k.th").alias("_th")).distinct()
-    keyed = docs.withColumn("_i", F.coalesce(F.col("doc_id"), F.lit(LAST))).withColumn("_th", F.xxhash64("text"))
-    return keyed.join(keep, ["_i", "_th"], "left_semi").dropDuplicates(["_i", "_th"]).select(docs.columns)
+    keyed = docs.select(F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("_i"), F.xxhash64("text").alias("_th"), packed(docs))
+    return unpacked(keyed.join(keep, ["_i", "_th"], "left_semi").dropDuplicates(["_i", "_th"]))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
