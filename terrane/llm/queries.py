@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from terrane.llm import decontamination, mixing, quality, sharding, simhash, substrings
+from terrane.llm import decontamination, mixing, quality, secrets, sharding, simhash, substrings
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_quality": quality.op2_quality,
     "op3_simhash": simhash.op3_simhash,
+    "op6_secrets": secrets.op6_secrets,
     "op7_sharding": sharding.op7_sharding,
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_substrings": substrings.op9_substrings,
