@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from terrane.llm import decontamination, mixing, quality, secrets, sharding, simhash, substrings
+from terrane.llm import decontamination, language, mixing, quality, secrets, sharding, simhash, substrings, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_quality": quality.op2_quality,
     "op3_simhash": simhash.op3_simhash,
+    "op4_language": language.op4_language,
     "op6_secrets": secrets.op6_secrets,
     "op7_sharding": sharding.op7_sharding,
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_substrings": substrings.op9_substrings,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 SQL = {"op1_mixing": mixing.OP1_SQL, "op8_decontamination": decontamination.OP8_SQL}
