@@ -6,6 +6,10 @@ All copies of a window meet there; sorting the bucket's windows counts them exac
 not hashes) and gives each the smallest doc_id that has it.  A word is removed if a window that covers it
 also starts in a document with a smaller id.
 
+Buckets share bins, and a task's super-k-mers for one bin leave as one zstd block in text order: the windows
+overlap and would be several times the corpus as plain rows.  A bin is unpacked whole; there are BINS of
+them for each shuffle partition.
+
 Hot passages: a super-k-mer that a task finds more than FEW times in a batch of texts is sent once, and its
 places are parked in rows of their own that are dealt out evenly and joined with the verdict afterwards.
 Hot minimisers (estimated on every 32nd document; placement alone depends on that, never the result) give
@@ -24,19 +28,21 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from terrane.llm.common import settle, table
 
-WIDTH, GRAM = 13, 4
-#: Places that travel along with a super-k-mer; bytes of text that one batch packs; windows of one super-k-mer; rows that are sorted together.
-FEW, BATCH_BYTES, LONGEST, CHUNK = 4, 4 << 20, 256, 40_000
+WIDTH, GRAM = 13, 3
+#: Places that travel along with a super-k-mer; bytes of text that one batch packs; windows of one super-k-mer; bins for each shuffle partition.
+FEW, BATCH_BYTES, LONGEST, BINS = 4, 12 << 20, 256, 8
 #: Documents sampled to find hot minimisers, least count there, and the most that are listed.
 EVERY, HOT_LEAST, HOT_MOST = 32, 48, 1 << 16
-PLACE = np.dtype([("doc", "<i8"), ("row", "<i8"), ("pos", "<i4")])
-PACKED = "bucket long, kmer binary, lo long, hi long, places binary, ref long"
+PLACE = np.dtype([("doc", "<i8"), ("tag", "<u4"), ("pos", "<i4")])
+BLOCK, PARKED = 0, 1
+PACKED = "bin int, kind int, ref long, blob binary"
 FOUND = "kind int, key long, doc long, start int, n int, blob binary"
 
 
@@ -94,29 +100,68 @@ def super_kmers(words: list[bytes], hot: np.ndarray) -> tuple[list[int], list[in
     return start.tolist(), count.tolist(), least[start].view(np.int64).tolist()
 
 
-def _packer(hot: np.ndarray):
+def _block(rows: list[tuple[bytes, int, list]], refs: list[int | None]) -> bytes:
+    """Super-k-mers with their buckets and places (doc, tag, pos), compressed; ref instead of places where there are many."""
+    import zstandard
+
+    few = [r is None for r in refs]
+    places = np.array([p for (_, _, own), f in zip(rows, few, strict=True) if f for p in own], dtype=PLACE)
+    many = [(r, min(own)[0], max(own)[0]) for (_, _, own), r in zip(rows, refs, strict=True) if r is not None]
+    counts = np.array([len(own) if f else 0 for (_, _, own), f in zip(rows, few, strict=True)], dtype="<u4")
+    parts = [
+        counts,
+        np.array([b & 0xFFFFFFFF for _, b, _ in rows], dtype="<u4"),
+        *(np.diff(places[c], prepend=places[c].dtype.type(0)) for c in ("doc", "tag", "pos")),
+        np.array(many, dtype="<i8").reshape(-1, 3),
+    ]
+    sizes = np.array([len(rows), len(places), len(many)], dtype="<u4")
+    return zstandard.compress(sizes.tobytes() + b"".join(x.tobytes() for x in parts) + b"\n".join(k for k, _, _ in rows))
+
+
+def _unblock(blob: bytes) -> tuple:
+    """What _block packed: counts, buckets, places, many (ref, lo, hi) and the super-k-mers."""
+    import zstandard
+
+    raw = zstandard.decompress(blob)
+    n, n_places, n_many = np.frombuffer(raw, "<u4", 3).tolist()
+    at = 12
+
+    def take(kind: str, count: int) -> np.ndarray:
+        nonlocal at
+        out = np.frombuffer(raw, kind, count, at)
+        at += out.nbytes
+        return out
+
+    counts, buckets = take("<u4", n), take("<u4", n)
+    places = np.empty(n_places, dtype=PLACE)
+    for c in ("doc", "tag", "pos"):
+        places[c] = np.cumsum(take(PLACE[c].str, n_places), dtype=PLACE[c])
+    many = take("<i8", 3 * n_many).reshape(-1, 3)
+    return counts, buckets, places, many, raw[at:].split(b"\n")
+
+
+def _packer(hot: np.ndarray, bins: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kmers: dict[bytes, list] = {}
         volume = 0
 
         def flush() -> pa.RecordBatch:
-            rows: list[tuple] = []
+            dealt: dict[int, tuple[list, list]] = {}
+            out: list[tuple] = []
             for kmer, (bucket, places) in kmers.items():
-                docs = [p[0] for p in places]
-                lo, hi = min(docs), max(docs)
-                if len(places) <= FEW:
-                    rows.append((bucket, kmer, lo, hi, np.array(places, dtype=PLACE).tobytes(), None))
-                    continue
-                ref = int.from_bytes(hashlib.blake2b(kmer + repr(places[0]).encode(), digest_size=8).digest(), "little", signed=True)
-                rows.append((bucket, kmer, lo, hi, None, ref))
-                for at in range(0, len(places), 64):
-                    rows.append((ref + at * 0x9E3779B1 & (1 << 62) - 1, None, lo, hi, np.array(places[at : at + 64], dtype=PLACE).tobytes(), ref))
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "kmer", "lo", "hi", "places", "ref"])
+                ref = None
+                if len(places) > FEW:
+                    ref = int.from_bytes(hashlib.blake2b(kmer + repr(places[0]).encode(), digest_size=8).digest(), "little", signed=True)
+                    out += [((ref + at * 0x9E3779B1 >> 8) % bins, PARKED, ref, np.array(places[at : at + 64], dtype=PLACE).tobytes()) for at in range(0, len(places), 64)]
+                rows, refs = dealt.setdefault((bucket >> 32) % bins, ([], []))
+                rows.append((kmer, bucket, places))
+                refs.append(ref)
+            out += [(k, BLOCK, None, _block(rows, refs)) for k, (rows, refs) in dealt.items()]
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["bin", "kind", "ref", "blob"])
 
         for batch in batches:
-            for doc, row, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text")), strict=True):
+            for doc, tag, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "text")), strict=True):
                 words = text.split()
                 if len(words) < WIDTH:
                     continue
@@ -127,9 +172,9 @@ def _packer(hot: np.ndarray):
                 for s, n, bucket in zip(*super_kmers(words, hot), strict=True):
                     kmer = line[(ends[s - 1] + 1 if s else 0) : ends[s + n + WIDTH - 2]]
                     if (found := kmers.get(kmer)) is None:
-                        kmers[kmer] = [bucket, [(doc, row, s)]]
+                        kmers[kmer] = [bucket, [(doc, tag, s)]]
                     else:
-                        found[1].append((doc, row, s))
+                        found[1].append((doc, tag, s))
                 volume += len(line)
                 if volume >= BATCH_BYTES:
                     yield flush()
@@ -150,7 +195,7 @@ def _hot_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _runs(places: np.ndarray, of: np.ndarray, first: np.ndarray, count: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs of removed windows: places[i] has the windows least[first[of[i]]:][:count[of[i]]]; (doc, row, start, words) of each run."""
+    """Runs of removed windows: places[i] has the windows least[first[of[i]]:][:count[of[i]]]; (doc, tag, start, words) of each run."""
     n = count[of]
     which = np.repeat(np.arange(len(of)), n)
     inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -161,7 +206,7 @@ def _runs(places: np.ndarray, of: np.ndarray, first: np.ndarray, count: np.ndarr
     at = np.flatnonzero(new)
     words = np.diff(np.concatenate((at, [len(which)]))) + WIDTH - 1
     who = which[at]
-    return places["doc"][who], places["row"][who], (places["pos"][who] + inside[at]).astype(np.int32), words.astype(np.int32)
+    return places["doc"][who], places["tag"][who].astype(np.int64), (places["pos"][who] + inside[at]).astype(np.int32), words.astype(np.int32)
 
 
 def _found(kind, key, doc, start, n, blob) -> pa.RecordBatch:
@@ -170,22 +215,26 @@ def _found(kind, key, doc, start, n, blob) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=["kind", "key", "doc", "start", "n", "blob"])
 
 
-def _resolve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Whole buckets: removed runs (kind 0), verdicts (1) and parked places (2)."""
-    parked = rows.filter(rows.column("kmer").is_null())
-    if parked.num_rows:
-        k = parked.num_rows
-        yield _found(2, parked.column("ref").to_numpy(), np.zeros(k, np.int64), np.zeros(k, np.int32), np.zeros(k, np.int32), parked.column("places").to_pylist())
-    rows = rows.filter(rows.column("kmer").is_valid())
-    if not rows.num_rows:
+def _resolve(blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """All blocks of a bin: removed runs (kind 0) and verdicts (1)."""
+    parts = [_unblock(x) for x in blocks]
+    counts, buckets, places, many = (np.concatenate(x) for x in list(zip(*parts, strict=True))[:4])
+    kmers = [k for p in parts for k in p[4]]
+    held, is_many = counts.astype(np.int64), counts == 0
+    lo, hi = np.empty(len(kmers), dtype=np.int64), np.empty(len(kmers), dtype=np.int64)
+    lo[is_many], hi[is_many] = many[:, 1], many[:, 2]
+    at = np.cumsum(held) - held
+    if len(places):
+        lo[~is_many], hi[~is_many] = (f.reduceat(places["doc"], at[~is_many]) for f in (np.minimum, np.maximum))
+    order = np.argsort(buckets, kind="stable")
+    cut = np.concatenate(([0], np.flatnonzero(np.diff(buckets[order])) + 1))
+    shared = np.minimum.reduceat(lo[order], cut) < np.maximum.reduceat(hi[order], cut)
+    rows = order[np.repeat(shared, np.diff(np.concatenate((cut, [len(order)]))))]
+    if not len(rows):
         return
-    bucket, lo, hi = (rows.column(c).to_numpy() for c in ("bucket", "lo", "hi"))
-    cut = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1))
-    shared = np.minimum.reduceat(lo, cut) < np.maximum.reduceat(hi, cut)
-    rows = rows.filter(pa.array(np.repeat(shared, np.diff(np.concatenate((cut, [len(bucket)]))))))
-    if not rows.num_rows:
-        return
-    kmers, lo, hi = rows.column("kmer").to_pylist(), rows.column("lo").to_numpy(), rows.column("hi").to_numpy()
+    refs = np.zeros(len(kmers), dtype=np.int64)
+    refs[is_many] = many[:, 0]
+    kmers, lo, hi, held, at, refs, is_many = [kmers[i] for i in rows.tolist()], lo[rows], hi[rows], held[rows], at[rows], refs[rows], is_many[rows]
     text = b" ".join(kmers)
     gaps = np.flatnonzero(np.frombuffer(text, dtype=np.uint8) == 32)
     starts, ends = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(text)]))
@@ -196,48 +245,40 @@ def _resolve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     owner = np.repeat(np.arange(len(kmers)), count)
     begin = np.arange(count.sum()) + owner * (WIDTH - 1)
     windows = [text[s:e] for s, e in zip(starts[begin].tolist(), ends[begin + WIDTH - 1].tolist(), strict=True)]
-    order = sorted(range(len(windows)), key=windows.__getitem__)
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = [windows[a] != windows[b] for a, b in zip(order[1:], order, strict=False)]
-    order_ = np.array(order)
-    heads = np.flatnonzero(new)
-    least_of = np.minimum.reduceat(lo[owner[order_]], heads)
-    least = np.empty(len(order), dtype=np.int64)
-    least[order_] = np.repeat(least_of, np.diff(np.concatenate((heads, [len(order)]))))
-    held = rows.column("places").to_pylist()
-    of = np.repeat(np.arange(len(held)), [len(p) // PLACE.itemsize if p else 0 for p in held])
+    by = sorted(range(len(windows)), key=windows.__getitem__)
+    new = np.ones(len(by), dtype=bool)
+    new[1:] = [windows[a] != windows[b] for a, b in zip(by[1:], by, strict=False)]
+    heads, sorted_ = np.flatnonzero(new), np.array(by)
+    least = np.empty(len(by), dtype=np.int64)
+    least[sorted_] = np.repeat(np.minimum.reduceat(lo[owner[sorted_]], heads), np.diff(np.concatenate((heads, [len(by)]))))
+    of = np.repeat(np.arange(len(kmers)), held)
     if len(of):
-        doc, row, start, n = _runs(np.frombuffer(b"".join(p for p in held if p), dtype=PLACE), of, first, count, least)
+        inside = np.arange(len(of)) - np.repeat(np.cumsum(held) - held, held)
+        doc, tag, start, n = _runs(places[np.repeat(at, held) + inside], of, first, count, least)
         if len(doc):
-            yield _found(0, row, doc, start, n, [None] * len(doc))
-    refs = rows.column("ref").to_pylist()
-    told = [i for i, r in enumerate(refs) if r is not None and (least[first[i] : first[i] + count[i]] < hi[i]).any()]
+            yield _found(0, tag, doc, start, n, [None] * len(doc))
+    told = [i for i in np.flatnonzero(is_many).tolist() if (least[first[i] : first[i] + count[i]] < hi[i]).any()]
     if told:
-        k = len(told)
-        yield _found(1, [refs[i] for i in told], np.zeros(k, np.int64), np.zeros(k, np.int32), np.zeros(k, np.int32), [least[first[i] : first[i] + count[i]].tobytes() for i in told])
+        zero = np.zeros(len(told), np.int64)
+        yield _found(1, refs[told], zero, zero.astype(np.int32), zero.astype(np.int32), [least[first[i] : first[i] + count[i]].tobytes() for i in told])
 
 
 def _resolver(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by bucket; CHUNK rows or more are resolved at once, up to the end of a bucket."""
-    rest: list[pa.Table] = []
-    held = 0
+    """Rows come sorted by bin; parked places pass through (kind 2)."""
+    now, blocks = None, []
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        rest.append(pa.Table.from_batches([batch]))
-        held += batch.num_rows
-        if held < CHUNK:
-            continue
-        rows = pa.concat_tables(rest)
-        bucket = rows.column("bucket").to_numpy()
-        change = np.flatnonzero(bucket[1:] != bucket[:-1])
-        if len(change):
-            last = int(change[-1]) + 1
-            yield from _resolve(rows.slice(0, last).combine_chunks())
-            rows = rows.slice(last)
-        rest, held = [rows], rows.num_rows
-    if held:
-        yield from _resolve(pa.concat_tables(rest).combine_chunks())
+        parked = batch.filter(pa.compute.equal(batch.column("kind"), PARKED))
+        if k := parked.num_rows:
+            yield _found(2, parked.column("ref").to_numpy(zero_copy_only=False), np.zeros(k, np.int64), np.zeros(k, np.int32), np.zeros(k, np.int32), parked.column("blob").to_pylist())
+        for b, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("bin", "kind", "blob")), strict=True):
+            if b != now:
+                if blocks:
+                    yield from _resolve(blocks)
+                now, blocks = b, []
+            if kind == BLOCK:
+                blocks.append(blob)
+    if blocks:
+        yield from _resolve(blocks)
 
 
 def _unpark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,23 +286,30 @@ def _unpark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blob, verdict in zip(batch.column("places").to_pylist(), batch.column("least").to_pylist(), strict=True):
             places, least = np.frombuffer(blob, dtype=PLACE), np.frombuffer(verdict, dtype=np.int64)
             zero = np.zeros(len(places), dtype=np.int64)
-            doc, row, start, n = _runs(places, zero, zero[:1], np.array([len(least)]), least)
-            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(doc), pa.array(start), pa.array(n)], names=["key", "doc", "start", "n"])
+            doc, tag, start, n = _runs(places, zero, zero[:1], np.array([len(least)]), least)
+            yield pa.RecordBatch.from_arrays([pa.array(tag), pa.array(doc), pa.array(start), pa.array(n)], names=["key", "doc", "start", "n"])
+
+
+def _tag() -> Column:
+    """Tells apart rows that share an id: 32 bits of a hash of the text."""
+    return F.xxhash64("text").bitwiseAND(0xFFFFFFFF)
 
 
 def removed_runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, start, n): runs of words to remove; row is a hash of id and text.  Runs may overlap."""
-    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("binary").alias("text"))
-    sampled = rows.where(F.pmod(F.xxhash64("row"), F.lit(EVERY)) == 0).select("text").mapInArrow(_hot_counter, "bucket long, n long")
+    """(doc_id, tag, start, n): runs of words to remove.  Runs may overlap."""
+    spark = docs.sparkSession
+    bins = BINS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", _tag().alias("tag"), F.col("text").cast("binary").alias("text"))
+    sampled = rows.where(F.pmod(F.xxhash64("doc_id", "tag"), F.lit(EVERY)) == 0).select("text").mapInArrow(_hot_counter, "bucket long, n long")
     # No more than HOT_MOST longs come to the driver.
     hot = sampled.groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_LEAST).orderBy(F.desc("n"), "bucket").limit(HOT_MOST).collect()
     listed = np.sort(np.array([r.bucket for r in hot], dtype=np.int64).view(np.uint64))
-    packed = rows.mapInArrow(_packer(listed), PACKED)
-    found = settle(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_resolver, FOUND))
+    blocks = rows.mapInArrow(_packer(listed, bins), PACKED)
+    found = settle(blocks.repartition("bin").sortWithinPartitions("bin").mapInArrow(_resolver, FOUND))
     direct = found.where("kind = 0").select("key", "doc", "start", "n")
     verdicts = found.where("kind = 1").select("key", F.col("blob").alias("least"))
     parked = found.where("kind = 2").select("key", F.col("blob").alias("places")).join(verdicts, "key").select("places", "least")
-    return direct.union(parked.mapInArrow(_unpark, "key long, doc long, start int, n int")).select(F.col("doc").alias("doc_id"), F.col("key").alias("row"), "start", "n")
+    return direct.union(parked.mapInArrow(_unpark, "key long, doc long, start int, n int")).select(F.col("doc").alias("doc_id"), F.col("key").alias("tag"), "start", "n")
 
 
 @F.arrow_udf(StructType([StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())]))
@@ -282,9 +330,9 @@ def _cut(text: pa.Array, starts: pa.Array, lengths: pa.Array) -> pa.Array:
 
 def cut(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept, the words that stay joined by one space, of each row of docs."""
-    runs = removed_runs(docs).groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
-    joined = rows.join(runs, ["doc_id", "row"], "left")
+    runs = removed_runs(docs).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    rows = docs.select("doc_id", _tag().alias("tag"), "text")
+    joined = rows.join(runs, ["doc_id", "tag"], "left")
     return joined.select("doc_id", _cut(F.coalesce(F.col("text"), F.lit("")).cast("binary"), F.col("runs.start"), F.col("runs.n")).alias("c")).select("doc_id", "c.*")
 
 
