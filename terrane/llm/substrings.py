@@ -290,17 +290,19 @@ def _unpark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(tag), pa.array(doc), pa.array(start), pa.array(n)], names=["key", "doc", "start", "n"])
 
 
-def _tag() -> Column:
-    """Tells apart rows that share an id: 32 bits of a hash of the text."""
-    return F.xxhash64("text").bitwiseAND(0xFFFFFFFF)
+def _tag(docs: DataFrame) -> Column:
+    """Tells apart rows that share an id: 32 bits of a hash of the text, or 0 where no id has two texts, as then it would only be carried along."""
+    tags = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("tag")).groupBy("doc_id").agg(F.min("tag").alias("a"), F.max("tag").alias("b"))
+    two = tags.where("a != b").limit(1).count() > 0
+    return F.xxhash64("text").bitwiseAND(0xFFFFFFFF) if two else F.lit(0).cast("long")
 
 
-def removed_runs(docs: DataFrame) -> DataFrame:
+def removed_runs(docs: DataFrame, tag: Column) -> DataFrame:
     """(doc_id, tag, start, n): runs of words to remove.  Runs may overlap."""
     spark = docs.sparkSession
     bins = BINS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", _tag().alias("tag"), F.col("text").cast("binary").alias("text"))
-    sampled = rows.where(F.pmod(F.xxhash64("doc_id", "tag"), F.lit(EVERY)) == 0).select("text").mapInArrow(_hot_counter, "bucket long, n long")
+    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", tag.alias("tag"), F.col("text").cast("binary").alias("text"))
+    sampled = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(EVERY)) == 0).select("text").mapInArrow(_hot_counter, "bucket long, n long")
     # No more than HOT_MOST longs come to the driver.
     hot = sampled.groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_LEAST).orderBy(F.desc("n"), "bucket").limit(HOT_MOST).collect()
     listed = np.sort(np.array([r.bucket for r in hot], dtype=np.int64).view(np.uint64))
@@ -330,8 +332,9 @@ def _cut(text: pa.Array, starts: pa.Array, lengths: pa.Array) -> pa.Array:
 
 def cut(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept, the words that stay joined by one space, of each row of docs."""
-    runs = removed_runs(docs).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    rows = docs.select("doc_id", _tag().alias("tag"), "text")
+    tag = _tag(docs)
+    runs = removed_runs(docs, tag).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    rows = docs.select("doc_id", tag.alias("tag"), "text")
     joined = rows.join(runs, ["doc_id", "tag"], "left")
     return joined.select("doc_id", _cut(F.coalesce(F.col("text"), F.lit("")).cast("binary"), F.col("runs.start"), F.col("runs.n")).alias("c")).select("doc_id", "c.*")
 

@@ -46,6 +46,8 @@ def test_against_brute_force(spark, documents, tables, monkeypatch, few):
     if not few:  # every bucket that the sample sees counts as hot
         monkeypatch.setattr(substrings, "HOT_LEAST", 1)
         monkeypatch.setattr(substrings, "BATCH_BYTES", 20_000)
+        rows.append((rows[5][0], rows[9][1]))  # one id, two texts
+        docs = documents(rows)
     out = substrings.op9_substrings(spark, tables(documents=docs)).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out), key=str) == slow(rows)
 
