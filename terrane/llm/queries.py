@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from terrane.llm import decontamination, language, mixing, quality, secrets, sharding, simhash, substrings, toxicity
+from terrane.llm import decontamination, extraction, language, mixing, quality, secrets, sharding, simhash, substrings, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_quality": quality.op2_quality,
     "op3_simhash": simhash.op3_simhash,
     "op4_language": language.op4_language,
+    "op5_extraction": extraction.op5_extraction,
     "op6_secrets": secrets.op6_secrets,
     "op7_sharding": sharding.op7_sharding,
     "op8_decontamination": decontamination.op8_decontamination,
