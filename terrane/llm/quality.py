@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from terrane.llm.common import random_key, table
+from terrane.llm.common import packed, random_key, table, unpacked
 
 SAMPLE, MIN_WORDS, WINDOW, SEED = 20_000, 50, 3, "quality-1:"
 #: Limits of the learner: candidate thresholds of a feature, rules, conditions of a rule, covered rows and precision that a rule needs.
@@ -198,6 +198,12 @@ def judged(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     return with_statistics(docs).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
 
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that are kept, with rules learned from those of them that are labelled."""
+    rows = docs.select("doc_id", "text", packed(docs))
+    return unpacked(judged(rows, learn_rules(rows, labels)).where("kept"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = learn_rules(docs, table(spark, sf_dir, "labels"))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm.common import bucket_digits, group_key, random_key, running_total, settle, table
+from terrane.llm.common import bucket_digits, group_key, packed, random_key, running_total, settle, table
 
 SHARDS, SEED = 8, "shard-1:"
 
@@ -47,6 +47,13 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, rows: in
     return out.withColumn("slot", (F.col("_place") - start).cast("long")).withColumn("grown_shard", F.lit(None).cast("int")).drop("_group", "_key", "_bucket", "_rank", "_n", "_fraction", "_all", "_place")
 
 
+def sharded(docs: DataFrame, **options) -> DataFrame:
+    """docs with columns shard and slot after its own."""
+    whole = measured(docs.select("doc_id", "source", "text", packed(docs))).drop("text")
+    own = [f"_row.`{c}`" for c in docs.columns if c not in ("shard", "slot")]  # such columns of docs give way
+    return interleave(whole, **options).select(*own, "shard", "slot")
+
+
 def write_shards(docs: DataFrame, path: str, **options) -> None:
     """One folder for each shard, its files in slot order."""
     out = interleave(measured(docs), **options)
