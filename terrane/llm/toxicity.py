@@ -29,10 +29,10 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, S
 
 from terrane.llm.common import held_out, random_key, table
 
-TRAIN_ROWS, FEATURES, SEGMENTS, STRETCH, SEED = 20_000, 20_000, 40, 12, "toxicity-1:"
+TRAIN_ROWS, FEATURES, SEGMENTS, STRETCH, SEED = 10_000, 6_000, 12, 5, "toxicity-1:"
 #: Beginnings of a word that are features; documents a feature needs; share of toxic documents, at equal class sizes, that makes evidence.
 PREFIXES, LEAST_DOCS, SUSPECT, CERTAIN = range(3, 9), 4, 0.75, 0.93
-STEPS, RATE, RIDGE = 150, 0.15, 1e-4
+STEPS, RATE, RIDGE, CHUNK = 120, 0.15, 1e-4, 4096
 CUT, MEMO = 0.3, 200_000
 TOKEN = re.compile(r"[^\W\d_]+")
 
@@ -143,38 +143,44 @@ class Field:
 def train(known: list[str], evidence: np.ndarray, rows: list) -> Field:
     """The field from segments (key, toxic, counts, found); evidence: of each feature, the share of toxic documents."""
     field = Field()
-    field_rows = sorted((r for r in rows if r.counts), key=lambda r: (r.key, r.toxic, r.counts, r.found))
+    field_rows = sorted((r for r in rows if r.counts), key=lambda r: (len(r.counts), r.key, r.toxic, r.counts, r.found))
     toxic_of = {r.key: r.toxic for r in rows}
     if field_rows and len(set(toxic_of.values())) == 2:
-        real = np.array([len(r.counts) for r in field_rows])
-        width = int(real.max())
-        per = np.zeros((len(real), width), dtype=np.int64)
-        for i, r in enumerate(field_rows):
-            per[i, : real[i]] = r.counts
-        feature = np.concatenate([np.array(r.found, dtype=np.int64) for r in field_rows])
-        token = np.repeat(np.arange(per.size), per.ravel())
-        best = np.zeros(per.size)
-        np.maximum.at(best, token, evidence[feature])
-        toxic = np.array([r.toxic for r in field_rows])[:, None] > 0
-        label = (best.reshape(per.shape) >= CERTAIN) & toxic
-        inside = np.arange(width) < real[:, None]
-        pairs = inside[:, 1:]
-        seen = np.array([[((label[:, :-1] == i) & (label[:, 1:] == j) & pairs).sum() for j in (0, 1)] for i in (0, 1)], dtype=float)
+        parts = []
+        for at in range(0, len(field_rows), CHUNK):  # of like length, so that little is padding
+            some = field_rows[at : at + CHUNK]
+            real = np.array([len(r.counts) for r in some])
+            per = np.zeros((len(some), int(real.max())), dtype=np.int64)
+            for i, r in enumerate(some):
+                per[i, : real[i]] = r.counts
+            feature = np.concatenate([np.array(r.found, dtype=np.int64) for r in some])
+            token = np.repeat(np.arange(per.size), per.ravel())
+            best = np.zeros(per.size)
+            np.maximum.at(best, token, evidence[feature])
+            label = (best.reshape(per.shape) >= CERTAIN) & (np.array([r.toxic for r in some])[:, None] > 0)
+            inside = np.arange(per.shape[1]) < real[:, None]
+            seen = np.array([[((label[:, :-1] == i) & (label[:, 1:] == j) & inside[:, 1:]).sum() for j in (0, 1)] for i in (0, 1)], dtype=float)
+            parts.append((real, per.shape, feature, token, label & inside, seen, (per > 0) & inside))
+        total = float(sum(p[0].sum() for p in parts))
         w, bias, step = np.zeros(len(known)), -3.0, np.zeros((2, 2))
         moments = [np.zeros(len(known) + 5), np.zeros(len(known) + 5)]
-        total = float(inside.sum())
         for k in range(1, STEPS + 1):
-            emit = bias + np.bincount(token, w[feature], per.size).reshape(per.shape)
-            p, moves, _ = forward_backward(emit, real, step)
-            rest = (label & inside) - p
-            grad = np.concatenate((np.bincount(feature, rest.ravel()[token], len(known)) - RIDGE * total * w / max(1, len(known)), [rest.sum()], (seen - moves).ravel())) / total
+            grad = np.concatenate((-RIDGE * total * w / max(1, len(known)), np.zeros(5)))
+            for real, shape, feature, token, label, seen, _ in parts:
+                p, moves, _ = forward_backward(bias + np.bincount(token, w[feature], shape[0] * shape[1]).reshape(shape), real, step)
+                rest = label - p
+                grad += np.concatenate((np.bincount(feature, rest.ravel()[token], len(known)), [rest.sum()], (seen - moves).ravel()))
+            grad /= total
             moments[0] = 0.9 * moments[0] + 0.1 * grad
             moments[1] = 0.99 * moments[1] + 0.01 * grad**2
             move = RATE * (moments[0] / (1 - 0.9**k)) / (np.sqrt(moments[1] / (1 - 0.99**k)) + 1e-9)
             w, bias, step = w + move[: len(known)], bias + move[len(known)], step + move[-4:].reshape(2, 2)
         field.weights, field.bias, field.step = dict(zip(known, w.tolist(), strict=True)), float(bias), step - step[0, 0]
-        p, _, _ = forward_backward(bias + np.bincount(token, w[feature], per.size).reshape(per.shape), real, step)
-        clean = np.where((per > 0) & inside, np.log1p(-np.clip(p, 0, 1 - 1e-9)), 0).sum(axis=1)
+        cleans = []
+        for real, shape, feature, token, _, _, active in parts:
+            p, _, _ = forward_backward(bias + np.bincount(token, w[feature], shape[0] * shape[1]).reshape(shape), real, step)
+            cleans.append(np.where(active, np.log1p(-np.clip(p, 0, 1 - 1e-9)), 0).sum(axis=1))
+        clean = np.concatenate(cleans)
         by_doc: dict[str, float] = {}
         for r, c in zip(field_rows, clean.tolist(), strict=True):
             by_doc[r.key] = by_doc.get(r.key, 0.0) + c
