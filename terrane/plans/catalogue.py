@@ -1,11 +1,15 @@
-"""Registry of the layer and tile queries with their SQL."""
+"""Registry of the layer, tile and catalogue queries with their SQL."""
 
 from __future__ import annotations
 
+from terrane.plans import layers, tables, tiles
+
+PARTS = (layers, tiles, tables)
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for part in PARTS for k, f in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: s for part in PARTS for k, s in part.SQL.items()}
