@@ -17,4 +17,10 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
-SQL = {"op1_mixing": mixing.OP1_SQL, "op8_decontamination": decontamination.OP8_SQL}
+SQL = {
+    "op1_mixing": mixing.OP1_SQL,
+    "op6_secrets": secrets.OP6_SQL,
+    "op7_sharding": sharding.OP7_SQL,
+    "op8_decontamination": decontamination.OP8_SQL,
+    "op9_substrings": substrings.OP9_SQL,
+}

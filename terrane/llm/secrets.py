@@ -29,26 +29,38 @@ KINDS = {
     "access": (r"AKIA[A-Z0-9]+", 0, 16),
     "hex": (r"[0-9a-f]{32,}", 0, 32),
     "ident": (r"""(?:[Uu][Ss][Ee][Rr](?:[_-]?[Nn][Aa][Mm][Ee]|[_-]?[Ii][Dd])?|[Ll][Oo][Gg][Ii][Nn]|[Cc][Ll][Ii][Ee][Nn][Tt][_-]?[Ii][Dd]|[Aa][Cc][Cc][Oo][Uu][Nn][Tt](?:[_-]?[Ii][Dd])?|[Aa][Cc][Cc][Ee][Ss][Ss][_-]?[Kk][Ee][Yy](?:[_-]?[Ii][Dd])?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}""", 0, 6),
-    "key": (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]*[0-9])(?=[A-Za-z0-9+/_=-]*[a-z])(?=[A-Za-z0-9+/_=-]*[A-Z])[A-Za-z0-9+/_=-]{20,}", 0, 20),
-    "endpoint": (r"""(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?)://[^\x20\x09-\x0D"'<>]+|(?<![a-z0-9.-])(?:[a-z0-9-]+\.)+[a-z]{2,}:[0-9]{2,5}(?![A-Za-z0-9])""", 0, 8),
+    "key": (r"[A-Za-z0-9+/_=-]{20,}", 0, 20),
+    "endpoint": (r"""(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?)://[^\x20\x09-\x0D"'<>]+|(?:[a-z0-9-]+\.)+[a-z]{2,}:[0-9]{2,5}""", 0, 8),
 }
+#: What a loose key has to contain besides its length.
+MIXED = ("[0-9]", "[a-z]", "[A-Z]")
 BREAK = r"\n[\x20\x09\x0B-\x0D]*\n"
 STRONG = ("assign", "access", "hex")
 
 
-def _pieces(text: Column, pattern: str, group: int) -> Column:
-    """(gap, length, part) of each match, left to right: the code points between it and the one before, of it, and of the group."""
+def _pieces(text: Column, pattern: str, group: int, contains: tuple[str, ...] = ()) -> Column:
+    """(gap, size, part) of each match, left to right: the code points between it and the one before, of it, and of the group.
+
+    part is 0 for a match that lacks one of `contains`.
+    """
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     rows = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("g"), found.alias("f"), parts.alias("p"))
-    sizes = F.transform(rows, lambda x: F.struct(F.length(x["g"]).alias("gap"), F.length(x["f"]).alias("size"), F.length(x["p"]).alias("part")))
+
+    def sized(x: Column) -> Column:
+        part = F.length(x["p"])
+        for pattern in contains:
+            part = F.when(x["p"].rlike(pattern), part).otherwise(0)
+        return F.struct(F.length(x["g"]).alias("gap"), F.length(x["f"]).alias("size"), part.alias("part"))
+
+    sizes = F.transform(rows, sized)
     return F.when(text.rlike(pattern), sizes)
 
 
 def scanned(docs: DataFrame) -> DataFrame:
     """(doc_id, row, found) for each row of docs: found has the pieces by kind, or is null where there are none; row is a hash of id and text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    kinds = {k: _pieces(F.col("t"), p, g) for k, (p, g, _) in KINDS.items()}
+    kinds = {k: _pieces(F.col("t"), p, g, MIXED if k == "key" else ()) for k, (p, g, _) in KINDS.items()}
     kinds["access"] = F.when(F.col("t").contains("AKIA"), kinds["access"])
     kinds["endpoint"] = F.when(F.col("t").contains(":"), kinds["endpoint"])
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), text.alias("t")).select("doc_id", "row", "t", *[c.alias(f"f_{k}") for k, c in kinds.items()])
@@ -104,3 +116,33 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
+
+
+def _sql() -> str:
+    """The same spans in DuckDB SQL, from the same patterns."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    found = []
+    for rank, (kind, (pattern, group, least)) in enumerate([*KINDS.items(), ("break", (BREAK, 0, 0))]):
+        mixed = " AND ".join(f"regexp_matches(f[i], '{p}')" for p in MIXED) if kind == "key" else "true"
+        part = f"length(regexp_extract(f[i], {quoted(pattern)}, {group}))"
+        found.append(f"SELECT rid, {99 if kind == 'break' else rank} AS rank, '{kind}' AS kind, i, length(g[i]) AS gap, length(f[i]) AS size, {part} >= {least} AND {mixed} AS good FROM (SELECT rid, g, f, unnest(range(1, len(f) + 1)) AS i FROM (SELECT rid, string_split_regex(t, {quoted(pattern)}) AS g, regexp_extract_all(t, {quoted(pattern)}) AS f FROM d))")
+    strong = "kind IN ('assign', 'access', 'hex')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+p AS ({" UNION ALL ".join(found)}),
+s AS (SELECT *, sum(gap + size) OVER (PARTITION BY rid, rank ORDER BY i) AS e FROM p),
+n AS (SELECT rid, rank, kind, e - size AS b, e,
+        max(CASE WHEN {strong} THEN e END) OVER f AS before, count(CASE WHEN kind = 'break' THEN 1 END) OVER f AS scope,
+        min(CASE WHEN {strong} THEN e - size END) OVER (PARTITION BY rid ORDER BY e - size DESC, rank DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS after
+      FROM s WHERE good WINDOW f AS (PARTITION BY rid ORDER BY e - size, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT * FROM n WHERE kind <> 'break' AND ({strong} OR NOT (coalesce(before, 0) > b OR coalesce(after, e) < e))),
+l AS (SELECT *, bool_or(kind IN ('access', 'ident')) OVER r AS ident, bool_or(kind IN ('assign', 'hex', 'key')) OVER r AS secret
+      FROM c WINDOW r AS (PARTITION BY rid, scope ORDER BY b RANGE BETWEEN {REACH} PRECEDING AND {REACH} FOLLOWING)),
+k AS (SELECT *, kind || ':' || CAST(b AS BIGINT) || ':' || CAST(e AS BIGINT) AS x FROM l
+      WHERE {strong} OR (kind = 'ident' AND secret) OR (kind = 'key' AND ident) OR (kind = 'endpoint' AND ident AND secret)),
+a AS (SELECT rid, {", ".join(f"count(CASE WHEN kind = '{k}' THEN 1 END) AS n_{k}" for k in STRONG)}, string_agg(CASE WHEN {strong} THEN x END, ',' ORDER BY b, rank, e) AS base, string_agg(x, ',' ORDER BY b, rank, e) AS spans FROM k GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in STRONG)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (rid)
+"""
+
+
+OP6_SQL = _sql()

@@ -63,3 +63,16 @@ def write_shards(docs: DataFrame, path: str, **options) -> None:
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     thin = settle(measured(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "text_crc32"))
     return interleave(thin).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+#: DuckDB has no crc32; it is folded over the bytes with the usual table, which is built from its polynomial.
+OP7_SQL = r"""
+WITH c AS (SELECT list(v ORDER BY b) AS crc FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS v FROM (SELECT CAST(range AS BIGINT) AS b FROM range(256)))),
+t AS (SELECT doc_id, source, coalesce(text, '') AS text, substring(md5('shard-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 16) AS k FROM documents),
+d AS (SELECT doc_id, source, k, octet_length(encode(text)) + 1 AS size,
+        xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST(('0x' || h) AS BIGINT))), lambda x, y: xor(x >> 8, crc[(xor(x, y) & 255) + 1])), 4294967295) AS text_crc32
+      FROM t, c),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY k, doc_id NULLS FIRST, size, text_crc32) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM d),
+g AS (SELECT *, row_number() OVER (ORDER BY CAST(2 * r + 1 AS DOUBLE) / CAST(2 * n AS DOUBLE), source NULLS LAST, k, doc_id NULLS FIRST, size, text_crc32) - 1 AS place, count(*) OVER () AS total FROM r)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'rows' AS law, CAST(place * 8 // total AS INTEGER) AS shard, CAST(place - ((place * 8 // total) * total + 7) // 8 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM g
+"""

@@ -342,3 +342,14 @@ def cut(docs: DataFrame) -> DataFrame:
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = cut(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+v AS (SELECT rid, doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 11)) AS i FROM d WHERE doc_id IS NOT NULL AND len(w) >= 13)),
+m AS (SELECT s, min(doc_id) AS least FROM v GROUP BY s),
+g AS (SELECT DISTINCT rid, i + j AS nth FROM (SELECT rid, i, unnest(range(13)) AS j FROM v JOIN m USING (s) WHERE least < doc_id)),
+k AS (SELECT x.rid, x.nth, x.word FROM (SELECT rid, unnest(range(1, len(w) + 1)) AS nth, unnest(w) AS word FROM d) AS x ANTI JOIN g ON g.rid = x.rid AND g.nth = x.nth),
+a AS (SELECT rid, count(*) AS n, string_agg(word, ' ' ORDER BY nth) AS kept FROM k GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN a USING (rid)
+"""

@@ -27,7 +27,7 @@ def slow_weak(text):
     for k in ("ident", "key", "endpoint"):
         pattern, _, least = secrets.KINDS[k]
         for m in re.finditer(pattern, text, re.A):
-            if len(m[0]) >= least and not any(s < m.end() and m.start() < e for s, e, _ in base):
+            if len(m[0]) >= least and (k != "key" or all(re.search(p, m[0]) for p in secrets.MIXED)) and not any(s < m.end() and m.start() < e for s, e, _ in base):
                 parts.append((m.start(), m.end(), k))
     scope = lambda s: sum(b < s for b in breaks)
     near = lambda p, kinds: any(q[2] in kinds and abs(q[0] - p[0]) <= secrets.REACH and scope(p[0]) == scope(q[0]) for q in parts)
