@@ -64,41 +64,46 @@ class Model:
         counts: list[dict[str, np.ndarray]] = [{} for _ in range(ORDER + 1)]
         for size, gram, lang, n in rows:
             counts[size].setdefault(gram, np.zeros(len(at)))[at[lang]] += n
-        self.logs = []
+        #: Log frequencies of words (order 0) and n-grams, a tuple with one for each language.
+        self.logs: list[dict[str, tuple[float, ...]]] = []
         for found in counts:
             total = sum(found.values()) if found else 0
-            self.logs.append({g: np.log((c + 0.05) / (total + 0.05 * len(found))) for g, c in found.items()})
+            self.logs.append({g: tuple(np.log((c + 0.05) / (total + 0.05 * len(found))).tolist()) for g, c in found.items()})
 
-    def word(self, word: str) -> np.ndarray | None:
+    def word(self, word: str) -> tuple[float, ...] | None:
         """Relative log frequencies of a lower-case word, the best at 0; None if it has nothing that is known."""
         v = self.logs[0].get(word)
         if v is None:
-            by_order: dict[int, list[str]] = {}
-            for order, g in grams(word):
-                by_order.setdefault(order, []).append(g)
-            for order in range(ORDER, 0, -1):
-                known = [x for g in by_order.get(order, ()) if (x := self.logs[order].get(g)) is not None]
+            marked = f"<{word}>"
+            for order in range(min(ORDER, len(marked)), 0, -1):
+                get = self.logs[order].get
+                known = [x for i in range(len(marked) - order + 1) if (x := get(marked[i : i + order])) is not None]
                 if known:
-                    v = np.mean(known, axis=0)
+                    v = tuple([sum(c) / len(known) for c in zip(*known, strict=True)])
                     break
-        return None if v is None else v - v.max()
+            else:
+                return None
+        top = max(v)
+        return tuple([x - top for x in v])
 
 
 def _predictor(shared):
-    vectors: list[np.ndarray] = []
+    #: What the worker has looked up so far: the row of each word in `rows`, -1 for a word that tells nothing.
     memo: dict[str, int] = {}
-
-    def number(model: Model, word: str) -> int:
-        if len(memo) >= MEMO:
-            memo.clear()
-            vectors.clear()
-        v = model.word(word) if any(map(str.isalpha, word)) else None
-        if v is None:
-            memo[word] = -1
-            return -1
-        vectors.append(v)
-        memo[word] = len(vectors) - 1
-        return len(vectors) - 1
+    rows: list[np.ndarray] = []
+    used = [0]
+
+    def learn(model: Model, words: list[str]) -> None:
+        if not rows:
+            rows.append(np.zeros((MEMO, max(1, len(model.langs)))))
+        for w in words:
+            v = model.word(w) if any(map(str.isalpha, w)) else None
+            if v is None:
+                memo[w] = -1
+            else:
+                rows[0][used[0]] = v
+                memo[w] = used[0]
+                used[0] += 1
 
     def predict(model: Model, text: str | None) -> tuple[str, float]:
         found = LETTERS.findall((text or "").lower())
@@ -106,19 +111,17 @@ def _predictor(shared):
             return "und", 0.0
         total, letters = np.zeros(len(model.langs)), False
         for part in range(0, len(found), 50_000):
-            here = []
-            for w in found[part : part + 50_000]:
-                k = memo.get(w)
-                if k is None:
-                    if len(memo) >= MEMO:  # what was numbered so far goes with the memo
-                        total += np.array([vectors[i] for i in here]).sum(axis=0) if here else 0
-                        letters, here = letters or bool(here), []
-                    k = number(model, w)
-                if k >= 0:
-                    here.append(k)
-            if here:
-                total += np.array([vectors[i] for i in here]).sum(axis=0)
-                letters = True
+            here = found[part : part + 50_000]
+            new = {w for w in here if w not in memo}
+            if len(memo) + len(new) > MEMO:
+                memo.clear()
+                used[0] = 0
+                new = set(here)
+            learn(model, sorted(new))
+            at = np.array([memo[w] for w in here])
+            at = at[at >= 0]
+            total += rows[0][at].sum(axis=0)
+            letters = letters or len(at) > 0
         if not letters and not any(map(str.isalpha, "".join(found))):
             return "und", 0.0
         best = int(total.argmax())
