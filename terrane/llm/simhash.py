@@ -165,7 +165,8 @@ def grouped(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     linked = nodes.join(member, "fp")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     of_linked = linked.join(least, "root").select("fp", "component_id")
-    named = nodes.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # Written, so that the join below has a plain exchange on either side, which is split where one fingerprint has many rows.
+    named = settle(nodes.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
     return thin.join(named, "fp")
 
 
