@@ -106,6 +106,15 @@ def header_envelope(blob: Column) -> Column:
     return F.when(there, F.struct(*values))
 
 
+def once(value: Column) -> Column:
+    """value, marked as not deterministic, so that the optimizer keeps it a column of its own.
+
+    A filter on a column derived from it would else be moved below, with the whole expression copied into
+    each comparison until the generated method outgrows its limit.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def with_header_envelope(df: DataFrame, blob: str, names: tuple[str, ...] = ("minx", "maxx", "miny", "maxy")) -> DataFrame:
     """df with the columns of header_envelope(), decoded in steps: flags, raw bits, doubles.
 
@@ -115,10 +124,12 @@ def with_header_envelope(df: DataFrame, blob: str, names: tuple[str, ...] = ("mi
     b = F.col(blob)
     step = df.withColumn("_flags", flags(b)).withColumn("_at", body_offset(b))
     there = (F.shiftright("_flags", 1).bitwiseAND(7) > 0) & F.col("_at").isNotNull() & (F.col("_flags").bitwiseAND(EMPTY) == 0)
-    step = step.withColumn("_raw", F.when(there, F.hex(F.substring(b, 9, 32)))).withColumn("_little", F.col("_flags").bitwiseAND(LITTLE) == 1)
-    pairs = lambda k: F.concat(*[F.substring("_raw", 16 * k + 15 - 2 * j, 2) for j in range(8)])
-    bits = {f"_bits{k}": F.conv(F.when(F.col("_little"), pairs(k)).otherwise(F.substring("_raw", 16 * k + 1, 16)), 16, -10).cast("long") for k in range(4)}
-    out = step.withColumns(bits).withColumns({n: _double(F.col(f"_bits{k}")) for k, n in enumerate(names)})
+    raw = F.hex(F.substring(b, 9, 32))
+    swapped = F.regexp_replace(F.reverse(raw), "(.)(.)", "$2$1")  # the bytes from last to first
+    step = step.withColumn("_little", F.col("_flags").bitwiseAND(LITTLE) == 1).withColumn("_raw", once(F.when(there, F.when(F.col("_little"), swapped).otherwise(raw))))
+    first = lambda k: F.when(F.col("_little"), 49 - 16 * k).otherwise(16 * k + 1)
+    bits = {f"_bits{k}": once(F.conv(F.substring(F.col("_raw"), first(k), F.lit(16)), 16, -10).cast("long")) for k in range(4)}
+    out = step.withColumns(bits).withColumns({n: once(_double(F.col(f"_bits{k}"))) for k, n in enumerate(names)})
     return out.drop("_flags", "_at", "_raw", "_little", *bits)
 
 
