@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrane.functions import codec, convert, names, types
+from terrane.functions.grid import Extent, is_power_of_two, matrix_faults
 from terrane.operators import index
 from terrane.operators.layer import SIDECAR, Layer, LayerError, next_fids
-from terrane.operators.pyramid import upsert
+from terrane.operators.pyramid import Pyramid, upsert
+from terrane.operators.relations import add_relation, check_references
 
 CONTENTS = "table_name string, data_type string, identifier string, description string, last_change timestamp, min_x double, min_y double, max_x double, max_y double, srs_id int"
 GEOMETRY_COLUMNS = "table_name string, column_name string, geometry_type_name string, srs_id int, z int, m int"
@@ -330,6 +332,116 @@ class Container:
         return other, sorted(set(self.state["tables"]) - set(kept) - set(CATALOGUE))
 
 
+MATRIX_SET = "table_name string, srs_id int, min_x double, min_y double, max_x double, max_y double"
+MATRIX = "table_name string, zoom_level long, matrix_width long, matrix_height long, tile_width long, tile_height long, pixel_x_size double, pixel_y_size double"
+TILES = "zoom_level long, tile_column long, tile_row long, tile_data binary"
+METADATA = "id long, md_scope string, md_standard_uri string, mime_type string, metadata string"
+REFERENCES = "reference_scope string, table_name string, column_name string, row_id_value long, timestamp timestamp, md_file_id long, md_parent_id long"
+RELATIONS = "id long, base_table_name string, base_primary_column string, related_table_name string, related_primary_column string, relation_name string, mapping_table_name string"
+DATA_COLUMNS = "table_name string, column_name string, name string, title string, description string, mime_type string, constraint_name string"
+
+
+def optional(box: Container, name: str, schema: str) -> DataFrame:
+    """A catalogue table that a container may lack: empty then."""
+    return box.table(name) if name in box.state["tables"] else box.spark.createDataFrame([], schema)
+
+
+def create_pyramid(box: Container, name: str, extent: Extent, matrices: DataFrame, allow_zoom_other: bool = False) -> None:
+    """An empty tile pyramid; LayerError for faulty matrices, or for a ladder that isn't of halves unless that is allowed."""
+    named = matrices.withColumn("table_name", F.lit(name))
+    fault = matrix_faults(named, extent).where("fault IS NOT NULL").first()
+    if fault:
+        raise LayerError(f"zoom {fault.zoom_level}: {fault.fault}")
+    halves = is_power_of_two(named, "table_name").first().is_ladder
+    if not halves and not allow_zoom_other:
+        raise LayerError("pixel sizes are not halved from zoom to zoom")
+    if name.lower() in {t.lower() for t in box.state["tables"]}:
+        raise LayerError(f"the name {name} is taken")
+    e = extent
+    row = box.spark.range(1).select(F.lit(name).alias("table_name"), F.lit("tiles").alias("data_type"), F.lit(name).alias("identifier"), F.lit("").alias("description"), F.current_timestamp().alias("last_change"), *[F.lit(v).cast("double").alias(c) for c, v in (("min_x", e.min_x), ("min_y", e.min_y), ("max_x", e.max_x), ("max_y", e.max_y))], F.lit(e.srs_id).cast("int").alias("srs_id"))
+    sets = box.spark.createDataFrame([(name, e.srs_id, e.min_x, e.min_y, e.max_x, e.max_y)], MATRIX_SET)
+    frames = {
+        "contents": box.table("contents").unionByName(row),
+        "tile_matrix_set": optional(box, "tile_matrix_set", MATRIX_SET).unionByName(sets),
+        "tile_matrix": optional(box, "tile_matrix", MATRIX).unionByName(named.select(*[f.split()[0] for f in MATRIX.split(", ")])),
+        name: box.spark.createDataFrame([], TILES),
+    }
+    box.commit(frames)
+    if not halves:
+        box.register((name, "tile_data", "gpkg_zoom_other", "other zoom intervals", "read-write"))
+
+
+def open_pyramid(box: Container, name: str) -> Pyramid:
+    row = optional(box, "tile_matrix_set", MATRIX_SET).where(F.lower("table_name") == name.lower()).first()
+    if row is None:
+        raise LayerError(f"no tile pyramid: {name}")
+    matrices = box.table("tile_matrix").where(F.lower("table_name") == name.lower()).drop("table_name")
+    return Pyramid(Extent(row.min_x, row.min_y, row.max_x, row.max_y, row.srs_id), matrices, box.table(name))
+
+
+def tile_pyramids(box: Container) -> DataFrame:
+    """Names of tile tables that have a matrix set, matched in any case, in order."""
+    sets = optional(box, "tile_matrix_set", MATRIX_SET).select(F.lower("table_name").alias("_t")).distinct()
+    return box.table("contents").where("data_type = 'tiles'").join(sets, F.lower("table_name") == F.col("_t"), "left_semi").select("table_name").orderBy("table_name")
+
+
+def put_tiles(box: Container, name: str, new: DataFrame, order: str | None = None) -> None:
+    """Upsert tiles; LayerError for one at an unknown zoom, outside the grid, or of another pixel size than its zoom's.  WebP is registered once."""
+    box.check_writable(name)
+    pyramid = open_pyramid(box, name)
+    checked = pyramid.checked(new)
+    if bad := checked.where("error IS NOT NULL").first():
+        raise LayerError(f"tile {bad.zoom_level}/{bad.tile_column}/{bad.tile_row}: {bad.error}")
+    webp = new.where((F.hex(F.substring("tile_data", 1, 4)) == "52494646") & (F.hex(F.substring("tile_data", 9, 4)) == "57454250")).limit(1).count()
+    box.commit({name: pyramid.put(new, None if order is None else F.col(order)).tiles})
+    if webp:
+        box.register((name, "tile_data", "gpkg_webp", "WebP tiles", "read-write"))
+
+
+def delete_tiles(box: Container, name: str, addresses: DataFrame) -> None:
+    box.commit({name: open_pyramid(box, name).delete(addresses).tiles})
+
+
+def add_metadata(box: Container, rows: DataFrame) -> None:
+    box.commit({"metadata": optional(box, "metadata", METADATA).unionByName(rows)})
+
+
+def add_references(box: Container, rows: DataFrame) -> None:
+    """Metadata references; LayerError for one whose scope, targets, parent or record is wrong."""
+    if bad := check_references(rows, optional(box, "metadata", METADATA)).where("error IS NOT NULL").first():
+        raise LayerError(f"reference to {bad.md_file_id}: {bad.error}")
+    box.commit({"metadata_reference": optional(box, "metadata_reference", REFERENCES).unionByName(rows)})
+
+
+def add_relations(box: Container, rows: DataFrame) -> None:
+    """Relations and their empty mapping tables; LayerError for a name that doesn't conform, an unknown end or a mapping name that is taken."""
+    good, bad = add_relation(optional(box, "relations", RELATIONS), box.table("contents"), rows)
+    if first := bad.first():
+        raise LayerError(f"relation {first.id}: {first.error}")
+    mappings = [r[0] for r in rows.select("mapping_table_name").distinct().collect()]  # one name a relation
+    if taken := {m.lower() for m in mappings} & {t.lower() for t in box.state["tables"]}:
+        raise LayerError(f"the name {min(taken)} is taken")
+    box.commit({"relations": good, **{m: box.spark.createDataFrame([], "base_id long, related_id long") for m in mappings}})
+
+
+def add_mappings(box: Container, mapping: str, pairs: DataFrame) -> None:
+    box.commit({mapping: box.table(mapping).unionByName(pairs.select("base_id", "related_id"))})
+
+
+def set_data_columns(box: Container, rows: DataFrame) -> None:
+    """Column descriptions by table and column; those that were there are replaced."""
+    box.commit({"data_columns": upsert(optional(box, "data_columns", DATA_COLUMNS), rows, ["table_name", "column_name"])})
+
+
+def table_schema(box: Container, name: str) -> DataFrame:
+    """Columns of a table in order with type, declared type, nullability and description."""
+    schema = box.table(name).schema
+    rows = [(k, f.name, f.dataType.simpleString(), f.metadata.get("declared") or f.metadata.get("geometry_type"), f.nullable, f.name == box._key(name)) for k, f in enumerate(schema.fields)]
+    columns = box.spark.createDataFrame(rows, "ordinal int, column_name string, type string, declared string, nullable boolean, is_primary_key boolean")
+    told = optional(box, "data_columns", DATA_COLUMNS).where(F.lower("table_name") == name.lower()).select("column_name", "title", "description", "constraint_name")
+    return columns.join(told, "column_name", "left").orderBy("ordinal")
+
+
 def feature_layers(contents: DataFrame, geometry_columns: DataFrame) -> DataFrame:
     """table_name of feature layers with a geometry column, names matched in any case, in order."""
     g = geometry_columns.select(F.lower("table_name").alias("_t")).distinct()

@@ -143,6 +143,42 @@ def test_relations_and_metadata(spark):
     assert [(r.severity, r.kind, r.table_name) for r in found.collect()][:3] == [("error", "missing mapping table", "m")] * 3
 
 
+def test_container_tiles_relations_metadata(spark, places):
+    m = grid.ladder(spark, grid.WORLD, 0, 1, base=(2, 1))
+    c.create_pyramid(places, "world", grid.WORLD, m)
+    png = bytearray(bytes.fromhex("89504E470D0A1A0A0000000D49484452") + struct.pack(">II", 256, 256))
+    webp = bytearray(b"RIFF\0\0\0\0WEBPVP8 ")
+    c.put_tiles(places, "world", spark.createDataFrame([(0, 0, 0, png), (1, 1, 1, webp)], c.TILES))
+    c.put_tiles(places, "world", spark.createDataFrame([(0, 0, 0, webp)], c.TILES))
+    p = c.open_pyramid(places, "WORLD")
+    assert {r.zoom_level: r.n for r in p.counts().collect()} == {0: 1, 1: 1} and bytes(p.get(0, 0, 0).first().tile_data) == bytes(webp)
+    assert [r.table_name for r in c.tile_pyramids(places).collect()] == ["world"] and places.table("extensions").where("extension_name = 'gpkg_webp'").count() == 1
+    c.delete_tiles(places, "world", spark.createDataFrame([(1, 1, 1)], "zoom_level long, tile_column long, tile_row long"))
+    assert c.open_pyramid(places, "world").tiles.count() == 1
+    c.add_metadata(places, spark.createDataFrame([(1, "dataset", "u", "text/xml", "m")], c.METADATA))
+    c.add_references(places, spark.createDataFrame([("table", "Places", None, None, None, 1, None)], c.REFERENCES))
+    relation = lambda k, name, mapping: spark.createDataFrame([(k, "places", "fid", "world", "id", name, mapping)], c.RELATIONS)
+    c.add_relations(places, relation(1, "tiles", "map"))
+    c.add_mappings(places, "map", spark.createDataFrame([(1, 2), (1, 2), (2, 3)], "base_id long, related_id long"))
+    assert sorted(r.related_id for r in relations.related_ids(places.table("map"), 1).collect()) == [2, 2]
+    describe = lambda title: spark.createDataFrame([("Places", "pop", "pop", title, None, None, None)], c.DATA_COLUMNS)
+    c.set_data_columns(places, describe("old"))
+    c.set_data_columns(places, describe("Population"))
+    got = {r.column_name: (r.declared, r.title, r.is_primary_key) for r in c.table_schema(places, "places").collect()}
+    assert got["pop"] == ("INTEGER", "Population", False) and got["fid"][2] and got["geom"][0] == "POINT"
+    bad = [
+        lambda: c.create_pyramid(places, "twice", grid.WORLD, m.union(m)),
+        lambda: c.put_tiles(places, "world", spark.createDataFrame([(0, 9, 0, png)], c.TILES)),
+        lambda: c.add_references(places, spark.createDataFrame([("table", "t", None, None, None, 9, None)], c.REFERENCES)),
+        lambda: c.add_relations(places, relation(2, "odd", "map2")),
+        lambda: c.add_relations(places, relation(2, "tiles", "MAP")),
+        lambda: c.open_pyramid(places, "nope"),
+    ]
+    for f in bad:
+        with pytest.raises(LayerError):
+            f()
+
+
 @pytest.fixture
 def file(tmp_path):
     path = f"{tmp_path}/file.db"
