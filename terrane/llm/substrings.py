@@ -40,6 +40,8 @@ WIDTH, GRAM = 13, 3
 FEW, BATCH_BYTES, LONGEST, BINS = 4, 12 << 20, 256, 8
 #: Documents sampled to find hot minimisers, least count there, and the most that are listed.
 EVERY, HOT_LEAST, HOT_MOST = 32, 48, 1 << 16
+#: Bits of the bitmap that tells which texts have something to remove.
+BITS = 1 << 26
 PLACE = np.dtype([("doc", "<i8"), ("tag", "<u4"), ("pos", "<i4")])
 BLOCK, PARKED = 0, 1
 PACKED = "bin int, kind int, ref long, blob binary"
@@ -330,13 +332,35 @@ def _cut(text: pa.Array, starts: pa.Array, lengths: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True)], names=["n_words", "n_removed", "kept"])
 
 
+def _touched(runs: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows with `_hit`, false for a row that certainly has no run.
+
+    A bitmap of BITS hash bits (2048 rows of 4 KB at most, 8 MB) is broadcast; where many rows have runs it
+    says true for others as well, and those are joined for nothing.
+    """
+    place = lambda: F.pmod(F.xxhash64("doc_id", "tag"), F.lit(BITS)) + 1
+    marks = runs.select(place().alias("h")).select(F.expr("bitmap_bucket_number(h)").alias("_bucket"), F.expr("bitmap_bit_position(h)").alias("p"))
+    bitmap = marks.groupBy("_bucket").agg(F.expr("bitmap_construct_agg(p)").alias("_bits"))
+    keyed = rows.withColumn("_h", place()).withColumn("_bucket", F.expr("bitmap_bucket_number(_h)")).withColumn("_at", F.expr("cast(bitmap_bit_position(_h) as int)"))
+    byte = F.expr("cast(conv(hex(substring(_bits, _at div 8 + 1, 1)), 16, 10) as int)")
+    hit = F.coalesce(F.pmod(F.floor(byte / F.pow(F.lit(2.0), (F.col("_at") % 8).cast("double"))), F.lit(2)) == 1, F.lit(False))
+    return keyed.join(F.broadcast(bitmap), "_bucket", "left").withColumn("_hit", hit).drop("_h", "_bucket", "_at", "_bits")
+
+
 def cut(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed and kept, the words that stay joined by one space, of each row of docs."""
+    """doc_id, n_words, n_removed and kept, the words that stay joined by one space, of each row of docs.
+
+    Only texts that may have runs are shuffled to them.
+    """
     tag = _tag(docs)
-    runs = removed_runs(docs, tag).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    rows = docs.select("doc_id", tag.alias("tag"), "text")
-    joined = rows.join(runs, ["doc_id", "tag"], "left")
-    return joined.select("doc_id", _cut(F.coalesce(F.col("text"), F.lit("")).cast("binary"), F.col("runs.start"), F.col("runs.n")).alias("c")).select("doc_id", "c.*")
+    runs = settle(removed_runs(docs, tag))
+    gathered = runs.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    rows = _touched(runs, docs.select("doc_id", tag.alias("tag"), "text"))
+    hit = rows.where("_hit").join(gathered, ["doc_id", "tag"], "left").select("doc_id", "text", F.col("runs.start").alias("starts"), F.col("runs.n").alias("lengths"))
+    none = F.lit(None).cast("array<int>")
+    missed = rows.where("NOT _hit").select("doc_id", "text", none.alias("starts"), none.alias("lengths"))
+    done = lambda df: df.select("doc_id", _cut(F.coalesce(F.col("text"), F.lit("")).cast("binary"), F.col("starts"), F.col("lengths")).alias("c")).select("doc_id", "c.*")
+    return done(missed).union(done(hit))
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

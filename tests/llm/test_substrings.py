@@ -65,3 +65,12 @@ def test_a_minimiser_is_the_windows_own(spark):
         assert substrings.minimisers(words[k : k + 13])[0] == whole[k]
     start, count, _ = substrings.super_kmers(words, np.zeros(0, dtype=np.uint64))
     assert sum(count) == 188 and start[0] == 0 and all(s + c == t for s, c, t in zip(start, count, start[1:], strict=False))
+
+
+def test_untouched_texts_are_not_shuffled(spark, documents):
+    words = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    docs = documents([(k, words(k)) for k in range(300)] + [(1000 + k, words(k)) for k in range(5)])
+    runs = substrings.removed_runs(docs, F.lit(0).cast("long"))
+    hit = substrings._touched(runs, docs.select("doc_id", F.lit(0).cast("long").alias("tag"), "text")).where("_hit")
+    found = {r.doc_id for r in hit.collect()}
+    assert {1000 + k for k in range(5)} <= found and len(found) < 10
