@@ -14,7 +14,8 @@ KNOWN = ["gpkg_2d_gridded_coverage", "2d_gridded_coverage", "gpkg_elevation_tile
 REMOVED = ["gpkg_geometry_type_trigger", "gpkg_srs_id_trigger"]
 RELATIONS = ["media", "simple_attributes", "features", "attributes", "tiles"]
 METADATA_SCOPES = ["undefined", "fieldSession", "collectionSession", "series", "dataset", "featureType", "feature", "attributeType", "attribute", "tile", "model", "catalog", "schema", "taxonomy", "software", "service", "collectionHardware", "nonGeographicDataset", "dimensionGroup", "style"]
-REFERENCE_TARGETS = {"geopackage": (), "table": ("table_name",), "column": ("table_name", "column_name"), "row": ("table_name", "row_id_value"), "row/col": ("table_name", "column_name", "row_id_value")}
+WHOLE_FILE = "geopackage"  # the reference scope of a whole file, as the format spells it
+REFERENCE_TARGETS = {WHOLE_FILE: (), "table": ("table_name",), "column": ("table_name", "column_name"), "row": ("table_name", "row_id_value"), "row/col": ("table_name", "column_name", "row_id_value")}
 CURVED = GEOMETRY_TYPES[8:]
 
 

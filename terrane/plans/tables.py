@@ -54,13 +54,13 @@ def relation_name_conformance(spark: SparkSession, d: str) -> DataFrame:
     return i.texts(spark, [(x,) for x in RELATION_NAMES], "relation_name string").withColumn("ok", names.relation_conforms(F.col("relation_name")))
 
 
-REFERENCES = """r AS (SELECT o_orderkey AS md_file_id, CASE o_orderkey % 5 WHEN 0 THEN 'geopackage' WHEN 1 THEN 'table' WHEN 2 THEN 'column' WHEN 3 THEN 'row' ELSE 'row/col' END AS reference_scope,
+REFERENCES = f"""r AS (SELECT o_orderkey AS md_file_id, CASE o_orderkey % 5 WHEN 0 THEN '{names.WHOLE_FILE}' WHEN 1 THEN 'table' WHEN 2 THEN 'column' WHEN 3 THEN 'row' ELSE 'row/col' END AS reference_scope,
 CASE WHEN o_orderkey % 5 > 0 THEN 't' || CAST(o_orderkey % 3 AS VARCHAR) END AS table_name, CASE WHEN o_orderkey % 5 IN (2, 4) THEN 'c' || CAST(o_orderkey % 2 AS VARCHAR) END AS column_name, CASE WHEN o_orderkey % 5 > 2 THEN o_orderkey % 11 END AS row_id_value FROM orders)"""
 
 
 def references(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
-    scope = F.when(k % 5 == 0, "geopackage").when(k % 5 == 1, "table").when(k % 5 == 2, "column").when(k % 5 == 3, "row").otherwise("row/col")
+    scope = F.when(k % 5 == 0, names.WHOLE_FILE).when(k % 5 == 1, "table").when(k % 5 == 2, "column").when(k % 5 == 3, "row").otherwise("row/col")
     name = lambda p, m, c: F.when(c, F.concat(F.lit(p), (k % m).cast("string")))
     return i.table(spark, d, "orders").select(k.alias("md_file_id"), scope.alias("reference_scope"), name("t", 3, k % 5 > 0).alias("table_name"), name("c", 2, (k % 5).isin(2, 4)).alias("column_name"), F.when(k % 5 > 2, k % 11).alias("row_id_value"), F.lit(None).cast("long").alias("md_parent_id"))
 
@@ -70,9 +70,9 @@ def metadata_for(spark: SparkSession, d: str) -> DataFrame:
     return relations.metadata_for(references(spark, d), "row/col", table_name="t1", column_name="c0", row_id_value=4).select("md_file_id")
 
 
-@query("metadata_for_whole", f"WITH {REFERENCES} SELECT md_file_id FROM r WHERE reference_scope = 'geopackage' AND table_name IS NULL AND column_name IS NULL AND row_id_value IS NULL")
+@query("metadata_for_whole", f"WITH {REFERENCES} SELECT md_file_id FROM r WHERE reference_scope = '{names.WHOLE_FILE}' AND table_name IS NULL AND column_name IS NULL AND row_id_value IS NULL")
 def metadata_for_whole(spark: SparkSession, d: str) -> DataFrame:
-    return relations.metadata_for(references(spark, d), "geopackage").select("md_file_id")
+    return relations.metadata_for(references(spark, d), names.WHOLE_FILE).select("md_file_id")
 
 
 @query("metadata_ancestors", """WITH RECURSIVE n AS (SELECT n_nationkey + 100 AS id, CAST(n_regionkey + 10 AS BIGINT) AS parent FROM nation UNION ALL SELECT r_regionkey + 10, 1 FROM region),
