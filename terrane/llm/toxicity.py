@@ -5,10 +5,12 @@ beginnings that labelled toxic documents have and the others hardly have (their
 mark the tokens of toxic documents.  A two-state chain with those features and transitions is trained on
 the labelled tokens by gradient ascent on the conditional likelihood; forward-backward gives each token's
 marginal.  A document's score is the chance that one of its tokens is toxic (noisy-or of the marginals),
-calibrated on the labelled documents; tokens at half or more give the offending offsets.
+calibrated on the labelled documents, scored whole as any other; tokens at half or more give the offending
+offsets.
 
 The field is fitted on a bounded sample: TRAIN_ROWS labelled rows at most that aren't held out, in an order
-hashed from the id, SEGMENTS stretches of each text and FEATURES features.  Every text is scored whole.
+hashed from the id.  Of each text all tokens with a feature are learned from, with STRETCH tokens on either
+side; all features with enough evidence count.  Every text is scored whole.
 
 Nulls: a null text is scored as an empty one, which gets the rate of toxic documents among those without a
 suspicious token.  Ids whose labels disagree or are null are not learned from; without labels every score
@@ -29,10 +31,10 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, S
 
 from terrane.llm.common import held_out, random_key, table
 
-TRAIN_ROWS, FEATURES, SEGMENTS, STRETCH, SEED = 10_000, 6_000, 12, 5, "toxicity-1:"
+TRAIN_ROWS, STRETCH, SEED = 10_000, 12, "toxicity-1:"
 #: Beginnings of a word that are features; documents a feature needs; share of toxic documents, at equal class sizes, that makes evidence.
 PREFIXES, LEAST_DOCS, SUSPECT, CERTAIN = range(3, 9), 4, 0.75, 0.93
-STEPS, RATE, RIDGE, CHUNK = 120, 0.15, 1e-4, 4096
+STEPS, RATE, RIDGE, CHUNK = 150, 0.15, 1e-4, 4096
 CUT, MEMO = 0.3, 200_000
 TOKEN = re.compile(r"[^\W\d_]+")
 
@@ -67,7 +69,7 @@ def _segmenter(known: dict[str, int]):
                         spans[-1][1] = i + STRETCH
                     else:
                         spans.append([i - STRETCH, i + STRETCH])
-                pieces = [found[max(0, s + k) : min(e + 1, s + k + 8 * STRETCH)] for s, e in spans for k in range(0, e - s + 1, 8 * STRETCH)][:SEGMENTS]
+                pieces = [found[max(0, s + k) : min(e + 1, s + k + 8 * STRETCH)] for s, e in spans for k in range(0, e - s + 1, 8 * STRETCH)]
                 rows += [(key, toxic, [len(f) for f in p], [x for f in p for x in f]) for p in pieces] or [(key, toxic, [], [])]
             kinds = (pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
             columns = list(zip(*rows, strict=True)) or [()] * 4
@@ -144,8 +146,7 @@ def train(known: list[str], evidence: np.ndarray, rows: list) -> Field:
     """The field from segments (key, toxic, counts, found); evidence: of each feature, the share of toxic documents."""
     field = Field()
     field_rows = sorted((r for r in rows if r.counts), key=lambda r: (len(r.counts), r.key, r.toxic, r.counts, r.found))
-    toxic_of = {r.key: r.toxic for r in rows}
-    if field_rows and len(set(toxic_of.values())) == 2:
+    if field_rows and len({r.toxic for r in rows}) == 2:
         parts = []
         for at in range(0, len(field_rows), CHUNK):  # of like length, so that little is padding
             some = field_rows[at : at + CHUNK]
@@ -160,13 +161,13 @@ def train(known: list[str], evidence: np.ndarray, rows: list) -> Field:
             label = (best.reshape(per.shape) >= CERTAIN) & (np.array([r.toxic for r in some])[:, None] > 0)
             inside = np.arange(per.shape[1]) < real[:, None]
             seen = np.array([[((label[:, :-1] == i) & (label[:, 1:] == j) & inside[:, 1:]).sum() for j in (0, 1)] for i in (0, 1)], dtype=float)
-            parts.append((real, per.shape, feature, token, label & inside, seen, (per > 0) & inside))
+            parts.append((real, per.shape, feature, token, label & inside, seen))
         total = float(sum(p[0].sum() for p in parts))
         w, bias, step = np.zeros(len(known)), -3.0, np.zeros((2, 2))
         moments = [np.zeros(len(known) + 5), np.zeros(len(known) + 5)]
         for k in range(1, STEPS + 1):
             grad = np.concatenate((-RIDGE * total * w / max(1, len(known)), np.zeros(5)))
-            for real, shape, feature, token, label, seen, _ in parts:
+            for real, shape, feature, token, label, seen in parts:
                 p, moves, _ = forward_backward(bias + np.bincount(token, w[feature], shape[0] * shape[1]).reshape(shape), real, step)
                 rest = label - p
                 grad += np.concatenate((np.bincount(feature, rest.ravel()[token], len(known)), [rest.sum()], (seen - moves).ravel()))
@@ -176,17 +177,15 @@ def train(known: list[str], evidence: np.ndarray, rows: list) -> Field:
             move = RATE * (moments[0] / (1 - 0.9**k)) / (np.sqrt(moments[1] / (1 - 0.99**k)) + 1e-9)
             w, bias, step = w + move[: len(known)], bias + move[len(known)], step + move[-4:].reshape(2, 2)
         field.weights, field.bias, field.step = dict(zip(known, w.tolist(), strict=True)), float(bias), step - step[0, 0]
-        cleans = []
-        for real, shape, feature, token, _, _, active in parts:
-            p, _, _ = forward_backward(bias + np.bincount(token, w[feature], shape[0] * shape[1]).reshape(shape), real, step)
-            cleans.append(np.where(active, np.log1p(-np.clip(p, 0, 1 - 1e-9)), 0).sum(axis=1))
-        clean = np.concatenate(cleans)
-        by_doc: dict[str, float] = {}
-        for r, c in zip(field_rows, clean.tolist(), strict=True):
-            by_doc[r.key] = by_doc.get(r.key, 0.0) + c
-        some = -np.expm1(np.array(list(by_doc.values())))
+    return field
+
+
+def calibrate(field: Field, whole: list[tuple[int, float | None]]) -> None:
+    """Sets the calibration of field from (toxic, chance of a toxic token or None) of whole texts."""
+    heard = sorted((some, toxic) for toxic, some in whole if some is not None)
+    if heard:
+        some, y = (np.array(c, dtype=float) for c in zip(*heard, strict=True))
         z = np.log(np.maximum(some, 1e-9)) - np.log(np.maximum(1 - some, 1e-9))
-        y = np.array([toxic_of[k] for k in by_doc], dtype=float)
         beta = np.array([1.0, 0.0])
         x = np.column_stack((z, np.ones(len(z))))
         for _ in range(50):  # Newton's steps, held near slope 1
@@ -194,11 +193,8 @@ def train(known: list[str], evidence: np.ndarray, rows: list) -> Field:
             h = x.T @ (x * (q * (1 - q))[:, None]) + np.eye(2) * 0.1
             beta = beta - np.clip(np.linalg.solve(h, x.T @ (q - y) + 0.1 * (beta - [1.0, 0.0])), -1, 1)
         field.slope, field.offset = max(0.05, float(beta[0])), float(beta[1])
-        quiet = [t for k, t in toxic_of.items() if k not in by_doc]
-    else:
-        quiet = list(toxic_of.values())
+    quiet = [toxic for toxic, some in whole if some is None]
     field.none = (sum(quiet) / (len(quiet) + 1)) if quiet else 0.0
-    return field
 
 
 def _sample(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataFrame:
@@ -217,11 +213,41 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Fie
     n0, n1 = max(1, sizes.get(0, 0)), max(1, sizes.get(1, 0))
     share = (F.col("n1") / n1) / (F.col("n1") / n1 + (F.col("n0") + 0.5) / n0)
     counts = sample.mapInArrow(_counter, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    kept = counts.where(F.col("n1") >= LEAST_DOCS).withColumn("share", share).where(F.col("share") >= SUSPECT).orderBy(F.desc("share"), F.desc("n1"), "f").limit(FEATURES)
-    rows = sorted(kept.collect(), key=lambda r: r.f)  # FEATURES short rows at most
+    kept = counts.where(F.col("n1") >= LEAST_DOCS).withColumn("share", share).where(F.col("share") >= SUSPECT)
+    rows = sorted(kept.collect(), key=lambda r: r.f)  # a short row for each kept word or beginning of the bounded sample
     known = {r.f: i for i, r in enumerate(rows)}
     segments = sample.mapInArrow(_segmenter(known), "key string, toxic int, counts array<int>, found array<int>")
-    return train(list(known), np.array([r.share for r in rows], dtype=float), segments.collect())  # train_rows * SEGMENTS stretches at most
+    field = train(list(known), np.array([r.share for r in rows], dtype=float), segments.collect())  # the stretches of train_rows texts at most
+    whole = sample.mapInArrow(_wholes(sample.sparkSession.sparkContext.broadcast(field)), "toxic int, some double")
+    calibrate(field, [(r.toxic, r.some) for r in whole.collect()])  # train_rows short rows at most
+    return field
+
+
+def _whole(field: Field, words: list[str], memo: dict[str, float | None]) -> tuple[float | None, list[float]]:
+    """Chance that one of a text's tokens is toxic, None if none has a known feature, and each token's marginal."""
+    if len(memo) > MEMO:
+        memo.clear()
+    suspicious = False
+    for w in set(words):
+        if w not in memo:
+            memo[w] = field.emission(w)
+        suspicious = suspicious or memo[w] is not None
+    if not suspicious:
+        return None, []
+    found = [memo[w] for w in words]
+    marginal = field.marginals([field.bias if e is None else e for e in found])
+    clean = sum(np.log1p(-min(p, 1 - 1e-9)) for p, e in zip(marginal, found, strict=True) if e is not None)
+    return float(-np.expm1(clean)), marginal
+
+
+def _wholes(shared):
+    def wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, float | None] = {}
+        for batch in batches:
+            some = [_whole(shared.value, TOKEN.findall(text or ""), memo)[0] for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(some, pa.float64())], names=["toxic", "some"])
+
+    return wholes
 
 
 def _scorer(shared):
@@ -230,20 +256,11 @@ def _scorer(shared):
     def score(field: Field, text: str | None) -> tuple[float, list]:
         if not field.weights or not text:
             return field.none, []
-        if len(memo) > MEMO:
-            memo.clear()
-        words, suspicious = TOKEN.findall(text), False
-        for w in set(words):
-            if w not in memo:
-                memo[w] = field.emission(w)
-            suspicious = suspicious or memo[w] is not None
-        if not suspicious:
+        some, marginal = _whole(field, TOKEN.findall(text), memo)
+        if some is None:
             return field.none, []
-        found = [memo[w] for w in words]
-        marginal = field.marginals([field.bias if e is None else e for e in found])
-        clean = sum(np.log1p(-min(p, 1 - 1e-9)) for p, e in zip(marginal, found, strict=True) if e is not None)
         at = [m.span() for m in TOKEN.finditer(text)]
-        return field.calibrated(float(-np.expm1(clean))), [(*at[i], p) for i, p in enumerate(marginal) if p >= 0.5]
+        return field.calibrated(some), [(*at[i], p) for i, p in enumerate(marginal) if p >= 0.5]
 
     span = StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("p", DoubleType())])
     kind = pa.struct([("score", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())])))])

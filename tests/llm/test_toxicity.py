@@ -2,6 +2,7 @@ import random
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from terrane.llm import toxicity as x
@@ -64,3 +65,25 @@ def test_without_labels(spark, documents):
     docs = documents([(1, "some words")])
     assert [r._t.score for r in x.scored(docs, x.fit(docs, labels)).collect()] == [0.0]
     assert x.scored(docs.where("false"), x.Field()).count() == 0
+
+
+def test_all_stretches_are_learned_from_and_calibrated_on(spark, documents):
+    text = ("oaf " + "word " * 40) * 50
+    batch = pa.RecordBatch.from_pydict({"key": ["k"], "text": [text], "toxic": pa.array([1], pa.int32())})
+    rows = [r for out in x._segmenter({"=oaf": 0})(iter([batch])) for r in out.to_pylist()]
+    assert sum(len(r["found"]) for r in rows) == 50
+
+    rng = random.Random(3)
+    plain = lambda n: " ".join(rng.choices("abcdefghij", k=n))
+    docs, labels = [], []
+    for i in range(400):
+        toxic = i % 4 == 0  # murk: weak evidence, once in each toxic text and often in some clean ones
+        docs.append((i, f"{plain(30)} grobian murk {plain(30)}" if toxic else " ".join(f"{plain(30)} murk" for _ in range(60)) if i % 8 == 1 else plain(60)))
+        labels.append((i, 1, int(toxic)))
+    frame = documents(docs)
+    field = x.fit(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    learned = {r.doc_id for r in frame.where(~x.held_out(F.col("doc_id"))).collect()}
+    whole = [(toxic, x._whole(field, x.TOKEN.findall(docs[i][1]), {})[0]) for i, _, toxic in labels if i in learned]
+    again = x.Field()
+    x.calibrate(again, whole)
+    assert "=murk" in field.weights and np.allclose((again.slope, again.offset, again.none), (field.slope, field.offset, field.none))
