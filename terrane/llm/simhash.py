@@ -158,21 +158,21 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame
 
 
 def grouped(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, th (a hash of the text), fp and component_id of each row of docs."""
+    """doc_id, th (a hash of the text), fp, component_id and root (the component's own fingerprint) of each row of docs."""
     thin = settle(fingerprints(docs.select("doc_id", "text", F.xxhash64("text").alias("th"))).select("doc_id", "th", "fp"))
     nodes = settle(thin.groupBy("fp").agg(F.min("doc_id").alias("least")))
     member = components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
     linked = nodes.join(member, "fp")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_linked = linked.join(least, "root").select("fp", "component_id")
+    of_linked = linked.join(least, "root").select("fp", "root", "component_id")
     # Written, so that the join below has a plain exchange on either side, which is split where one fingerprint has many rows.
-    named = settle(nodes.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
+    named = settle(nodes.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root")))
     return thin.join(named, "fp")
 
 
 def survivors(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row of docs for each component: the smallest id, then the smallest text hash."""
-    keep = grouped(docs, radius).groupBy("component_id").agg(F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("i"), "th")).alias("k"))
+    """One row of docs for each component, by its root as ids can be null or shared: the smallest id, then the smallest text hash."""
+    keep = grouped(docs, radius).groupBy("root").agg(F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("i"), "th")).alias("k"))
     keep = keep.select(F.col("k.i").alias("_i"), F.col("k.th").alias("_th")).distinct()
     keyed = docs.select(F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("_i"), F.xxhash64("text").alias("_th"), packed(docs))
     return unpacked(keyed.join(keep, ["_i", "_th"], "left_semi").dropDuplicates(["_i", "_th"]))

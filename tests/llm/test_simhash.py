@@ -123,3 +123,10 @@ def test_nulls_and_empty(spark, documents, tables):
 def test_survivors_keep_one_of_each(spark, documents):
     rows = [(3, "p q r s t"), (1, "p q r s t"), (1, "p q r s t"), (2, "other words are here now"), (9, "p q r s t")]
     assert sorted((r.doc_id, r.text) for r in simhash.survivors(documents(rows)).collect()) == [(1, "p q r s t"), (2, "other words are here now")]
+
+
+def test_survivors_of_null_and_shared_ids(spark, documents):
+    texts = ["p q r s t", "other words are here now", "a third text of its own", "nothing like the ones before it"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[3])]
+    kept = [(r.doc_id, r.text) for r in simhash.survivors(documents(rows)).collect()]
+    assert sorted(kept, key=str) == sorted([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3])], key=str)
