@@ -34,6 +34,7 @@ TRAIN_PAGES, COMPOSED, EPOCHS, RATE, RIDGE, SEED = 150, 500, 44, 0.1, 1e-3, "ext
 # HTML's void, raw-text and inline elements, elements that end an open one of a kind, and names of page parts.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template noscript title textarea select iframe svg canvas audio video object head".split())
+UNPARSED = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in "script style title textarea iframe".split()}  # only the end tag counts inside
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter output progress q ruby s samp small span strike strong sub sup time tt u var button".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = frozenset("ul ol dl table body html div article section main".split())
@@ -107,9 +108,7 @@ def parse(html: str) -> Tree:
         del stack[depth:]
 
     at = 0
-    for m in TOKEN.finditer(html):
-        if m.start() < at:
-            continue
+    while m := TOKEN.search(html, at):
         if raw is None:
             add(html[at : m.start()])
         at = m.end()
@@ -135,7 +134,11 @@ def parse(html: str) -> Tree:
             if not m[3].endswith("/"):
                 if name == "head":
                     continue  # what it may hold is void or raw text itself
-                raw = name
+                if name in UNPARSED:
+                    end = UNPARSED[name].search(html, at)
+                    at = end.end() if end else len(html)
+                else:
+                    raw = name
             continue
         if name in VOID:
             if name in ("br", "hr"):

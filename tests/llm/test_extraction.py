@@ -73,3 +73,9 @@ def test_query(spark, tables):
     got = {(r.page_id, r.url, r.text, r.n_chars) for r in x.op5_extraction(spark, tables(pages=pages)).collect()}
     assert got == {(1, "u", TEXT, len(TEXT)), (2, None, "", 0), (None, "v", "", 0), (3, "w", "Plain words in a page of their own.", 35)}
     assert x.extracted(pages.where("false"), x.fit(pages.where("false"))).count() == 0
+
+
+@pytest.mark.parametrize("tag", ["script", "style", "title", "textarea", "iframe"])
+def test_raw_text_ends_at_its_end_tag(tag):
+    assert x.parse(f"<{tag}><!-- x=1; </{tag.upper()} ><p>The article.</p>").texts == ["The article."]
+    assert x.parse(f"<p>Before.</p><{tag}>no <b>end</b> </{tag}x>").texts == ["Before."]
