@@ -34,12 +34,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 def settle(df: DataFrame) -> DataFrame:
     """df written once to the shared folder and read again: its lineage ends there, so a lost executor
-    costs a reread and nothing upstream runs twice."""
+    costs a reread and nothing upstream runs twice.  The folder goes when the application ends, if not before."""
     path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    passing(df.sparkSession, path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def passing(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted when the application ends."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(folder.getParent())
+    files.deleteOnExit(folder)
+
+
 def forget(df: DataFrame) -> None:
     """Delete what settle() wrote for df, once nothing reads it any more."""
     jvm = df.sparkSession._jvm

@@ -2,18 +2,21 @@
 
 A window is WIDTH consecutive words.  Its minimiser is the least hash among its word GRAM-grams; consecutive
 windows with one minimiser travel as one packed string, a super-k-mer, to the bucket of that minimiser.
-All copies of a window meet there; sorting the bucket's windows counts them exactly (strings are compared,
-not hashes) and gives each the smallest doc_id that has it.  A word is removed if a window that covers it
-also starts in a document with a smaller id.
+All copies of a window meet there; sorting the bucket's windows counts them exactly (words are compared, not
+hashes) and gives each the smallest doc_id that has it.  A word is removed if a window that covers it also
+starts in a document with a smaller id.
 
 Buckets share bins, and a task's super-k-mers for one bin leave as one zstd block in text order: the windows
-overlap and would be several times the corpus as plain rows.  A bin is unpacked whole; there are BINS of
-them for each shuffle partition.
+overlap and would be several times the corpus as plain rows.  The number of bins follows from the measured
+bytes of text, BIN_BYTES to a bin, so what a task unpacks at once doesn't grow with the data; within a bin
+buckets are judged SLICE_BYTES at a time.  Words, windows and places are numpy and Arrow buffers throughout.
 
 Hot passages: a super-k-mer that a task finds more than FEW times in a batch of texts is sent once, and its
 places are parked in rows of their own that are dealt out evenly and joined with the verdict afterwards.
 Hot minimisers (estimated on every 32nd document; placement alone depends on that, never the result) give
-way to the hash of the whole window, so their windows are spread.  Grams of few distinct words rank last.
+way to the hash of the whole window, so their windows are spread.  They are marked in a bitmap of fixed size
+by a hash, so any number of them fits; another minimiser of the same bit is spread as well, for nothing.
+Grams of few distinct words rank last.
 
 Nulls: a null text has no words.  A row without an id is neither smaller nor larger than another: nothing
 of it is removed, nor is anything removed on its account.  Repeated rows get equal results.  An empty table
@@ -24,28 +27,35 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from terrane.llm.common import settle, table
+from terrane.llm.common import forget, settle, table
 
 WIDTH, GRAM = 13, 3
-#: Places that travel along with a super-k-mer; bytes of text that one batch packs; windows of one super-k-mer; bins for each shuffle partition.
-FEW, BATCH_BYTES, LONGEST, BINS = 4, 12 << 20, 256, 8
-#: Documents sampled to find hot minimisers, least count there, and the most that are listed.
-EVERY, HOT_LEAST, HOT_MOST = 32, 48, 1 << 16
-#: Bits of the bitmap that tells which texts have something to remove.
-BITS = 1 << 26
-PLACE = np.dtype([("doc", "<i8"), ("tag", "<u4"), ("pos", "<i4")])
+#: Places that travel along with a super-k-mer, and windows of one super-k-mer.
+FEW, LONGEST = 4, 256
+#: Bytes of text that are cut into words at once, words that are hashed at once, bytes of super-k-mers in a batch.
+PIECE_BYTES, PIECE_WORDS, BATCH_BYTES = 1 << 19, 1 << 17, 24 << 20
+#: Bytes of text to a bin, and of super-k-mers that are judged at once.
+BIN_BYTES, SLICE_BYTES = 2 << 20, 4 << 20
+#: Documents sampled to find hot minimisers, and the least count there.
+EVERY, HOT_LEAST = 32, 48
+#: Bits of the bitmap of hot minimisers, and of the one that tells which texts have something to remove.
+HOT_BITS, BITS = 1 << 24, 1 << 26
+PLACE = np.dtype([("doc", "<i8"), ("tag", "<i8"), ("pos", "<i4")])
+MANY = np.dtype([("ref", "V16"), ("lo", "<i8"), ("hi", "<i8")])
 BLOCK, PARKED = 0, 1
-PACKED = "bin int, kind int, ref long, blob binary"
-FOUND = "kind int, key long, doc long, start int, n int, blob binary"
+PACKED = "bin int, kind int, ref binary, blob binary"
+FOUND = "kind int, tag long, ref binary, doc long, start int, n int, blob binary"
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+PRIME, FINGERPRINT = np.uint64(0x100000001B3), np.uint64(0xD1342543DE82EF95)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -54,13 +64,60 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def minimisers(words: list[bytes]) -> np.ndarray:
-    """The minimiser of each window, as an unsigned hash: a function of the window's words alone."""
-    h = np.fromiter(map(crc32, words), dtype=np.uint64, count=len(words))
+def _cumulated(counts: np.ndarray) -> np.ndarray:
+    """0 and the running sums of counts."""
+    return np.concatenate((np.zeros(1, dtype=np.int64), np.cumsum(counts, dtype=np.int64)))
+
+
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1 and so on, count[0] of them, then those of start[1]."""
+    ends = _cumulated(count)
+    return np.repeat(start - ends[:-1], count) + np.arange(ends[-1])
+
+
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values of data, one up to each of ends."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _bytes_of(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary array and where each value ends, after a 0."""
+    _, offsets, data = values.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+    whole = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
+    return whole[ends[0] : ends[-1]], ends - ends[0]
+
+
+def cut_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All words with a space after each, where each starts, where the last ends, whose it is, and its place there."""
+    raw = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+    space = SPACE[raw]
+    begins = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
+    kept = ~space
+    kept[1:] |= space[1:] & ~space[:-1]  # the first white space after a word
+    buffer = np.where(space, np.uint8(32), raw)[kept]
+    starts = np.concatenate(([0], np.flatnonzero(buffer == 32) + 1))
+    limits = np.cumsum([len(t) + 1 for t in texts])
+    whose = np.searchsorted(limits, begins, side="right")
+    first = np.searchsorted(whose, np.arange(len(texts)))
+    return buffer, starts, whose, np.arange(len(whose)) - first[whose]
+
+
+def word_hashes(buffer: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A hash of each word: the words' polynomials, mixed."""
+    begin, size = starts[:-1], np.diff(starts)
+    inside = _ranges(np.zeros(len(size), dtype=np.int64), size)
+    powers = np.cumprod(np.full(int(size.max(initial=1)), PRIME))
+    terms = (buffer[starts[0] : starts[-1]].astype(np.uint64) + np.uint64(1)) * powers[inside]
+    return _mixed(np.add.reduceat(terms, begin - starts[0]))
+
+
+def minimisers(h: np.ndarray) -> np.ndarray:
+    """The minimiser of each window from the hashes of the words: a function of the window's words alone."""
     n = len(h) - GRAM + 1
     gram, distinct = h[:n], np.ones(n, dtype=np.int8)
     for k in range(1, GRAM):
-        gram = gram * np.uint64(0x100000001B3) + h[k : n + k]
+        gram = gram * PRIME + h[k : n + k]
         new = np.ones(n, dtype=bool)
         for j in range(k):
             new &= h[j : n + j] != h[k : n + k]
@@ -74,133 +131,176 @@ def minimisers(words: list[bytes]) -> np.ndarray:
     return np.minimum(least[: len(least) - (width - span)], least[width - span :]) if span < width else least
 
 
-def _window_hashes(words: list[bytes]) -> np.ndarray:
-    h = _mixed(np.fromiter(map(crc32, words), dtype=np.uint64, count=len(words)))
+def _window_hashes(h: np.ndarray) -> np.ndarray:
     n = len(h) - WIDTH + 1
     out = h[:n]
     for k in range(1, WIDTH):
-        out = out * np.uint64(0x100000001B3) + h[k : n + k]
+        out = out * PRIME + h[k : n + k]
     return _mixed(out)
 
 
-def super_kmers(words: list[bytes], hot: np.ndarray) -> tuple[list[int], list[int], list[int]]:
-    """First window, number of windows and bucket of each super-k-mer of a text of WIDTH words or more."""
-    least = minimisers(words)
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, least), len(hot) - 1)
-        is_hot = hot[at] == least
+def _slot(bucket: np.ndarray) -> np.ndarray:
+    """A minimiser's bit in the bitmap of hot ones."""
+    return (_mixed(bucket.view(np.uint64)) % np.uint64(HOT_BITS)).astype(np.int64)
+
+
+def super_kmers(h: np.ndarray, whose: np.ndarray, hot: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows and bucket of each super-k-mer of texts' words, whose hashes are h; no window spans two texts."""
+    if len(h) < WIDTH:
+        return (np.zeros(0, dtype=np.int64),) * 3
+    least = minimisers(h).view(np.int64)
+    valid = np.flatnonzero(whose[: len(least)] == whose[WIDTH - 1 :])
+    if not len(valid):
+        return (np.zeros(0, dtype=np.int64),) * 3
+    if hot is not None:
+        slot = _slot(least)
+        is_hot = (hot[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
         if is_hot.any():
-            least = np.where(is_hot, _window_hashes(words), least)
-    cut = np.flatnonzero(least[1:] != least[:-1]) + 1
-    start = np.concatenate(([0], cut))
-    count = np.diff(np.concatenate((start, [len(least)])))
+            least = np.where(is_hot, _window_hashes(h).view(np.int64), least)
+    bucket = least[valid]
+    cut = np.flatnonzero((np.diff(valid) != 1) | (bucket[1:] != bucket[:-1])) + 1
+    at = np.concatenate(([0], cut))
+    start, count = valid[at], np.diff(np.concatenate((at, [len(valid)])))
+    bucket = bucket[at]
     if count.max() > LONGEST:
         parts = -(-count // LONGEST)
-        inside = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        start, end = np.repeat(start, parts) + inside * LONGEST, np.repeat(start + count, parts)
+        inside = _ranges(np.zeros(len(parts), dtype=np.int64), parts)
+        end = np.repeat(start + count, parts)
+        start, bucket = np.repeat(start, parts) + inside * LONGEST, np.repeat(bucket, parts)
         count = np.minimum(end - start, LONGEST)
-    return start.tolist(), count.tolist(), least[start].view(np.int64).tolist()
+    return start, count, bucket
 
 
-def _block(rows: list[tuple[bytes, int, list]], refs: list[int | None]) -> bytes:
-    """Super-k-mers with their buckets and places (doc, tag, pos), compressed; ref instead of places where there are many."""
-    import zstandard
+def _pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """cut_words() in pieces of PIECE_WORDS words; a piece starts WIDTH - 1 words before the last one's end."""
+    buffer, starts, whose, place = cut_words(texts)
+    for at in range(0, max(0, len(whose) - WIDTH + 1), PIECE_WORDS):
+        to = min(len(whose), at + PIECE_WORDS + WIDTH - 1)
+        yield buffer, starts[at : to + 1], whose[at:to], place[at:to]
+
 
-    few = [r is None for r in refs]
-    places = np.array([p for (_, _, own), f in zip(rows, few, strict=True) if f for p in own], dtype=PLACE)
-    many = [(r, min(own)[0], max(own)[0]) for (_, _, own), r in zip(rows, refs, strict=True) if r is not None]
-    counts = np.array([len(own) if f else 0 for (_, _, own), f in zip(rows, few, strict=True)], dtype="<u4")
+def _groups(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts of a batch, PIECE_BYTES at a time, and the row of the first."""
+    sizes = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PIECE_BYTES, side="right")))
+        yield at, batch.column("text").slice(at, to - at).to_pylist()
+        at = to
+
+
+def _block(compress, kmers: tuple[np.ndarray, np.ndarray], bucket: np.ndarray, held: np.ndarray, places: np.ndarray, many: np.ndarray) -> bytes:
+    """Super-k-mers with their buckets and places, compressed; many instead of places where held is 0."""
+    data, ends = kmers
     parts = [
-        counts,
-        np.array([b & 0xFFFFFFFF for _, b, _ in rows], dtype="<u4"),
-        *(np.diff(places[c], prepend=places[c].dtype.type(0)) for c in ("doc", "tag", "pos")),
-        np.array(many, dtype="<i8").reshape(-1, 3),
+        np.array([len(held), len(places), len(many)], dtype="<u4"),
+        held.astype("<u4"),
+        (bucket & 0xFFFFFFFF).astype("<u4"),
+        np.diff(ends).astype("<u4"),
+        *(np.diff(places[c], prepend=places[c].dtype.type(0)) for c in PLACE.names),
+        many,
+        data,
     ]
-    sizes = np.array([len(rows), len(places), len(many)], dtype="<u4")
-    return zstandard.compress(sizes.tobytes() + b"".join(x.tobytes() for x in parts) + b"\n".join(k for k, _, _ in rows))
+    return compress(b"".join(x.tobytes() for x in parts))
 
 
-def _unblock(blob: bytes) -> tuple:
-    """What _block packed: counts, buckets, places, many (ref, lo, hi) and the super-k-mers."""
-    import zstandard
-
-    raw = zstandard.decompress(blob)
+def _unblock(raw: bytes) -> tuple[np.ndarray, ...]:
+    """What _block packed: held, buckets, sizes, places, many and the super-k-mers' bytes."""
     n, n_places, n_many = np.frombuffer(raw, "<u4", 3).tolist()
     at = 12
 
-    def take(kind: str, count: int) -> np.ndarray:
+    def take(kind, count: int) -> np.ndarray:
         nonlocal at
         out = np.frombuffer(raw, kind, count, at)
         at += out.nbytes
         return out
 
-    counts, buckets = take("<u4", n), take("<u4", n)
+    held, buckets, sizes = take("<u4", n), take("<u4", n), take("<u4", n)
     places = np.empty(n_places, dtype=PLACE)
-    for c in ("doc", "tag", "pos"):
+    for c in PLACE.names:
         places[c] = np.cumsum(take(PLACE[c].str, n_places), dtype=PLACE[c])
-    many = take("<i8", 3 * n_many).reshape(-1, 3)
-    return counts, buckets, places, many, raw[at:].split(b"\n")
+    return held, buckets, sizes, places, take(MANY, n_many), np.frombuffer(raw, np.uint8, offset=at)
 
 
-def _packer(hot: np.ndarray, bins: int):
+def _packer(hot, bins: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kmers: dict[bytes, list] = {}
+        import zstandard
+
+        compress = zstandard.ZstdCompressor().compress
+        waiting: list[tuple] = []
         volume = 0
 
         def flush() -> pa.RecordBatch:
-            dealt: dict[int, tuple[list, list]] = {}
-            out: list[tuple] = []
-            for kmer, (bucket, places) in kmers.items():
-                ref = None
-                if len(places) > FEW:
-                    ref = int.from_bytes(hashlib.blake2b(kmer + repr(places[0]).encode(), digest_size=8).digest(), "little", signed=True)
-                    out += [((ref + at * 0x9E3779B1 >> 8) % bins, PARKED, ref, np.array(places[at : at + 64], dtype=PLACE).tobytes()) for at in range(0, len(places), 64)]
-                rows, refs = dealt.setdefault((bucket >> 32) % bins, ([], []))
-                rows.append((kmer, bucket, places))
-                refs.append(ref)
-            out += [(k, BLOCK, None, _block(rows, refs)) for k, (rows, refs) in dealt.items()]
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
+            encoded = pa.chunked_array([w[0] for w in waiting]).combine_chunks().dictionary_encode()
+            code, distinct = encoded.indices.to_numpy(), encoded.dictionary
+            places = np.empty(len(code), dtype=PLACE)
+            for k, c in enumerate(PLACE.names):
+                places[c] = np.concatenate([w[2 + k] for w in waiting])
+            bucket = np.empty(len(distinct), dtype=np.int64)
+            bucket[code] = np.concatenate([w[1] for w in waiting])
+            held = np.bincount(code, minlength=len(distinct))
+            bin_of = (bucket >> 32) % bins
+            order = np.argsort(bin_of, kind="stable")  # super-k-mers by bin, in text order
+            rank = np.empty(len(order), dtype=np.int64)
+            rank[order] = np.arange(len(order))
+            places = places[np.argsort(rank[code], kind="stable")]
+            bin_of, bucket, held = bin_of[order], bucket[order], held[order]
+            data, ends = _bytes_of(distinct.take(pa.array(order)))
+            at, parked = _cumulated(held), held > FEW
+            many, out = np.empty(int(parked.sum()), dtype=MANY), []
+            for k, i in enumerate(np.flatnonzero(parked).tolist()):
+                own = places[at[i] : at[i + 1]]
+                ref = hashlib.blake2b(data[ends[i] : ends[i + 1]].tobytes() + own[0].tobytes(), digest_size=16).digest()
+                many[k] = (np.void(ref), own["doc"].min(), own["doc"].max())
+                out += [((int.from_bytes(ref[:4], "little") + s) % bins, PARKED, ref, own[s : s + 64].tobytes()) for s in range(0, len(own), 64)]
+            held = np.where(parked, 0, held)
+            places = places[np.repeat(~parked, np.diff(at))]
+            at, nth = _cumulated(held), _cumulated(parked)
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(bin_of)) + 1, [len(bin_of)])).tolist()
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                kmers = data[ends[a] : ends[b]], ends[a : b + 1]
+                out.append((int(bin_of[a]), BLOCK, None, _block(compress, kmers, bucket[a:b], held[a:b], places[at[a] : at[b]], many[nth[a] : nth[b]])))
+            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["bin", "kind", "ref", "blob"])
 
         for batch in batches:
-            for doc, tag, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "text")), strict=True):
-                words = text.split()
-                if len(words) < WIDTH:
-                    continue
-                line, ends, at = b" ".join(words), [], -1
-                for w in words:
-                    at += len(w) + 1
-                    ends.append(at)
-                for s, n, bucket in zip(*super_kmers(words, hot), strict=True):
-                    kmer = line[(ends[s - 1] + 1 if s else 0) : ends[s + n + WIDTH - 2]]
-                    if (found := kmers.get(kmer)) is None:
-                        kmers[kmer] = [bucket, [(doc, tag, s)]]
-                    else:
-                        found[1].append((doc, tag, s))
-                volume += len(line)
-                if volume >= BATCH_BYTES:
-                    yield flush()
-                    kmers.clear()
-                    volume = 0
-        if kmers:
+            ids, tags = (batch.column(c).to_numpy() for c in ("doc_id", "tag"))
+            for row, texts in _groups(batch):
+                for buffer, starts, whose, place in _pieces(texts):
+                    first, count, bucket = super_kmers(word_hashes(buffer, starts), whose, hot and hot.value)
+                    if not len(first):
+                        continue
+                    begin, size = starts[first], starts[first + count + WIDTH - 1] - starts[first]
+                    kmers = _binary(buffer[_ranges(begin, size)], _cumulated(size))
+                    waiting.append((kmers, bucket, ids[row + whose[first]], tags[row + whose[first]], place[first]))
+                    volume += int(size.sum())
+                    if volume >= BATCH_BYTES:
+                        yield flush()
+                        waiting.clear()
+                        volume = 0
+        if waiting:
             yield flush()
 
     return pack
 
 
 def _hot_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    none = np.zeros(0, dtype=np.uint64)
+    """(slot, n): documents with a minimiser of the slot."""
     for batch in batches:
-        buckets = [np.unique(np.array(super_kmers(w, none)[2], dtype=np.int64)) for t in batch.column("text").to_pylist() if len(w := t.split()) >= WIDTH]
-        values, counts = np.unique(np.concatenate(buckets) if buckets else np.zeros(0, np.int64), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(values, pa.int64()), pa.array(counts, pa.int64())], names=["bucket", "n"])
+        found = [np.zeros(0, dtype=np.int64)]
+        for _, texts in _groups(batch):
+            for buffer, starts, whose, _ in _pieces(texts):
+                first, _, bucket = super_kmers(word_hashes(buffer, starts), whose, None)
+                found.append(np.unique(_slot(bucket) * len(texts) + whose[first]) // len(texts))
+        values, counts = np.unique(np.concatenate(found), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(values, pa.int64()), pa.array(counts, pa.int64())], names=["slot", "n"])
 
 
 def _runs(places: np.ndarray, of: np.ndarray, first: np.ndarray, count: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, ...]:
     """Runs of removed windows: places[i] has the windows least[first[of[i]]:][:count[of[i]]]; (doc, tag, start, words) of each run."""
     n = count[of]
     which = np.repeat(np.arange(len(of)), n)
-    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    inside = _ranges(np.zeros(len(of), dtype=np.int64), n)
     gone = least[np.repeat(first[of], n) + inside] < places["doc"][which]
     which, inside = which[gone], inside[gone]
     new = np.ones(len(which), dtype=bool)
@@ -208,128 +308,169 @@ def _runs(places: np.ndarray, of: np.ndarray, first: np.ndarray, count: np.ndarr
     at = np.flatnonzero(new)
     words = np.diff(np.concatenate((at, [len(which)]))) + WIDTH - 1
     who = which[at]
-    return places["doc"][who], places["tag"][who].astype(np.int64), (places["pos"][who] + inside[at]).astype(np.int32), words.astype(np.int32)
+    return places["doc"][who], places["tag"][who], (places["pos"][who] + inside[at]).astype(np.int32), words.astype(np.int32)
+
+
+def _found(kind: int, size: int, **columns) -> pa.RecordBatch:
+    kinds = {"tag": pa.int64(), "ref": pa.binary(), "doc": pa.int64(), "start": pa.int32(), "n": pa.int32(), "blob": pa.binary()}
+    arrays = [pa.array(columns[c], k) if c in columns else pa.nulls(size, k) for c, k in kinds.items()]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), *arrays], names=["kind", *kinds])
+
 
+def _sorted_windows(word: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts equal windows together, and which of them are the first of their kind.
 
-def _found(kind, key, doc, start, n, blob) -> pa.RecordBatch:
-    size = len(key)
-    arrays = [pa.array(np.full(size, kind, np.int32)), pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(blob, pa.binary())]
-    return pa.RecordBatch.from_arrays(arrays, names=["kind", "key", "doc", "start", "n", "blob"])
+    Windows are sorted by a fingerprint of their words; neighbours with one fingerprint are compared word by
+    word, and if two differ all are sorted by their words.
+    """
+    same_words = lambda a, b: np.logical_and.reduce([word[a + k] == word[b + k] for k in range(WIDTH)])
+    mark = word[begin].astype(np.uint64)
+    for k in range(1, WIDTH):
+        mark = mark * FINGERPRINT + word[begin + k].astype(np.uint64)
+    mark = _mixed(mark)
+    order = np.argsort(mark)
+    alike = np.flatnonzero(mark[order][1:] == mark[order][:-1])
+    equal = same_words(begin[order[alike]], begin[order[alike + 1]])
+    if not equal.all():
+        order = np.lexsort([word[begin + k] for k in range(WIDTH)])
+        alike = np.arange(len(order) - 1)
+        equal = same_words(begin[order[:-1]], begin[order[1:]])
+    new = np.ones(len(order), dtype=bool)
+    new[alike[equal] + 1] = False
+    return order, new
+
+
+def _judged(data: np.ndarray, size: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of super-k-mers that hold all copies of their windows: where the windows of each start, how many, and the least id of each window."""
+    ends = np.concatenate(([0], np.flatnonzero(data == 32) + 1))
+    word = _binary(data, ends).dictionary_encode().indices.to_numpy()
+    words = np.diff(np.searchsorted(ends, _cumulated(size)))
+    count = words - (WIDTH - 1)
+    begin, owner = _ranges(_cumulated(words)[:-1], count), np.repeat(np.arange(len(count)), count)
+    order, new = _sorted_windows(word, begin)
+    heads = np.flatnonzero(new)
+    least = np.empty(len(order), dtype=np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(lo[owner[order]], heads), np.diff(np.concatenate((heads, [len(order)]))))
+    return _cumulated(count)[:-1], count, least
 
 
 def _resolve(blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
     """All blocks of a bin: removed runs (kind 0) and verdicts (1)."""
-    parts = [_unblock(x) for x in blocks]
-    counts, buckets, places, many = (np.concatenate(x) for x in list(zip(*parts, strict=True))[:4])
-    kmers = [k for p in parts for k in p[4]]
-    held, is_many = counts.astype(np.int64), counts == 0
-    lo, hi = np.empty(len(kmers), dtype=np.int64), np.empty(len(kmers), dtype=np.int64)
-    lo[is_many], hi[is_many] = many[:, 1], many[:, 2]
-    at = np.cumsum(held) - held
+    held, buckets, size, places, many, data = (np.concatenate(x) for x in zip(*map(_unblock, blocks), strict=True))
+    held, size, parked = held.astype(np.int64), size.astype(np.int64), held == 0
+    lo, hi = np.empty(len(held), dtype=np.int64), np.empty(len(held), dtype=np.int64)
+    lo[parked], hi[parked] = many["lo"], many["hi"]
+    at, offset, nth = _cumulated(held), _cumulated(size), _cumulated(parked)
     if len(places):
-        lo[~is_many], hi[~is_many] = (f.reduceat(places["doc"], at[~is_many]) for f in (np.minimum, np.maximum))
+        lo[~parked], hi[~parked] = (f.reduceat(places["doc"], at[:-1][~parked]) for f in (np.minimum, np.maximum))
     order = np.argsort(buckets, kind="stable")
     cut = np.concatenate(([0], np.flatnonzero(np.diff(buckets[order])) + 1))
     shared = np.minimum.reduceat(lo[order], cut) < np.maximum.reduceat(hi[order], cut)
     rows = order[np.repeat(shared, np.diff(np.concatenate((cut, [len(order)]))))]
     if not len(rows):
         return
-    refs = np.zeros(len(kmers), dtype=np.int64)
-    refs[is_many] = many[:, 0]
-    kmers, lo, hi, held, at, refs, is_many = [kmers[i] for i in rows.tolist()], lo[rows], hi[rows], held[rows], at[rows], refs[rows], is_many[rows]
-    text = b" ".join(kmers)
-    gaps = np.flatnonzero(np.frombuffer(text, dtype=np.uint8) == 32)
-    starts, ends = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(text)]))
-    limits = np.cumsum([len(k) + 1 for k in kmers]) - 1
-    words = np.diff(np.concatenate(([0], np.searchsorted(ends, limits) + 1)))
-    count = words - (WIDTH - 1)
-    first = np.cumsum(count) - count
-    owner = np.repeat(np.arange(len(kmers)), count)
-    begin = np.arange(count.sum()) + owner * (WIDTH - 1)
-    windows = [text[s:e] for s, e in zip(starts[begin].tolist(), ends[begin + WIDTH - 1].tolist(), strict=True)]
-    by = sorted(range(len(windows)), key=windows.__getitem__)
-    new = np.ones(len(by), dtype=bool)
-    new[1:] = [windows[a] != windows[b] for a, b in zip(by[1:], by, strict=False)]
-    heads, sorted_ = np.flatnonzero(new), np.array(by)
-    least = np.empty(len(by), dtype=np.int64)
-    least[sorted_] = np.repeat(np.minimum.reduceat(lo[owner[sorted_]], heads), np.diff(np.concatenate((heads, [len(by)]))))
-    of = np.repeat(np.arange(len(kmers)), held)
-    if len(of):
-        inside = np.arange(len(of)) - np.repeat(np.cumsum(held) - held, held)
-        doc, tag, start, n = _runs(places[np.repeat(at, held) + inside], of, first, count, least)
+    total = np.cumsum(size[rows])
+    borders = np.flatnonzero(np.diff(buckets[rows])) + 1  # a slice ends with a bucket
+    a = 0
+    while a < len(rows):
+        far = np.searchsorted(total, (total[a - 1] if a else 0) + SLICE_BYTES)
+        b = int(borders[k]) if (k := np.searchsorted(borders, max(far, a + 1))) < len(borders) else len(rows)
+        some, a = rows[a:b], b
+        first, count, least = _judged(data[_ranges(offset[some], size[some])], size[some], lo[some])
+        of = np.repeat(np.arange(len(some)), held[some])
+        doc, tag, start, n = _runs(places[_ranges(at[some], held[some])], of, first, count, least)
         if len(doc):
-            yield _found(0, tag, doc, start, n, [None] * len(doc))
-    told = [i for i in np.flatnonzero(is_many).tolist() if (least[first[i] : first[i] + count[i]] < hi[i]).any()]
-    if told:
-        zero = np.zeros(len(told), np.int64)
-        yield _found(1, refs[told], zero, zero.astype(np.int32), zero.astype(np.int32), [least[first[i] : first[i] + count[i]].tobytes() for i in told])
+            yield _found(0, len(doc), doc=doc, tag=tag, start=start, n=n)
+        told = [i for i in np.flatnonzero(parked[some]).tolist() if (least[first[i] : first[i] + count[i]] < hi[some[i]]).any()]
+        if told:
+            refs = [many["ref"][nth[some[i]]].tobytes() for i in told]
+            yield _found(1, len(told), ref=refs, blob=[least[first[i] : first[i] + count[i]].tobytes() for i in told])
 
 
 def _resolver(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by bin; parked places pass through (kind 2)."""
+    import zstandard
+
+    decompress = zstandard.ZstdDecompressor().decompress
     now, blocks = None, []
     for batch in batches:
-        parked = batch.filter(pa.compute.equal(batch.column("kind"), PARKED))
+        parked = batch.filter(pc.equal(batch.column("kind"), PARKED))
         if k := parked.num_rows:
-            yield _found(2, parked.column("ref").to_numpy(zero_copy_only=False), np.zeros(k, np.int64), np.zeros(k, np.int32), np.zeros(k, np.int32), parked.column("blob").to_pylist())
-        for b, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("bin", "kind", "blob")), strict=True):
+            yield _found(2, k, ref=parked.column("ref"), blob=parked.column("blob"))
+        packed = batch.filter(pc.equal(batch.column("kind"), BLOCK))
+        for b, blob in zip(packed.column("bin").to_pylist(), packed.column("blob"), strict=True):
             if b != now:
                 if blocks:
                     yield from _resolve(blocks)
                 now, blocks = b, []
-            if kind == BLOCK:
-                blocks.append(blob)
+            blocks.append(decompress(blob.as_buffer()))
     if blocks:
         yield from _resolve(blocks)
 
 
 def _unpark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for blob, verdict in zip(batch.column("places").to_pylist(), batch.column("least").to_pylist(), strict=True):
-            places, least = np.frombuffer(blob, dtype=PLACE), np.frombuffer(verdict, dtype=np.int64)
+        for blob, verdict in zip(batch.column("places"), batch.column("least"), strict=True):
+            places, least = np.frombuffer(blob.as_buffer(), dtype=PLACE), np.frombuffer(verdict.as_buffer(), dtype=np.int64)
             zero = np.zeros(len(places), dtype=np.int64)
             doc, tag, start, n = _runs(places, zero, zero[:1], np.array([len(least)]), least)
-            yield pa.RecordBatch.from_arrays([pa.array(tag), pa.array(doc), pa.array(start), pa.array(n)], names=["key", "doc", "start", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(tag), pa.array(doc), pa.array(start), pa.array(n)], names=["tag", "doc", "start", "n"])
 
 
-def _tag(docs: DataFrame) -> Column:
-    """Tells apart rows that share an id: 32 bits of a hash of the text, or 0 where no id has two texts, as then it would only be carried along."""
-    tags = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("tag")).groupBy("doc_id").agg(F.min("tag").alias("a"), F.max("tag").alias("b"))
-    two = tags.where("a != b").limit(1).count() > 0
-    return F.xxhash64("text").bitwiseAND(0xFFFFFFFF) if two else F.lit(0).cast("long")
+def _surveyed(docs: DataFrame) -> tuple[Column, int]:
+    """What tells apart rows that share an id, and the bytes of all texts.
 
-
-def removed_runs(docs: DataFrame, tag: Column) -> DataFrame:
-    """(doc_id, tag, start, n): runs of words to remove.  Runs may overlap."""
-    spark = docs.sparkSession
-    bins = BINS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    The first is a hash of the text, or 0 where no id has two texts, as then it would only be carried along.
+    """
+    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("tag"), F.octet_length("text").cast("long").alias("size"))
+    ids = rows.groupBy("doc_id").agg(F.min("tag").alias("a"), F.max("tag").alias("b"), F.sum("size").alias("size"))
+    seen = ids.agg(F.max(F.col("a") != F.col("b")).alias("two"), F.sum("size").alias("size")).first()
+    return F.xxhash64("text") if seen.two else F.lit(0).cast("long"), seen["size"] or 0
+
+
+def _hot(rows: DataFrame):
+    """The bitmap of hot minimisers as a broadcast of HOT_BITS bits; None if there are none."""
+    sampled = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(EVERY)) == 0).select("text").mapInArrow(_hot_counter, "slot long, n long")
+    marked = sampled.groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_LEAST).select((F.col("slot") + 1).alias("h"))
+    bits = marked.groupBy(F.expr("bitmap_bucket_number(h)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("bits"))
+    parts = bits.collect()  # HOT_BITS bits in rows of 4 KB
+    if not parts:
+        return None
+    whole = np.zeros(HOT_BITS // 8, dtype=np.uint8)
+    for r in parts:
+        whole[(r.part - 1) * 4096 :][:4096] = np.frombuffer(r.bits, dtype=np.uint8)
+    return rows.sparkSession.sparkContext.broadcast(whole)
+
+
+def removed_runs(docs: DataFrame, tag: Column, size: int) -> DataFrame:
+    """(doc_id, tag, start, n): runs of words to remove.  Runs may overlap.  size: the bytes of all texts."""
+    bins = max(1, -(-size // BIN_BYTES))
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", tag.alias("tag"), F.col("text").cast("binary").alias("text"))
-    sampled = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(EVERY)) == 0).select("text").mapInArrow(_hot_counter, "bucket long, n long")
-    # No more than HOT_MOST longs come to the driver.
-    hot = sampled.groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_LEAST).orderBy(F.desc("n"), "bucket").limit(HOT_MOST).collect()
-    listed = np.sort(np.array([r.bucket for r in hot], dtype=np.int64).view(np.uint64))
-    blocks = rows.mapInArrow(_packer(listed, bins), PACKED)
+    blocks = rows.mapInArrow(_packer(_hot(rows), bins), PACKED)
     found = settle(blocks.repartition("bin").sortWithinPartitions("bin").mapInArrow(_resolver, FOUND))
-    direct = found.where("kind = 0").select("key", "doc", "start", "n")
-    verdicts = found.where("kind = 1").select("key", F.col("blob").alias("least"))
-    parked = found.where("kind = 2").select("key", F.col("blob").alias("places")).join(verdicts, "key").select("places", "least")
-    return direct.union(parked.mapInArrow(_unpark, "key long, doc long, start int, n int")).select(F.col("doc").alias("doc_id"), F.col("key").alias("tag"), "start", "n")
+    direct = found.where("kind = 0").select("tag", "doc", "start", "n")
+    verdicts = found.where("kind = 1").select("ref", F.col("blob").alias("least"))
+    parked = found.where("kind = 2").select("ref", F.col("blob").alias("places")).join(verdicts, "ref").select("places", "least")
+    out = settle(direct.union(parked.mapInArrow(_unpark, "tag long, doc long, start int, n int")).select(F.col("doc").alias("doc_id"), "tag", "start", "n"))
+    forget(found)
+    return out
 
 
 @F.arrow_udf(StructType([StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())]))
 def _cut(text: pa.Array, starts: pa.Array, lengths: pa.Array) -> pa.Array:
-    out = []
-    for t, ss, ns in zip(text.to_pylist(), starts.to_pylist(), lengths.to_pylist(), strict=True):
-        words = t.split()
-        total = len(words)
-        if ss:
-            gone = np.zeros(total + 1, dtype=np.int64)
+    total, removed, kept = [], [], []
+    for t, ss, ns in zip(text, starts, lengths, strict=True):
+        words = t.as_py().split()
+        total.append(len(words))
+        if ss.is_valid:
+            gone = np.zeros(len(words) + 1, dtype=np.int64)
+            ss = ss.values.to_numpy()
             np.add.at(gone, ss, 1)
-            np.add.at(gone, np.add(ss, ns), -1)
+            np.add.at(gone, ss + ns.values.to_numpy(), -1)
             words = [words[i] for i in np.flatnonzero(np.cumsum(gone[:-1]) == 0).tolist()]
-        out.append((total, total - len(words), b" ".join(words).decode("utf-8", "replace")))
-    columns = zip(*out, strict=True) if out else ((), (), ())
-    return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True)], names=["n_words", "n_removed", "kept"])
+        removed.append(total[-1] - len(words))
+        kept.append(b" ".join(words).decode("utf-8", "replace"))
+    return pa.StructArray.from_arrays([pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["n_words", "n_removed", "kept"])
 
 
 def _touched(runs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -352,9 +493,9 @@ def cut(docs: DataFrame) -> DataFrame:
 
     Only texts that may have runs are shuffled to them.
     """
-    tag = _tag(docs)
-    runs = settle(removed_runs(docs, tag))
-    gathered = runs.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    tag, size = _surveyed(docs)
+    runs = removed_runs(docs, tag, size)
+    gathered = runs.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "n")).alias("runs"))  # rows that repeat have the same ones
     rows = _touched(runs, docs.select("doc_id", tag.alias("tag"), "text"))
     hit = rows.where("_hit").join(gathered, ["doc_id", "tag"], "left").select("doc_id", "text", F.col("runs.start").alias("starts"), F.col("runs.n").alias("lengths"))
     none = F.lit(None).cast("array<int>")
