@@ -4,8 +4,9 @@ A known word counts with its log frequency in each language.  A word that isn't
 longest known character n-grams, from ORDER characters down to one, and counts with their mean log
 frequency.  A text gets the language of the greatest sum over all its words.
 
-The model is fitted on a bounded sample: TRAIN_ROWS rows with a text and a language that aren't held out,
-in an order hashed from the id; it keeps the MODEL_ROWS most frequent entries.  Every text is then read whole.
+The model is fitted on a bounded sample: of each language TRAIN_ROWS rows with a text that aren't held out, the
+first in an order hashed from id and text; of the words and n-grams there it keeps all that occur LEAST times.
+Every text is then read whole.
 
 Nulls: a null text, or one without a letter, is `und` with score 0; so is every text if nothing was
 learned.  Ties go to the first language in code point order.  Repeated rows get equal predictions.
@@ -19,14 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from terrane.llm.common import held_out, random_key, table
+from terrane.llm.common import held_out, table
 
-TRAIN_ROWS, MODEL_ROWS, ORDER, LEAST, SEED = 12_000, 160_000, 5, 2, "language-1:"
-MEMO = 200_000
+TRAIN_ROWS, ORDER, LEAST, SEED = 3_000, 5, 2, "language-1:"
+#: Words that a worker remembers; words, or n-grams of a word, that are looked up at once.
+MEMO, PART = 200_000, 50_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -56,35 +58,45 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Log frequencies of words and n-grams by language."""
-
-    def __init__(self, rows: list[tuple[int, str, str, int]]):
-        self.langs = sorted({lang for _, _, lang, _ in rows})
-        at = {lang: i for i, lang in enumerate(self.langs)}
-        counts: list[dict[str, np.ndarray]] = [{} for _ in range(ORDER + 1)]
-        for size, gram, lang, n in rows:
-            counts[size].setdefault(gram, np.zeros(len(at)))[at[lang]] += n
-        #: Log frequencies of words (order 0) and n-grams, a tuple with one for each language.
-        self.logs: list[dict[str, tuple[float, ...]]] = []
-        for found in counts:
-            total = sum(found.values()) if found else 0
-            self.logs.append({g: tuple(np.log((c + 0.05) / (total + 0.05 * len(found))).tolist()) for g, c in found.items()})
-
-    def word(self, word: str) -> tuple[float, ...] | None:
+    """Log frequencies of words and n-grams by language: a row of `logs` for each, found by its place in `rows`."""
+
+    def __init__(self, counts: list[tuple[int, str, str, int]]):
+        self.langs = sorted({lang for _, _, lang, _ in counts})
+        column = {lang: i for i, lang in enumerate(self.langs)}
+        #: Of words (order 0) and of the n-grams of each order.
+        self.rows: list[dict[str, int]] = [{} for _ in range(ORDER + 1)]
+        place = 0
+        for size, gram, _, _ in counts:
+            if gram not in self.rows[size]:
+                self.rows[size][gram] = place
+                place += 1
+        self.logs = np.full((place, len(column)), 0.05)
+        for size, gram, lang, n in counts:
+            self.logs[self.rows[size][gram], column[lang]] += n
+        for found in self.rows:
+            here = np.fromiter(found.values(), dtype=np.int64, count=len(found))
+            self.logs[here] = np.log(self.logs[here] / self.logs[here].sum(axis=0))
+
+    def word(self, word: str) -> np.ndarray | None:
         """Relative log frequencies of a lower-case word, the best at 0; None if it has nothing that is known."""
-        v = self.logs[0].get(word)
-        if v is None:
-            marked = f"<{word}>"
-            for order in range(min(ORDER, len(marked)), 0, -1):
-                get = self.logs[order].get
-                known = [x for i in range(len(marked) - order + 1) if (x := get(marked[i : i + order])) is not None]
-                if known:
-                    v = tuple([sum(c) / len(known) for c in zip(*known, strict=True)])
-                    break
-            else:
-                return None
-        top = max(v)
-        return tuple([x - top for x in v])
+        at = self.rows[0].get(word)
+        if at is not None:
+            v = self.logs[at]
+        elif (v := self._backed_off(f"<{word}>")) is None:
+            return None
+        return v - v.max()
+
+    def _backed_off(self, marked: str) -> np.ndarray | None:
+        for order in range(min(ORDER, len(marked)), 0, -1):
+            get, total, known = self.rows[order].get, np.zeros(len(self.langs)), 0
+            for a in range(0, len(marked) - order + 1, PART):  # a word can be as long as its text
+                part = range(a, min(a + PART, len(marked) - order + 1))
+                found = [at for i in part if (at := get(marked[i : i + order])) is not None]
+                total += self.logs[found].sum(axis=0)
+                known += len(found)
+            if known:
+                return total / known
+        return None
 
 
 def _predictor(shared):
@@ -110,8 +122,8 @@ def _predictor(shared):
         if not model.langs or not found:
             return "und", 0.0
         total, letters = np.zeros(len(model.langs)), False
-        for part in range(0, len(found), 50_000):
-            here = found[part : part + 50_000]
+        for part in range(0, len(found), PART):
+            here = found[part : part + PART]
             new = {w for w in here if w not in memo}
             if len(memo) + len(new) > MEMO:
                 memo.clear()
@@ -136,16 +148,23 @@ def _predictor(shared):
     return run
 
 
-def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
+def _sample(docs: DataFrame, train_rows: int) -> DataFrame:
+    """(text, lang) of the rows that are learned from."""
     able = docs.where("text IS NOT NULL AND lang IS NOT NULL").where(~held_out(F.col("doc_id")))
-    keyed = able.select("text", "lang", random_key(SEED, F.col("doc_id")).alias("_key"))
-    last = keyed.select("_key").orderBy("_key").limit(train_rows).agg(F.max("_key")).first()[0]
-    if last is None:
-        return Model([])
-    counts = keyed.where(F.col("_key") <= last).select("text", "lang").mapInArrow(_counter, "size int, gram string, lang string, n long")
+    keyed = able.select("text", "lang", F.xxhash64(F.lit(SEED), "doc_id", "text").alias("_key"))
+    share = (F.col("_key").cast("double") + 2.0**63) / 2.0**64
+    sizes = keyed.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    # Twice as many as are wanted of each language, then its first ones: a window never sees a whole language.
+    few = keyed.select("lang", "_key").withColumn("_share", share).join(F.broadcast(sizes), "lang").where(F.col("_share") * F.col("_n") <= 2.0 * train_rows)
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("_key"))
+    last = few.withColumn("_nth", nth).where(F.col("_nth") <= train_rows).groupBy("lang").agg(F.max("_key").alias("_last"))
+    return keyed.join(F.broadcast(last), "lang").where(F.col("_key") <= F.col("_last")).select("text", "lang")  # sizes, last: a row for each language
+
+
+def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
+    counts = _sample(docs, train_rows).mapInArrow(_counter, "size int, gram string, lang string, n long")
     total = counts.groupBy("size", "gram", "lang").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
-    rows = total.orderBy(F.desc("n"), "size", "gram", "lang").limit(MODEL_ROWS).collect()  # the model, of bounded size
-    return Model(sorted((r["size"], r.gram, r.lang, r.n) for r in rows))
+    return Model(sorted((r["size"], r.gram, r.lang, r.n) for r in total.toLocalIterator()))  # of the size of the bounded sample's vocabulary
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:

@@ -1,8 +1,8 @@
 """Mixing sources to target weights.
 
 Every row gets a key hashed from its id, so that the order inside a source is random and the same on each
-run.  Rows are sorted by key within the source's key ranges, running token totals come from two-level sums
-(common.running_total), and a source is cut exactly where its budget ends; a budget above the source's size
+run.  Rows are sorted by key within the source's key ranges, running token totals come from sums over levels
+of buckets (common.running_total), and a source is cut exactly where its budget ends; a budget above the source's size
 repeats whole epochs first.
 
 Nulls: a null text has size 0; a null source is a source of its own, last in order; a null id hashes like
@@ -56,7 +56,7 @@ def mix(docs: DataFrame, size: Column | None = None, rows: int | None = None, se
     digits = bucket_digits(docs.count() if rows is None else rows)
     keyed = sized.withColumn("_group", group_key(F.col("source"))).withColumn("_key", random_key(seed, F.col("doc_id"))).withColumn("_bucket", F.substring("_key", 1, digits))
     plan = targets(keyed.groupBy("_group").agg(F.sum("size").alias("source_size")), max_epochs)
-    placed = running_total(keyed, ["_group"], "_bucket", ["_key", "doc_id", "size"], F.col("size"), "_before", plan)
+    placed = running_total(keyed, ["_group"], "_bucket", ["_key", "doc_id", "size"], F.col("size"), "_before", F.substring("_bucket", 1, digits // 2), plan)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("_budget") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_budget") - F.col("_epochs") * F.col("source_size") - F.col("_before")))
     placed = placed.withColumn("_epochs", epochs).withColumn("_part", part.cast("long"))

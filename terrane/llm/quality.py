@@ -6,8 +6,9 @@ third; the rows that it covers are taken away and the next rule is grown, until
 The list is emitted as an ordered Spark conditional expression; its first matching rule rejects a text, and
 a text that none matches is kept.
 
-Labels are read from a bounded sample: SAMPLE labelled ids at most, the first in an order hashed from the
-id.  Ids whose labels disagree or are null are not learned from.  Statistics cover every whole text.
+Labels are read from a bounded sample: SAMPLE labelled rows at most, the first in an order hashed from the id,
+each text of an id once.  Ids whose labels disagree or are null are not learned from.  Statistics cover every
+whole text.  Every threshold between two values is a candidate; rules and conditions end where nothing is gained.
 
 Nulls: a null text has no words.  A text below MIN_WORDS words, or with over half of its words in repeated
 windows, has base_failed and is never kept.  Without labels the list is empty and the base decides.
@@ -25,11 +26,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from terrane.llm.common import packed, random_key, table, unpacked
+from terrane.llm.common import bounded_sample, packed, random_key, table, unpacked
 
 SAMPLE, MIN_WORDS, WINDOW, SEED = 20_000, 50, 3, "quality-1:"
-#: Limits of the learner: candidate thresholds of a feature, rules, conditions of a rule, covered rows and precision that a rule needs.
-CUTS, RULES, CONDITIONS, COVER, PRECISION = 48, 24, 4, 5, 0.75
+#: Covered rows and precision that a rule needs.
+COVER, PRECISION = 5, 0.75
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 COUNTS = (*BASE, "n_upper", "n_digits", "n_marks", "n_lines", "n_distinct")
@@ -123,7 +124,7 @@ def covers(rule: Rule, x: np.ndarray) -> np.ndarray:
 def _grow(x: np.ndarray, bad: np.ndarray) -> Rule:
     rule: Rule = ()
     held = np.ones(len(x), dtype=bool)
-    while len(rule) < CONDITIONS and bad[held].any() and not bad[held].all():
+    while bad[held].any() and not bad[held].all():
         p0, n0 = bad[held].sum(), held.sum()
         best, best_gain = None, 1e-9
         for k, name in enumerate(FEATURES):
@@ -131,8 +132,6 @@ def _grow(x: np.ndarray, bad: np.ndarray) -> Rule:
             order = np.argsort(v, kind="stable")
             v, y = v[order], y[order]
             edges = np.flatnonzero(v[1:] > v[:-1])
-            if len(edges) > CUTS:
-                edges = edges[np.linspace(0, len(edges) - 1, CUTS).astype(int)]
             if not len(edges):
                 continue
             below, total = np.cumsum(y), y.sum()
@@ -159,7 +158,7 @@ def learn(x: np.ndarray, bad: np.ndarray) -> list[Rule]:
     """Ordered rules for rejection from features x (columns as FEATURES) and labels bad; rows come shuffled."""
     prune = np.arange(len(x)) % 3 == 2
     rules: list[Rule] = []
-    while len(rules) < RULES and bad[~prune].any():
+    while bad[~prune].any():
         rule = _grow(x[~prune], bad[~prune])
         best = max((rule[:k] for k in range(1, len(rule) + 1)), key=lambda r: (_worth(r, x[prune], bad[prune]), -len(r)), default=())
         c = covers(best, x) if best else np.zeros(len(x), dtype=bool)
@@ -171,11 +170,11 @@ def learn(x: np.ndarray, bad: np.ndarray) -> list[Rule]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Statistics and label (1: bad) of at most `sample` labelled rows of docs, in hashed order."""
+    """Statistics and label (1: bad) of at most `sample` labelled rows of docs."""
     agreed = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_max")).where("quality = _max")
-    chosen = agreed.withColumn("_key", random_key(SEED, F.col("doc_id"))).orderBy("_key", "doc_id").limit(sample)
-    wanted = F.broadcast(chosen.select(F.col("doc_id").alias("_id"), "_key", "quality"))  # `sample` rows of three short columns at most
-    rows = with_statistics(docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("_id")).select("text", "_key", "quality"))
+    keyed = agreed.select(F.col("doc_id").alias("_id"), random_key(SEED, F.col("doc_id")).alias("_key"), "quality")
+    texts = docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = with_statistics(bounded_sample(texts, "text", keyed.orderBy("_key", "_id").limit(sample), sample))
     return rows.select("_key", (F.col("quality") == 0).cast("double").alias("_bad"), *[feature(f).alias(f) for f in FEATURES])
 
 

@@ -4,8 +4,11 @@ Strong spans are reported as found: assignments of a password or key, access ide
 Weak candidates are parts that mean nothing alone: a named identifier (user, login, client id, account), a
 loose key (20 or more characters of mixed case with a digit) and an endpoint (URL or host with port).  They
 are joined by interval within a scope, the text between two blank lines: an identifier counts if a secret
-starts within REACH code points of it, a key if an identifier does, an endpoint if both do.  A candidate
-that overlaps a strong span is that span and isn't reported again.
+starts within REACH code points of it, a key if an identifier does, an endpoint if both do.
+
+Parts are distinct strings: of spans that overlap one counts, a strong one before an endpoint before an
+identifier before a key, so an identifier's value is not its own secret and a path is not its URL's key.  An
+assignment or hex that overlaps an access identifier is reported, but is no secret part: it is that identifier.
 
 Matches of a kind and the gaps between them come from one extraction and one split; positions are running
 sums over them, and the interval join is a range window over each scope.  Only DataFrame functions are used.
@@ -80,20 +83,23 @@ def spans(found: DataFrame) -> DataFrame:
     placed = pieces.withColumn("end", F.sum(F.col("p.gap") + F.col("p.size")).over(before)).withColumn("start", F.col("end") - F.col("p.size"))
     least = F.create_map(*[F.lit(x) for k, (_, _, n) in KINDS.items() for x in (k, n)])
     placed = placed.where((F.col("kind") == "break") | (F.col("p.part") >= F.coalesce(least[F.col("kind")], F.lit(0)))).select(*key, "rank", "kind", "start", "end")
-    is_strong = F.col("kind").isin(*STRONG)
-    forward = Window.partitionBy(*key).orderBy("start", "rank").rowsBetween(Window.unboundedPreceding, -1)
-    backward = Window.partitionBy(*key).orderBy(F.desc("start"), F.desc("rank")).rowsBetween(Window.unboundedPreceding, -1)
-    near = placed.select(
-        "*",
-        F.max(F.when(is_strong, F.col("end"))).over(forward).alias("_strong_end"),
-        F.coalesce(F.sum(F.when(F.col("kind") == "break", 1)).over(forward), F.lit(0)).alias("_scope"),
-        F.min(F.when(is_strong, F.col("start"))).over(backward).alias("_strong_start"),
-    )
-    covered = ~is_strong & ((F.coalesce(F.col("_strong_end"), F.lit(0)) > F.col("start")) | (F.coalesce(F.col("_strong_start"), F.col("end")) < F.col("end")))
-    parts = near.where((F.col("kind") != "break") & ~covered)
+    is_strong, is_break = F.col("kind").isin(*STRONG), F.col("kind") == "break"
+    in_order = Window.partitionBy(*key).orderBy("start", "rank").rowsBetween(Window.unboundedPreceding, -1)
+    backwards = Window.partitionBy(*key).orderBy(F.desc("start"), F.desc("rank")).rowsBetween(Window.unboundedPreceding, -1)
+
+    def overlaps(test: Column) -> Column:
+        """Whether a span shares a code point with one before or after it for which test holds."""
+        end, start = F.max(F.when(test, F.col("end"))).over(in_order), F.min(F.when(test, F.col("start"))).over(backwards)
+        return (F.coalesce(end, F.lit(0)) > F.col("start")) | (F.coalesce(start, F.col("end")) < F.col("end"))
+
+    parts = placed.withColumn("_scope", F.coalesce(F.sum(F.when(is_break, 1)).over(in_order), F.lit(0))).withColumn("_over", overlaps(is_strong))
+    parts = parts.where(~is_break & (is_strong | ~F.col("_over")))
+    for above, below in (("endpoint", ("ident", "key")), ("ident", ("key",))):
+        parts = parts.withColumn("_over", overlaps(F.col("kind") == above)).where(~(F.col("kind").isin(*below) & F.col("_over")))
+    parts = parts.withColumn("_over", overlaps(F.col("kind") == "access"))
+    is_ident, is_secret = F.col("kind").isin("access", "ident"), (F.col("kind") == "key") | (F.col("kind").isin("assign", "hex") & ~F.col("_over"))
     reach = Window.partitionBy(*key, "_scope").orderBy("start").rangeBetween(-REACH, REACH)
-    has = lambda *k: F.max(F.col("kind").isin(*k)).over(reach)
-    linked = parts.withColumn("_ident", has("access", "ident")).withColumn("_secret", has("assign", "hex", "key"))
+    linked = parts.withColumn("_ident", F.max(is_ident).over(reach)).withColumn("_secret", F.max(is_secret).over(reach))
     counts = is_strong | ((F.col("kind") == "ident") & F.col("_secret")) | ((F.col("kind") == "key") & F.col("_ident")) | ((F.col("kind") == "endpoint") & F.col("_ident") & F.col("_secret"))
     return linked.where(counts).select(*key, "rank", "kind", "start", "end")
 
@@ -127,16 +133,18 @@ def _sql() -> str:
         part = f"length(regexp_extract(f[i], {quoted(pattern)}, {group}))"
         found.append(f"SELECT rid, {99 if kind == 'break' else rank} AS rank, '{kind}' AS kind, i, length(g[i]) AS gap, length(f[i]) AS size, {part} >= {least} AND {mixed} AS good FROM (SELECT rid, g, f, unnest(range(1, len(f) + 1)) AS i FROM (SELECT rid, string_split_regex(t, {quoted(pattern)}) AS g, regexp_extract_all(t, {quoted(pattern)}) AS f FROM d))")
     strong = "kind IN ('assign', 'access', 'hex')"
+    over = lambda test: f"(coalesce(max(CASE WHEN {test} THEN e END) OVER f, 0) > b OR coalesce(min(CASE WHEN {test} THEN b END) OVER g, e) < e)"
+    windows = "WINDOW f AS (PARTITION BY rid ORDER BY b, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), g AS (PARTITION BY rid ORDER BY b DESC, rank DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 p AS ({" UNION ALL ".join(found)}),
 s AS (SELECT *, sum(gap + size) OVER (PARTITION BY rid, rank ORDER BY i) AS e FROM p),
-n AS (SELECT rid, rank, kind, e - size AS b, e,
-        max(CASE WHEN {strong} THEN e END) OVER f AS before, count(CASE WHEN kind = 'break' THEN 1 END) OVER f AS scope,
-        min(CASE WHEN {strong} THEN e - size END) OVER (PARTITION BY rid ORDER BY e - size DESC, rank DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS after
-      FROM s WHERE good WINDOW f AS (PARTITION BY rid ORDER BY e - size, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-c AS (SELECT * FROM n WHERE kind <> 'break' AND ({strong} OR NOT (coalesce(before, 0) > b OR coalesce(after, e) < e))),
-l AS (SELECT *, bool_or(kind IN ('access', 'ident')) OVER r AS ident, bool_or(kind IN ('assign', 'hex', 'key')) OVER r AS secret
+n AS (SELECT rid, rank, kind, e - size AS b, e FROM s WHERE good),
+n1 AS (SELECT *, count(CASE WHEN kind = 'break' THEN 1 END) OVER f AS scope, {over(strong)} AS o FROM n {windows}),
+n2 AS (SELECT rid, rank, kind, b, e, scope, {over("kind = 'endpoint'")} AS o FROM n1 WHERE kind <> 'break' AND ({strong} OR NOT o) {windows}),
+n3 AS (SELECT rid, rank, kind, b, e, scope, {over("kind = 'ident'")} AS o FROM n2 WHERE kind NOT IN ('ident', 'key') OR NOT o {windows}),
+c AS (SELECT rid, rank, kind, b, e, scope, {over("kind = 'access'")} AS o FROM n3 WHERE kind <> 'key' OR NOT o {windows}),
+l AS (SELECT *, bool_or(kind IN ('access', 'ident')) OVER r AS ident, bool_or(kind = 'key' OR (kind IN ('assign', 'hex') AND NOT o)) OVER r AS secret
       FROM c WINDOW r AS (PARTITION BY rid, scope ORDER BY b RANGE BETWEEN {REACH} PRECEDING AND {REACH} FOLLOWING)),
 k AS (SELECT *, kind || ':' || CAST(b AS BIGINT) || ':' || CAST(e AS BIGINT) AS x FROM l
       WHERE {strong} OR (kind = 'ident' AND secret) OR (kind = 'key' AND ident) OR (kind = 'endpoint' AND ident AND secret)),

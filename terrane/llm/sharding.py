@@ -3,7 +3,7 @@
 Rows are ranked within their source in an order shuffled by a seed; row number r of n gets the fraction
 (2r + 1) / 2n; all rows are sorted by that fraction and cut into runs of equal length, so every shard holds
 each source in the proportion of the whole.  The law is `rows`: shard sizes differ by one row at most.
-Both ranks are two-level running counts (common.running_total); no task sorts a whole source or the table.
+Both ranks are running counts over levels of buckets (common.running_total); no task sorts a whole source or the table.
 
 Nulls: a null text has the size of an empty one; a null source is a source of its own; a null id hashes
 like an empty one.  Equal texts are not kept together: each row is placed by its source and key alone, and
@@ -36,10 +36,10 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, rows: in
     keyed = docs.withColumn("_group", group_key(F.col("source"))).withColumn("_key", random_key(seed, F.col("doc_id"))).withColumn("_bucket", F.substring("_key", 1, digits))
     counts = keyed.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"))
     tie = ["_key", "doc_id", "size", "text_crc32"]
-    ranked = running_total(keyed, ["_group"], "_bucket", tie, F.lit(1), "_rank", counts)
+    ranked = running_total(keyed, ["_group"], "_bucket", tie, F.lit(1), "_rank", F.substring("_bucket", 1, digits // 2), counts)
     ranked = ranked.withColumn("_fraction", (2 * F.col("_rank") + 1).cast("double") / (2 * F.col("_n")).cast("double"))
     ranges = ranked.withColumn("_all", F.lit(0)).withColumn("_bucket", F.floor(F.col("_fraction") * 16**digits))
-    out = running_total(ranges, ["_all"], "_bucket", ["_fraction", "_group", *tie], F.lit(1), "_place")
+    out = running_total(ranges, ["_all"], "_bucket", ["_fraction", "_group", *tie], F.lit(1), "_place", F.floor(F.col("_bucket") / 16 ** (digits // 2)))
     total = max(rows, 1)
     shard = F.expr(f"_place * {shards} div {total}")
     out = out.withColumn("law", F.lit("rows")).withColumn("shard", shard.cast("int"))
@@ -55,9 +55,9 @@ def sharded(docs: DataFrame, **options) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:
-    """One folder for each shard, its files in slot order."""
+    """One folder for each shard; its files hold ranges of slots, each in order, so that many tasks write a shard."""
     out = interleave(measured(docs), **options)
-    out.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from terrane.llm.common import forget, settle, table
+from terrane.llm.common import forget, settle, table, thin_filter
 
 WIDTH, GRAM = 13, 3
 #: Places that travel along with a super-k-mer, and windows of one super-k-mer.
@@ -46,8 +46,8 @@ PIECE_BYTES, PIECE_WORDS, BATCH_BYTES = 1 << 19, 1 << 17, 24 << 20
 BIN_BYTES, SLICE_BYTES = 2 << 20, 4 << 20
 #: Documents sampled to find hot minimisers, and the least count there.
 EVERY, HOT_LEAST = 32, 48
-#: Bits of the bitmap of hot minimisers, and of the one that tells which texts have something to remove.
-HOT_BITS, BITS = 1 << 24, 1 << 26
+#: Bits of the bitmap of hot minimisers.
+HOT_BITS = 1 << 24
 PLACE = np.dtype([("doc", "<i8"), ("tag", "<i8"), ("pos", "<i4")])
 MANY = np.dtype([("ref", "V16"), ("lo", "<i8"), ("hi", "<i8")])
 BLOCK, PARKED = 0, 1
@@ -473,30 +473,21 @@ def _cut(text: pa.Array, starts: pa.Array, lengths: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["n_words", "n_removed", "kept"])
 
 
-def _touched(runs: DataFrame, rows: DataFrame) -> DataFrame:
-    """rows with `_hit`, false for a row that certainly has no run.
-
-    A bitmap of BITS hash bits (2048 rows of 4 KB at most, 8 MB) is broadcast; where many rows have runs it
-    says true for others as well, and those are joined for nothing.
-    """
-    place = lambda: F.pmod(F.xxhash64("doc_id", "tag"), F.lit(BITS)) + 1
-    marks = runs.select(place().alias("h")).select(F.expr("bitmap_bucket_number(h)").alias("_bucket"), F.expr("bitmap_bit_position(h)").alias("p"))
-    bitmap = marks.groupBy("_bucket").agg(F.expr("bitmap_construct_agg(p)").alias("_bits"))
-    keyed = rows.withColumn("_h", place()).withColumn("_bucket", F.expr("bitmap_bucket_number(_h)")).withColumn("_at", F.expr("cast(bitmap_bit_position(_h) as int)"))
-    byte = F.expr("cast(conv(hex(substring(_bits, _at div 8 + 1, 1)), 16, 10) as int)")
-    hit = F.coalesce(F.pmod(F.floor(byte / F.pow(F.lit(2.0), (F.col("_at") % 8).cast("double"))), F.lit(2)) == 1, F.lit(False))
-    return keyed.join(F.broadcast(bitmap), "_bucket", "left").withColumn("_hit", hit).drop("_h", "_bucket", "_at", "_bits")
+def touched(runs: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows with `_hit`, false for a row that certainly has no run."""
+    key = F.xxhash64("doc_id", "tag")
+    return thin_filter(rows, key, runs, key)
 
 
 def cut(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept, the words that stay joined by one space, of each row of docs.
 
-    Only texts that may have runs are shuffled to them.
+    Only texts that may have runs, by common.thin_filter(), are shuffled to them.
     """
     tag, size = _surveyed(docs)
     runs = removed_runs(docs, tag, size)
     gathered = runs.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "n")).alias("runs"))  # rows that repeat have the same ones
-    rows = _touched(runs, docs.select("doc_id", tag.alias("tag"), "text"))
+    rows = touched(runs, docs.select("doc_id", tag.alias("tag"), "text"))
     hit = rows.where("_hit").join(gathered, ["doc_id", "tag"], "left").select("doc_id", "text", F.col("runs.start").alias("starts"), F.col("runs.n").alias("lengths"))
     none = F.lit(None).cast("array<int>")
     missed = rows.where("NOT _hit").select("doc_id", "text", none.alias("starts"), none.alias("lengths"))

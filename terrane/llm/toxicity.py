@@ -9,7 +9,7 @@ calibrated on the labelled documents, scored whole as any other; tokens at half
 offsets.
 
 The field is fitted on a bounded sample: TRAIN_ROWS labelled rows at most that aren't held out, in an order
-hashed from the id.  Of each text all tokens with a feature are learned from, with STRETCH tokens on either
+hashed from the id, each text of an id once.  Of each text all tokens with a feature are learned from, with STRETCH tokens on either
 side; all features with enough evidence count.  Every text is scored whole.
 
 Nulls: a null text is scored as an empty one, which gets the rate of toxic documents among those without a
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from terrane.llm.common import held_out, random_key, table
+from terrane.llm.common import bounded_sample, held_out, random_key, table
 
 TRAIN_ROWS, STRETCH, SEED = 10_000, 12, "toxicity-1:"
 #: Beginnings of a word that are features; documents a feature needs; share of toxic documents, at equal class sizes, that makes evidence.
@@ -78,35 +78,31 @@ def _segmenter(known: dict[str, int]):
     return segments
 
 
-def _log_sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.logaddexp(a, b)
-
-
 def forward_backward(emit: np.ndarray, real: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Marginals of state 1, expected transitions (2, 2) and log partition of chains.
 
     emit: (chains, tokens) score of state 1 over 0; real: how many tokens each chain has; step[i, j]: score of i then j.
+    Messages are scaled to add up to 1 at each token.
     """
     n, length = emit.shape
-    inside = np.arange(length) < real[:, None]
-    alpha, beta = np.zeros((length, n, 2)), np.zeros((length, n, 2))
-    score = np.stack((np.zeros_like(emit), emit), axis=-1)
-    alpha[0] = score[:, 0]
+    inside = (np.arange(length) < real[:, None]).T
+    odds, ((m00, m01), (m10, m11)) = np.exp(np.clip(emit, -60, 60)).T, np.exp(step)
+    ahead, scale, back = np.empty((2, length, n)), np.ones((length, n)), np.ones((2, length, n))
+    scale[0] = 1 + odds[0]
+    ahead[0, 0], ahead[1, 0] = 1 / scale[0], odds[0] / scale[0]
     for t in range(1, length):
-        new = np.stack([_log_sum(alpha[t - 1, :, 0] + step[0, j], alpha[t - 1, :, 1] + step[1, j]) for j in (0, 1)], axis=-1) + score[:, t]
-        alpha[t] = np.where(inside[:, t, None], new, alpha[t - 1])
+        a, b = ahead[0, t - 1], ahead[1, t - 1]
+        u, v = a * m00 + b * m10, (a * m01 + b * m11) * odds[t]
+        total = u + v
+        scale[t] = np.where(inside[t], total, 1)
+        ahead[0, t], ahead[1, t] = np.where(inside[t], u / total, a), np.where(inside[t], v / total, b)
     for t in range(length - 2, -1, -1):
-        ahead = score[:, t + 1] + beta[t + 1]
-        new = np.stack([_log_sum(step[i, 0] + ahead[:, 0], step[i, 1] + ahead[:, 1]) for i in (0, 1)], axis=-1)
-        beta[t] = np.where(inside[:, t + 1, None], new, 0)
-    log_z = _log_sum(alpha[-1, :, 0], alpha[-1, :, 1])
-    marginal = np.exp(np.clip(alpha[:, :, 1] + beta[:, :, 1] - log_z, -700, 0)).T * inside
-    moves = np.zeros((2, 2))
-    for i in (0, 1):
-        for j in (0, 1):
-            pair = alpha[:-1, :, i] + step[i, j] + score[:, 1:, j].T + beta[1:, :, j] - log_z
-            moves[i, j] = (np.exp(np.clip(pair, -700, 0)) * inside[:, 1:].T).sum()
-    return marginal, moves, log_z
+        u, v = back[0, t + 1] / scale[t + 1], back[1, t + 1] * odds[t + 1] / scale[t + 1]
+        back[0, t], back[1, t] = np.where(inside[t + 1], m00 * u + m01 * v, 1), np.where(inside[t + 1], m10 * u + m11 * v, 1)
+    marginal = (ahead[1] * back[1] * inside).T
+    into = np.stack((back[0, 1:], back[1, 1:] * odds[1:])) / scale[1:] * inside[1:]
+    moves = np.einsum("itn,jtn->ij", ahead[:, :-1], into) * np.exp(step)
+    return marginal, moves, np.log(scale).sum(axis=0)
 
 
 class Field:
@@ -137,6 +133,13 @@ class Field:
             s = (c + d * e[k] * s) / (a + b * e[k] * s)
         return out
 
+    def rest(self) -> int:
+        """After how many tokens without a feature the messages stay as they are, to the precision of a float."""
+        (a, b), (c, d) = np.exp(self.step).tolist()
+        x = float(np.exp(np.clip(self.bias, -60, 60)))
+        large, small = sorted(np.abs(np.linalg.eigvals([[a, b * x], [c, d * x]])).tolist(), reverse=True)
+        return int(np.ceil(np.log(1e-16) / np.log(min(0.999, max(1e-16, small / large))))) + 1
+
     def calibrated(self, any_toxic: float) -> float:
         z = np.log(max(any_toxic, 1e-9)) - np.log(max(1 - any_toxic, 1e-9))
         return float(1 / (1 + np.exp(-np.clip(self.slope * z + self.offset, -50, 50))))
@@ -198,11 +201,12 @@ def calibrate(field: Field, whole: list[tuple[int, float | None]]) -> None:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataFrame:
-    """(key, text, toxic) of the labelled rows that are learned from."""
+    """(key, text, toxic) of the labelled rows that are learned from: train_rows at most, each text of an id once."""
     agreed = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_max")).where("toxic = _max")
-    chosen = agreed.withColumn("key", random_key(SEED, F.col("doc_id"))).orderBy("key", "doc_id").limit(train_rows)
-    chosen = F.broadcast(chosen.select(F.col("doc_id").alias("_id"), "key", F.col("toxic").cast("int").alias("toxic")))  # train_rows rows of three short columns at most
-    return docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id")).select("key", "text", "toxic")
+    keyed = agreed.select(F.col("doc_id").alias("_id"), random_key(SEED, F.col("doc_id")).alias("_key"), F.col("toxic").cast("int").alias("toxic"))
+    chosen = keyed.orderBy("_key", "_id").limit(train_rows)
+    rows = docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return bounded_sample(rows, "text", chosen, train_rows).select(F.col("_key").alias("key"), "text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Field:
@@ -223,21 +227,30 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Fie
     return field
 
 
-def _whole(field: Field, words: list[str], memo: dict[str, float | None]) -> tuple[float | None, list[float]]:
-    """Chance that one of a text's tokens is toxic, None if none has a known feature, and each token's marginal."""
+def _whole(field: Field, words: list[str], memo: dict[str, float | None]) -> tuple[float | None, list[tuple[int, float]]]:
+    """Chance that one of a text's tokens is toxic, None if none has a known feature, and (token, marginal) of those and the tokens around them.
+
+    A run of tokens without a feature comes to rest after field.rest() of them: the rest of the run, which
+    changes nothing, is left out of the chain.
+    """
     if len(memo) > MEMO:
         memo.clear()
-    suspicious = False
     for w in set(words):
         if w not in memo:
             memo[w] = field.emission(w)
-        suspicious = suspicious or memo[w] is not None
-    if not suspicious:
+    active = [i for i, w in enumerate(words) if memo[w] is not None]
+    if not active:
         return None, []
-    found = [memo[w] for w in words]
+    reach, chain, at = field.rest(), [], 0
+    for i in (0, *active, len(words) - 1):  # the text's ends disturb the rest, too
+        at = max(at, i - reach)
+        to = min(len(words), i + reach + 1)
+        chain += range(at, to)
+        at = max(at, to)
+    found = [memo[words[i]] for i in chain]
     marginal = field.marginals([field.bias if e is None else e for e in found])
     clean = sum(np.log1p(-min(p, 1 - 1e-9)) for p, e in zip(marginal, found, strict=True) if e is not None)
-    return float(-np.expm1(clean)), marginal
+    return float(-np.expm1(clean)), list(zip(chain, marginal, strict=True))
 
 
 def _wholes(shared):
@@ -259,8 +272,8 @@ def _scorer(shared):
         some, marginal = _whole(field, TOKEN.findall(text), memo)
         if some is None:
             return field.none, []
-        at = [m.span() for m in TOKEN.finditer(text)]
-        return field.calibrated(some), [(*at[i], p) for i, p in enumerate(marginal) if p >= 0.5]
+        told = {i: p for i, p in marginal if p >= 0.5}
+        return field.calibrated(some), [(*m.span(), told[i]) for i, m in enumerate(TOKEN.finditer(text)) if i in told] if told else []
 
     span = StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("p", DoubleType())])
     kind = pa.struct([("score", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())])))])

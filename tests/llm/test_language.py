@@ -1,6 +1,10 @@
+import math
 import random
+import re
+import tracemalloc
 from zlib import crc32
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from terrane.llm import language
@@ -43,7 +47,63 @@ def test_prediction_ignores_the_other_columns(spark, documents):
 
 def test_backoff_uses_the_longest_known_gram():
     model = language.Model([(0, "kato", "x", 5), (3, "<ka", "x", 9), (3, "<ka", "y", 1), (3, "zzz", "y", 8), (2, "<k", "y", 9), (2, "zz", "x", 9)])
-    assert [model.word(w).index(0.0) for w in ("kato", "kamm", "kimm")] == [0, 0, 1] and model.word("ωω") is None
+    assert [int(model.word(w).argmax()) for w in ("kato", "kamm", "kimm")] == [0, 0, 1] and model.word("ωω") is None
+
+
+def slow_prediction(rows, t):
+    """By the definition, over every word of the text and dictionaries of counts."""
+    langs = sorted({r[2] for r in rows})
+    tables = {}
+    for size in range(language.ORDER + 1):
+        grams = sorted({g for s, g, _, _ in rows if s == size})
+        count = {(g, k): 0.05 + sum(n for s, x, y, n in rows if (s, x, y) == (size, g, k)) for g in grams for k in langs}
+        for k in langs:
+            total = sum(count[g, k] for g in grams)
+            tables.update({(size, g, k): math.log(count[g, k] / total) for g in grams})
+    score = dict.fromkeys(langs, 0.0)
+    words = re.findall(r"[^\W\d_]+", t.lower())
+    for w in words:
+        marked, found = f"<{w}>", [(0, w)] if (0, w, langs[0]) in tables else []
+        for order in range(language.ORDER, 0, -1):
+            found = found or [(order, marked[i : i + order]) for i in range(len(marked) - order + 1) if (order, marked[i : i + order], langs[0]) in tables]
+        if found:
+            v = {k: sum(tables[s, g, k] for s, g in found) / len(found) for k in langs}
+            for k in langs:
+                score[k] += v[k] - max(v.values())
+    best = max(langs, key=lambda k: (score[k], [-ord(c) for c in k]))
+    return best, 1 / sum(math.exp((score[k] - score[best]) / math.sqrt(len(words))) for k in langs)
+
+
+def test_against_brute_force(spark, documents, monkeypatch):
+    rng = random.Random(6)
+    texts = [(rng.choice(sorted(SYLLABLES)), rng.randrange(1, 12)) for _ in range(60)]
+    rows = [(i, text(rng, lang, n), "s", lang) for i, (lang, n) in enumerate(texts)] + [(90, "Ω ka-ri tomu9ein", "s", None), (91, "ka" * 30 + "ein", "s", None)]
+    learned = list(next(language._counter(iter([pa.RecordBatch.from_pydict({"text": [r[1] for r in rows[:40]], "lang": [r[3] for r in rows[:40]]})]))).to_pylist())
+    counts = sorted((r["size"], r["gram"], r["lang"], r["n"]) for r in learned if r["n"] >= 2)
+    monkeypatch.setattr(language, "PART", 7)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identified(documents(rows), language.Model(counts)).collect()}
+    for i, t, *_ in rows:
+        lang, score = slow_prediction(counts, t)
+        assert got[i][0] == lang and math.isclose(got[i][1], score, rel_tol=1e-9)
+
+
+def test_a_rare_language_is_learned_and_keeps_its_words(spark, documents):
+    rng = random.Random(5)
+    rows = [(i, text(rng, "xx", 30), "s", "xx") for i in range(1500)] + [(5000 + i, text(rng, "zz", 12), "s", "zz") for i in range(6)]
+    sample = language._sample(documents(rows), 20).groupBy("lang").count().collect()
+    assert {r.lang: r["count"] for r in sample}["xx"] == 20 and {r.lang: r["count"] for r in sample}["zz"] >= 3
+    model = language.fit(documents(rows), 20)
+    assert model.langs == ["xx", "zz"] and any(g in model.rows[0] for g in ("eau", "oi", "ment", "tré"))
+
+
+def test_a_very_long_word():
+    rng = random.Random(7)
+    model = language.Model([(3, "kar", "x", 9), (3, "ari", "x", 4), (3, "ein", "y", 9), (1, "k", "y", 2)])
+    word = "".join(rng.choices(["ka", "ri", "ein"], [8, 8, 1], k=400_000))
+    tracemalloc.start()
+    v = model.word(word)
+    assert int(v.argmax()) == 0 and tracemalloc.get_traced_memory()[1] < 8 * len(word)
+    tracemalloc.stop()
 
 
 def test_nothing_learned(spark, documents):

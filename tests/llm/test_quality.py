@@ -58,3 +58,22 @@ def test_query_and_expression(spark, documents, tables):
     assert len(got) == len(rows) and got[-1].kept and [r.base_failed for r in got[300:304]] == [True] * 4
     none = quality.judged(docs.where("false"), quality.learn_rules(docs, labels.where("false")))
     assert none.count() == 0
+
+
+def test_every_threshold_and_as_many_rules_as_there_are():
+    rng = np.random.default_rng(5)
+    x = rng.random((12_000, len(quality.FEATURES)))
+    first = list(quality.FEATURES).index("chars_per_word")
+    x[:, first] = np.arange(12_000) / 12_000
+    bad = np.zeros(12_000, dtype=bool)
+    for k in range(30):  # thirty narrow bands of one feature
+        bad[400 * k + 100 : 400 * k + 160] = True
+    rules = quality.learn(x, bad)
+    got = np.logical_or.reduce([quality.covers(r, x) for r in rules])
+    assert len(rules) > 24 and (got == bad).mean() > 0.99
+
+
+def test_repeated_ids_are_read_within_the_bound(spark, documents):
+    docs = documents([(1, f"text {k % 40}") for k in range(400)] + [(2, "another")])
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    assert quality.labelled(docs, labels, 15).count() == 15 and quality.labelled(docs, labels, 1000).count() == 41

@@ -121,6 +121,6 @@ def test_untouched_texts_are_not_shuffled(spark, documents):
     words = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
     docs = documents([(k, words(k)) for k in range(300)] + [(1000 + k, words(k)) for k in range(5)])
     runs = substrings.removed_runs(docs, F.lit(0).cast("long"), 50_000)
-    hit = substrings._touched(runs, docs.select("doc_id", F.lit(0).cast("long").alias("tag"), "text")).where("_hit")
+    hit = substrings.touched(runs, docs.select("doc_id", F.lit(0).cast("long").alias("tag"), "text")).where("_hit")
     found = {r.doc_id for r in hit.collect()}
     assert {1000 + k for k in range(5)} <= found and len(found) < 10

@@ -29,6 +29,29 @@ def test_forward_backward_is_exact():
     assert np.allclose(field.marginals(emit[0].tolist()), want[0])
 
 
+def test_scores_are_those_of_the_whole_chain():
+    """Leaving out tokens at rest changes no score and no marginal; against a chain of every token of the text."""
+    rng = np.random.default_rng(4)
+    field = x.Field()
+    field.weights, field.bias, field.step = {"=bad": 7.0, "=worse": 9.5, "sch": 3.0}, -5.0, np.array([[0.0, -2.0], [-1.0, 1.5]])
+    for n in (1, 5, 60, 3_000):
+        words = rng.choice(["plain", "other", "bad", "worse", "Schuft"], p=[0.6, 0.38, 0.008, 0.002, 0.01], size=n).tolist() + ["bad"]
+        emit = [field.emission(w) for w in words]
+        p, _, _ = x.forward_backward(np.array([[field.bias if e is None else e for e in emit]]), np.array([n + 1]), field.step)
+        want = 1 - np.prod([1 - q for q, e in zip(p[0], emit, strict=True) if e is not None])
+        some, marginal = x._whole(field, words, {})
+        assert np.isclose(some, want) and all(np.isclose(q, p[0][i]) for i, q in marginal)
+        assert {i for i, q in enumerate(p[0]) if q >= 0.5} == {i for i, q in marginal if q >= 0.5}
+    assert 2 < field.rest() < 100 and len(marginal) < 3_000
+
+
+def test_repeated_ids_are_learned_from_within_the_bound(spark, documents):
+    docs = documents([(1, f"text {k % 50}") for k in range(500)] + [(3, "another")])
+    labels = spark.createDataFrame([(1, 1, 1), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    assert x._sample(docs, labels, 20).count() == 20
+    assert x._sample(docs, labels, 1000).count() == 51
+
+
 def corpus(rng, n):
     words = ["w" + "".join(rng.choices("abcdefghij", k=3)) for _ in range(400)]
     rows, labels = [], []
