@@ -6,12 +6,10 @@ written as Parquet and read again as the next one's docs.  All but the last retu
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from terrane.llm import decontamination, mixing, quality, sharding, simhash
-from terrane.llm.common import shared_dir, table
+from terrane.llm.common import forget, settle, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,11 +50,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over the table documents; each one's rows are written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}-{k}"
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
+    """The stages over the table documents; each one's rows are written to the shared folder and read again.
+
+    A stage's input goes when its output is written, and the last output when the application ends.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES:
+        after = settle(stage(spark, docs, sf_dir))
+        if before is not None:
+            forget(before)
+        docs = before = after
     return docs
