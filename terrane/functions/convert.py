@@ -30,8 +30,18 @@ def date_from_days(days: Column) -> Column:
     return F.date_from_unix_date(days)
 
 
+#: Where the parts of a datetime up to its seconds stand.
+PLACES = {1: (1, 10), 2: (12, 2), 3: (15, 2), 4: (18, 2)}
+
+
 def _part(text: Column, group: int) -> Column:
-    return F.regexp_extract(text, LENIENT, group)
+    """A part of a text that LENIENT matches; the shape is matched once, and the parts are cut out by place."""
+    if group in PLACES:
+        return F.substring(text, *PLACES[group])
+    rest = F.substring(text, 20, 64)
+    digits = F.regexp_extract(rest, r"^\.([0-9]+)", 1)
+    zone = F.when(rest.startswith("."), F.substr(rest, F.length(digits) + 2)).otherwise(rest)
+    return F.when(text.rlike(LENIENT), digits if group == 5 else zone).otherwise("")
 
 
 def offset_minutes(text: Column) -> Column:
@@ -71,13 +81,20 @@ def datetime_error(text: Column, lenient: bool = True) -> Column:
     return F.when(text.isNotNull() & ~text.rlike(LENIENT if lenient else STRICT), "malformed").when(text.isNotNull() & datetime_micros(text, lenient).isNull(), "out of range")
 
 
-def format_micros(micros: Column) -> Column:
-    """YYYY-MM-DDTHH:MM:SS.SSSZ of microseconds since the epoch in UTC, with nine digits where three don't do."""
-    seconds = F.floor(micros / 1_000_000)
-    rest = micros - seconds * 1_000_000
+def format_micros(micros: Column, offset: Column | None = None) -> Column:
+    """YYYY-MM-DDTHH:MM:SS.SSS of microseconds since the epoch, with nine digits where three don't do, and Z; with an offset in minutes, the time there and +HH:MM or -HH:MM."""
+    local = micros if offset is None else micros + F.coalesce(offset, F.lit(0)).cast("long") * 60_000_000
+    seconds = F.floor(local / 1_000_000)
+    rest = local - seconds * 1_000_000
     stem = F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss")
     whole = F.lpad(F.floor(rest / 1000).cast("string"), 3, "0")
-    return F.concat(stem, F.lit("."), F.when(rest % 1000 == 0, whole).otherwise(F.concat(F.lpad(rest.cast("string"), 6, "0"), F.lit("000"))), F.lit("Z"))
+    fraction = F.when(rest % 1000 == 0, whole).otherwise(F.concat(F.lpad(rest.cast("string"), 6, "0"), F.lit("000")))
+    zone = F.lit("Z")
+    if offset is not None:
+        two = lambda n: F.lpad(F.floor(n).cast("string"), 2, "0")
+        shown = F.concat(F.when(offset < 0, "-").otherwise("+"), two(F.abs(offset) / 60), F.lit(":"), two(F.abs(offset) % 60))
+        zone = F.when(offset.isNull(), F.lit("Z")).otherwise(shown)
+    return F.concat(stem, F.lit("."), fraction, zone)
 
 
 def boolean(number: Column) -> Column:

@@ -70,18 +70,12 @@ def tile_at(extent: Extent, span_x: Column, span_y: Column, width: Column, heigh
 
 def tile_range(extent: Extent, span_x: Column, span_y: Column, width: Column, height: Column, min_x: Column, min_y: Column, max_x: Column, max_y: Column) -> Column:
     """min_column, max_column, min_row, max_row that a box touches; null for an inverted box or one outside."""
-    meets = (min_x <= max_x) & (min_y <= max_y) & (max_x >= extent.min_x) & (min_x <= extent.max_x) & (max_y >= extent.min_y) & (min_y <= extent.max_y)
-    west, east = F.greatest(min_x, F.lit(extent.min_x)), F.least(max_x, F.lit(extent.max_x))
-    south, north = F.greatest(min_y, F.lit(extent.min_y)), F.least(max_y, F.lit(extent.max_y))
-    return F.when(
-        meets,
-        F.struct(
-            _index(west - extent.min_x, span_x, width).alias("min_column"),
-            _index(east - extent.min_x, span_x, width).alias("max_column"),
-            _index(extent.max_y - north, span_y, height).alias("min_row"),
-            _index(extent.max_y - south, span_y, height).alias("max_row"),
-        ),
-    )
+    ordered = (min_x <= max_x) & (min_y <= max_y)
+    apart = (max_x < extent.min_x) | (min_x > extent.max_x) | (max_y < extent.min_y) | (min_y > extent.max_y)
+    # Indices are clamped to the grid, so a box that sticks out needs no cutting.
+    columns = {f"{side}_column": _index(x - extent.min_x, span_x, width) for side, x in (("min", min_x), ("max", max_x))}
+    rows = {f"{side}_row": _index(extent.max_y - y, span_y, height) for side, y in (("min", max_y), ("max", min_y))}
+    return F.when(ordered & ~apart, F.struct(*[c.alias(n) for n, c in {**columns, **rows}.items()]))
 
 
 def contains(width: Column, height: Column, column: Column, row: Column) -> Column:
@@ -100,6 +94,12 @@ def xyz_tile(extent: Extent, zoom: Column, width: Column, height: Column, z: Col
     return F.when(quad & contains(width, height, x, y), F.struct(x.cast("long").alias("tile_column"), y.cast("long").alias("tile_row")))
 
 
+def tile_xyz(extent: Extent, zoom: Column, width: Column, height: Column, column: Column, row: Column) -> Column:
+    """z, x and y of a tile of the web mercator square of 2^zoom; null for another grid or a tile outside of it: the inverse of xyz_tile()."""
+    at = xyz_tile(extent, zoom, width, height, zoom, column, row)
+    return F.when(at.isNotNull(), F.struct(zoom.cast("long").alias("z"), at["tile_column"].alias("x"), at["tile_row"].alias("y")))
+
+
 def payload_fits(size: Column, tile_width: Column, tile_height: Column) -> Column:
     """Whether a payload's size (struct of width and height) is the zoom's tile size."""
     return (size["width"] == tile_width) & (size["height"] == tile_height)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 
 import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -83,3 +84,10 @@ def probes():
         return pa.array(out, pa.struct([("format", pa.string()), ("width", pa.int64()), ("height", pa.int64())]))
 
     return run
+
+
+def looks_like_one(payload: Column) -> Column:
+    """Whether a payload begins as one of the four formats does."""
+    starts = lambda *magic: F.hex(F.substring(payload, 1, len(magic[0]))).isin(*[m.hex().upper() for m in magic])
+    webp = starts(b"RIFF") & (F.hex(F.substring(payload, 9, 4)) == b"WEBP".hex().upper())
+    return F.coalesce(starts(PNG) | starts(JPEG) | starts(*TIFF) | webp, F.lit(False))

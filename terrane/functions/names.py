@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from typing import NamedTuple
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,8 +17,8 @@ KNOWN = ["gpkg_2d_gridded_coverage", "2d_gridded_coverage", "gpkg_elevation_tile
 REMOVED = ["gpkg_geometry_type_trigger", "gpkg_srs_id_trigger"]
 RELATIONS = ["media", "simple_attributes", "features", "attributes", "tiles"]
 METADATA_SCOPES = ["undefined", "fieldSession", "collectionSession", "series", "dataset", "featureType", "feature", "attributeType", "attribute", "tile", "model", "catalog", "schema", "taxonomy", "software", "service", "collectionHardware", "nonGeographicDataset", "dimensionGroup", "style"]
-WHOLE_FILE = "geopackage"  # the reference scope of a whole file, as the format spells it
-REFERENCE_TARGETS = {WHOLE_FILE: (), "table": ("table_name",), "column": ("table_name", "column_name"), "row": ("table_name", "row_id_value"), "row/col": ("table_name", "column_name", "row_id_value")}
+REFERENCE_TARGETS = {"table": ("table_name",), "column": ("table_name", "column_name"), "row": ("table_name", "row_id_value"), "row/col": ("table_name", "column_name", "row_id_value")}
+WHOLE_FILE = "file"  # our containers' scope of a whole file; it has no targets.  Callers name that of other files.
 CURVED = GEOMETRY_TYPES[8:]
 
 
@@ -39,6 +42,13 @@ def extension_support(name: Column) -> Column:
     return F.when(kind.isin(*CURVED) | name.isin(*IMPLEMENTED), "implemented").when(name.isin(*KNOWN), "known").when(name.isin(*REMOVED), "removed").otherwise("unrecognised")
 
 
+def support_of(name: str) -> str:
+    """extension_support() of one name."""
+    if name in IMPLEMENTED or (name.startswith("gpkg_geom_") and name[10:].upper() in CURVED):
+        return "implemented"
+    return "known" if name in KNOWN else "removed" if name in REMOVED else "unrecognised"
+
+
 def relation_conforms(name: Column) -> Column:
     """One of five names, or x-<author>_<name> with both parts; the author ends at the first underscore."""
     return name.isin(*RELATIONS) | name.rlike(r"(?s)^x-[^_]+_.+$")
@@ -48,12 +58,11 @@ def metadata_scope_listed(scope: Column) -> Column:
     return scope.isin(*METADATA_SCOPES)
 
 
-def reference_targets(scope: Column) -> Column:
-    """Array of the target columns that a reference of this scope fills; null for an unknown scope."""
-    out = None
+def reference_targets(scope: Column, whole: str = WHOLE_FILE) -> Column:
+    """Array of the target columns that a reference of this scope fills, none for that of a whole file; null for an unknown scope."""
+    out = F.when(scope == whole, F.array().cast("array<string>"))
     for name, targets in REFERENCE_TARGETS.items():
-        value = F.array(*[F.lit(t) for t in targets]).cast("array<string>")
-        out = F.when(scope == name, value) if out is None else out.when(scope == name, value)
+        out = out.when(scope == name, F.array(*[F.lit(t) for t in targets]))
     return out
 
 
@@ -63,6 +72,88 @@ def srs_name(wkt2: Column, code: Column) -> Column:
     return F.when(F.coalesce(found, F.lit("")) != "", found).otherwise(F.concat(F.lit("EPSG:"), code.cast("string")))
 
 
+@dataclass(frozen=True)
+class Geographic:
+    """A geographic reference system: its datum and ellipsoid with their codes, and the UTM codes built on it, as the code of zone 0 and the zones."""
+
+    name: str
+    datum: tuple[str, str, int]  # as in the older text, as in the newer, its code
+    ellipsoid: tuple[str, str, int]
+    utm: dict[str, tuple[int, range]]
+
+
+# EPSG codes and parameters.
+GEOGRAPHIC = {
+    4326: Geographic("WGS 84", ("WGS_1984", "World Geodetic System 1984", 6326), ("WGS 84", "298.257223563", 7030), {"N": (32600, range(1, 61)), "S": (32700, range(1, 61))}),
+    4258: Geographic("ETRS89", ("European_Terrestrial_Reference_System_1989", "European Terrestrial Reference System 1989", 6258), ("GRS 1980", "298.257222101", 7019), {"N": (25800, range(28, 39))}),
+    4269: Geographic("NAD83", ("North_American_Datum_1983", "North American Datum 1983", 6269), ("GRS 1980", "298.257222101", 7019), {"N": (26900, range(1, 24))}),
+}
+DEGREE = "0.0174532925199433"
+
+
+def _older(code: int) -> str:
+    g = GEOGRAPHIC[code]
+    mark = lambda c: f'AUTHORITY["EPSG","{c}"]'
+    datum = f'DATUM["{g.datum[0]}",SPHEROID["{g.ellipsoid[0]}",6378137,{g.ellipsoid[1]},{mark(g.ellipsoid[2])}],{mark(g.datum[2])}]'
+    return f'GEOGCS["{g.name}",{datum},PRIMEM["Greenwich",0,{mark(8901)}],UNIT["degree",{DEGREE},{mark(9122)}],{mark(code)}]'
+
+
+def _newer(code: int, keyword: str = "GEOGCRS") -> str:
+    g = GEOGRAPHIC[code]
+    datum = f'DATUM["{g.datum[1]}",ELLIPSOID["{g.ellipsoid[0]}",6378137,{g.ellipsoid[1]},LENGTHUNIT["metre",1]]]'
+    axes = "" if keyword != "GEOGCRS" else f'CS[ellipsoidal,2],AXIS["geodetic latitude (Lat)",north,ORDER[1],ANGLEUNIT["degree",{DEGREE}]],AXIS["geodetic longitude (Lon)",east,ORDER[2],ANGLEUNIT["degree",{DEGREE}]],'
+    return f'{keyword}["{g.name}",{datum},PRIMEM["Greenwich",0,ANGLEUNIT["degree",{DEGREE}]],{axes}ID["EPSG",{code}]]'
+
+
+WGS84_WKT1, WGS84_WKT2 = _older(4326), _newer(4326)
+
+
+def _utm_older(base: int, name, code, meridian, northing) -> list:
+    """The pieces of the older text of a UTM zone."""
+    return ['PROJCS["', name, f'",{_older(base)},PROJECTION["Transverse_Mercator"],PARAMETER["latitude_of_origin",0],PARAMETER["central_meridian",', meridian, '],PARAMETER["scale_factor",0.9996],PARAMETER["false_easting",500000],PARAMETER["false_northing",', northing, '],UNIT["metre",1,AUTHORITY["EPSG","9001"]],AXIS["Easting",EAST],AXIS["Northing",NORTH],AUTHORITY["EPSG","', code, '"]]']
+
+
+def _projected_newer(base: int, name: str, code: int, method: tuple[str, int], parameters: list[tuple[str, str, str, int]]) -> str:
+    unit = {"degree": f'ANGLEUNIT["degree",{DEGREE}]', "unity": 'SCALEUNIT["unity",1]', "metre": 'LENGTHUNIT["metre",1]'}
+    listed = "".join(f',PARAMETER["{n}",{v},{unit[u]},ID["EPSG",{c}]]' for n, v, u, c in parameters)
+    conversion = f'CONVERSION["{name.split(" / ")[-1]}",METHOD["{method[0]}",ID["EPSG",{method[1]}]]{listed}]'
+    axes = f'CS[Cartesian,2],AXIS["(E)",east,ORDER[1],{unit["metre"]}],AXIS["(N)",north,ORDER[2],{unit["metre"]}]'
+    return f'PROJCRS["{name}",{_newer(base, "BASEGEOGCRS")},{conversion},{axes},ID["EPSG",{code}]]'
+
+
+class Definition(NamedTuple):
+    name: str
+    wkt1: str
+    wkt2: str
+
+
+def epsg_definition(code: int) -> Definition | None:
+    """Name and texts of a reference system: the geographic ones above, their UTM zones and web mercator; None for another code."""
+    if code in GEOGRAPHIC:
+        return Definition(GEOGRAPHIC[code].name, _older(code), _newer(code))
+    if code == 3857:
+        name = "WGS 84 / Pseudo-Mercator"
+        extension = 'EXTENSION["PROJ4","+proj=merc +a=6378137 +b=6378137 +lat_ts=0 +lon_0=0 +x_0=0 +y_0=0 +k=1 +units=m +nadgrids=@null +wktext +no_defs"]'
+        older = f'PROJCS["{name}",{_older(4326)},PROJECTION["Mercator_1SP"],PARAMETER["central_meridian",0],PARAMETER["scale_factor",1],PARAMETER["false_easting",0],PARAMETER["false_northing",0],UNIT["metre",1,AUTHORITY["EPSG","9001"]],AXIS["Easting",EAST],AXIS["Northing",NORTH],{extension},AUTHORITY["EPSG","3857"]]'
+        parameters = [("Latitude of natural origin", "0", "degree", 8801), ("Longitude of natural origin", "0", "degree", 8802), ("False easting", "0", "metre", 8806), ("False northing", "0", "metre", 8807)]
+        return Definition(name, older, _projected_newer(4326, name, code, ("Popular Visualisation Pseudo Mercator", 1024), parameters))
+    for base, g in GEOGRAPHIC.items():
+        for side, (first, zones) in g.utm.items():
+            if code - first in zones:
+                zone = code - first
+                name, meridian, northing = f"{g.name} / UTM zone {zone}{side}", 6 * zone - 183, 10_000_000 * (side == "S")
+                parameters = [
+                    ("Latitude of natural origin", "0", "degree", 8801),
+                    ("Longitude of natural origin", str(meridian), "degree", 8802),
+                    ("Scale factor at natural origin", "0.9996", "unity", 8805),
+                    ("False easting", "500000", "metre", 8806),
+                    ("False northing", str(northing), "metre", 8807),
+                ]
+                older = "".join(map(str, _utm_older(base, name, code, meridian, northing)))
+                return Definition(name, older, _projected_newer(base, name, code, ("Transverse Mercator", 9807), parameters))
+    return None
+
+
 def utm_zone(code: Column) -> Column:
     """name, zone, north, central_meridian and false_northing of an EPSG code of a WGS 84 UTM zone; null for another."""
     north, south = code.between(32601, 32660), code.between(32701, 32760)
@@ -72,17 +163,11 @@ def utm_zone(code: Column) -> Column:
     return F.when(north | south, fields)
 
 
-def _wkt1(name: Column, code: Column, meridian: Column, northing: Column) -> Column:
-    authority = lambda c: f'AUTHORITY["EPSG","{c}"]'
-    geographic = f'GEOGCS["WGS 84",DATUM["WGS_1984",SPHEROID["WGS 84",6378137,298.257223563,{authority(7030)}],{authority(6326)}],PRIMEM["Greenwich",0,{authority(8901)}],UNIT["degree",0.0174532925199433,{authority(9122)}],{authority(4326)}]'
-    parts = ['PROJCS["', name, f'",{geographic},PROJECTION["Transverse_Mercator"],PARAMETER["latitude_of_origin",0],PARAMETER["central_meridian",', meridian, '],PARAMETER["scale_factor",0.9996],PARAMETER["false_easting",500000],PARAMETER["false_northing",', northing, f'],UNIT["metre",1,{authority(9001)}],AXIS["Easting",EAST],AXIS["Northing",NORTH],AUTHORITY["EPSG","', code, '"]]']
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-
-
 def utm_definition(code: Column) -> Column:
     """WKT1 of a WGS 84 UTM zone; null for another code."""
     zone = utm_zone(code)
-    return F.when(zone.isNotNull(), _wkt1(zone["name"], code, zone["central_meridian"], zone["false_northing"]))
+    parts = _utm_older(4326, zone["name"], code, zone["central_meridian"], zone["false_northing"])
+    return F.when(zone.isNotNull(), F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]))
 
 
 def crs_code(metadata: Column) -> Column:

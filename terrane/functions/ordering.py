@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.operators.shared import ranged
+
 # Bits of a Hilbert axis, bytes of a tree cell and node header, the rounding step of the index, the gap that runs may bridge.
 BITS, CELL, NODE_HEADER, STEP, GAP = 16, 24, 4, 1.0 / 8388608.0, 64
 
@@ -70,9 +72,21 @@ def level_sizes(entries: Column, fanout: int, levels: int = 64) -> Column:
 
 
 def key_runs(ids: DataFrame, key: str, group: str | None = None, gap: int = GAP) -> DataFrame:
-    """Closed ranges (lo, hi) of the keys in ids, gaps up to `gap` bridged; for each group on its own if one is named."""
+    """Closed ranges (lo, hi) of the keys in ids, gaps up to `gap` bridged; for each group on its own if one is named.
+
+    Runs are numbered within ranges of the keys, and the ranges then joined end to end: one row each.
+    """
     part = [group] if group else []
-    order = Window.partitionBy(*part).orderBy(key)
-    new = F.coalesce((F.col(key) - F.lag(key).over(order) > gap).cast("int"), F.lit(1))
-    runs = ids.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(*part, "_run").agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n")).drop("_run")
+    rows = ranged(ids, *part, key)
+    inside = Window.partitionBy(*part, "_range").orderBy(key)
+    new = F.coalesce((F.col(key) - F.lag(key).over(inside) > gap).cast("int"), F.lit(0))
+    rows = rows.withColumn("_new", new).withColumn("_at", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = rows.groupBy(*part, "_range").agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"), F.max("_at").alias("_n"))
+    order = Window.partitionBy(*part).orderBy("_range")
+    fresh = F.coalesce((F.col("_lo") - F.lag("_hi").over(order) > gap).cast("int"), F.lit(1))
+    ends = ends.withColumn("_fresh", fresh)
+    before = F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = ends.withColumn("_base", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)) + before)
+    runs = rows.join(F.broadcast(ends.select(*part, "_range", "_base")) if not group else ends.select(*part, "_range", "_base"), [*part, "_range"])
+    runs = runs.groupBy(*part, (F.col("_base") + F.col("_at")).alias("_run"))
+    return runs.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n")).drop("_run")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions import ordering
 from terrane.operators.layer import SIDECAR, clean_sidecar
+from terrane.operators.shared import ranged
 
 
 def build(layer: DataFrame, fid: str = "fid") -> DataFrame:
@@ -25,12 +26,14 @@ def clustered(layer: DataFrame, partitions: int | None = None) -> DataFrame:
 
 
 def packed(index: DataFrame, fanout: int) -> DataFrame:
-    """index with `leaf`, the number of the packed leaf of each entry in Hilbert order, counted over ranges of the key."""
-    ranges = index.withColumn("_range", F.shiftright("hilbert", 20))
-    sizes = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    start = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    """index with `leaf`, the number of the packed leaf of each entry in Hilbert order, counted over ranges of the order."""
+    rows = ranged(index, "hilbert", "id")
+    sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    start = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")  # a row for each shuffle partition
     rank = F.row_number().over(Window.partitionBy("_range").orderBy("hilbert", "id"))
-    return ranges.withColumn("_rank", rank).join(F.broadcast(start), "_range").withColumn("leaf", F.floor((F.col("_start") + F.col("_rank") - 1) / max(2, fanout))).drop("_range", "_rank", "_start")  # start: 4096 rows at most
+    leaf = F.floor((F.col("_start") + F.col("_rank") - 1) / max(2, fanout))
+    return rows.withColumn("_rank", rank).join(F.broadcast(start), "_range").withColumn("leaf", leaf).drop("_range", "_rank", "_start")
 
 
 def audit(layer: DataFrame, index: DataFrame, fid: str = "fid") -> DataFrame:

@@ -8,6 +8,9 @@ empty geometry never matches a box, and bounds are inclusive.
 
 from __future__ import annotations
 
+import datetime
+import math
+import re
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -84,10 +87,8 @@ class Layer:
         return self._where(box.overlaps(e["minx"], e["maxx"], e["miny"], e["maxy"]))
 
     def select(self, where: str, **params) -> Layer:
-        """Rows for which trusted SQL holds; :name in it stands for a parameter, passed as a literal."""
-        session = self.df.sparkSession
-        test = F.expr(where) if not params else F.expr(_bound(where, session, params))
-        return self._where(test)
+        """Rows for which trusted SQL holds; :name in it, outside of quotes, stands for a parameter, which becomes a typed literal."""
+        return self._where(F.expr(bound(where, params)))
 
     def rows(self) -> DataFrame:
         """The id and the projected columns of the rows that are left."""
@@ -124,7 +125,13 @@ class Layer:
 
     def measured_extent(self) -> DataFrame:
         """min_x, min_y, max_x, max_y over all geometries that are neither null nor empty; nulls if there are none."""
-        return clean_sidecar(self.df).agg(F.min("minx").alias("min_x"), F.min("miny").alias("min_y"), F.max("maxx").alias("max_x"), F.max("maxy").alias("max_y"))
+        return self.df.agg(*self.bounds())
+
+    @staticmethod
+    def bounds() -> list[Column]:
+        """Aggregates of the sidecar columns: min_x, min_y, max_x, max_y; NaN counts as null."""
+        number = lambda c: F.nanvl(F.col(c), F.lit(None).cast("double"))
+        return [F.min(number("minx")).alias("min_x"), F.min(number("miny")).alias("min_y"), F.max(number("maxx")).alias("max_x"), F.max(number("maxy")).alias("max_y")]
 
     def extent(self, recorded: DataFrame | None = None) -> DataFrame:
         """The recorded bounds where all are there and in order, else the measured ones.  Never used to prune."""
@@ -138,22 +145,45 @@ class Layer:
         return self.df.agg(F.min(self.fid).alias("lo"), F.max(self.fid).alias("hi"), F.count(self.fid).alias("n")).withColumn("is_dense", F.col("hi") - F.col("lo") + 1 == F.col("n"))
 
 
-def _bound(where: str, session, params: dict) -> str:
-    import re
+#: Quoted text and names, comments, and parameters of a SQL condition, in the order in which they are looked for.
+PIECES = re.compile(r"""(?P<other>'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/|::)|:(?P<name>[A-Za-z_]\w*)""", re.S)
+
+
+def bound(where: str, params: dict) -> str:
+    """A SQL condition with its parameters as literals; LayerError for one without a value, or a value without its parameter."""
+    used = set()
+
+    def literal(match: re.Match) -> str:
+        name = match["name"]
+        if name is None:
+            return match[0]
+        if name not in params:
+            raise LayerError(f"no value for :{name}")
+        used.add(name)
+        return _literal(params[name])
 
-    def literal(match) -> str:
-        value = params[match[1]]
-        if value is None:
-            return "NULL"
-        if isinstance(value, bool):
-            return str(value).upper()
-        if isinstance(value, (int, float)):
-            return f"{value!r}D" if isinstance(value, float) else str(value)
-        if isinstance(value, bytes):
-            return f"X'{value.hex()}'"
-        return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+    out = PIECES.sub(literal, where)
+    if unused := sorted(set(params) - used):
+        raise LayerError(f"no parameter :{unused[0]}")
+    return out
 
-    return re.sub(r"(?<![:\w]):([A-Za-z_]\w*)", literal, where)
+
+def _literal(value) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return str(value).upper()
+    if isinstance(value, int):
+        return str(value) if abs(value) < 1 << 31 else f"{value}L"
+    if isinstance(value, float):
+        return f"{value!r}D" if math.isfinite(value) else f"CAST('{value}' AS DOUBLE)"
+    if isinstance(value, (bytes, bytearray)):
+        return f"X'{value.hex()}'"
+    if isinstance(value, datetime.datetime):
+        return f"TIMESTAMP'{value.isoformat(sep=' ')}'"
+    if isinstance(value, datetime.date):
+        return f"DATE'{value.isoformat()}'"
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def fold_extent(old: DataFrame, batch: DataFrame, key: list[str]) -> DataFrame:
@@ -163,24 +193,51 @@ def fold_extent(old: DataFrame, batch: DataFrame, key: list[str]) -> DataFrame:
     return both.select(*key, F.least("min_x", "x0").alias("min_x"), F.least("min_y", "y0").alias("min_y"), F.greatest("max_x", "x1").alias("max_x"), F.greatest("max_y", "y1").alias("max_y"))
 
 
+#: Levels of the join's grid; a box that no cell of the last but one holds is on the last, which has one cell.
+TOP = 40
+
+
 def spatial_join(features: DataFrame, boxes: DataFrame, cell: float, fid: str = "fid", box_id: str = "box_id") -> DataFrame:
     """(box_id, fid) of features whose envelope meets a box's.
 
-    Both sides are dealt to the grid cells of side `cell` that they cover and joined on the cell; a pair that
-    shares several cells is told by the one that holds the low corner of its overlap, so there is no distinct.
+    Cells of level k are cell * 2^k wide.  An envelope is dealt to the first level whose cells are as wide as
+    it, where it covers four at most, and a pair meets on the higher of its two levels, whose cells the lower
+    one covers as well; so an envelope of any size makes a bounded number of rows.  A pair that shares several
+    cells is told by the one that holds the low corner of its overlap, so there is no distinct.  The join is a plain
+    one on level and cell: adaptive execution splits a crowded cell.
     """
 
-    def cells(df: DataFrame, names: tuple[str, ...], prefix: str) -> DataFrame:
-        a, b, c, d = (F.col(n) for n in names)
-        at = lambda v: F.floor(v / cell).cast("long")
-        spread = df.where(a.isNotNull() & c.isNotNull()).withColumn(f"{prefix}cx", F.explode(F.sequence(at(a), at(b)))).withColumn(f"{prefix}cy", F.explode(F.sequence(at(c), at(d))))
-        return spread.select(f"{prefix}cx", f"{prefix}cy", *[F.col(n).alias(prefix + n) for n in names], *[x for x in (fid, box_id) if x in df.columns])
-
-    left = cells(clean_sidecar(features), SIDECAR, "f_").withColumnsRenamed({"f_cx": "cx", "f_cy": "cy"})
-    right = cells(clean_sidecar(boxes), SIDECAR, "b_").withColumnsRenamed({"b_cx": "cx", "b_cy": "cy"})
+    def placed(df: DataFrame, own: str, prefix: str) -> DataFrame:
+        a, b, c, d = (F.col(n) for n in SIDECAR)
+        width = F.greatest(b - a, d - c)
+        level = F.when(width <= cell, 0).when(width < cell * 2.0 ** (TOP - 1), F.ceil(F.log2(width / cell))).otherwise(TOP)
+        whole = clean_sidecar(df).where(a.isNotNull() & b.isNotNull() & c.isNotNull() & d.isNotNull())
+        return whole.select(F.col(own), level.cast("int").alias(f"{prefix}level"), *[F.col(n).alias(prefix + n) for n in SIDECAR])
+
+    def levels(df: DataFrame, prefix: str) -> list[int]:
+        return sorted(r[0] for r in df.select(f"{prefix}level").distinct().collect())  # TOP + 1 at most
+
+    def at(value: Column, level: Column) -> Column:
+        return F.when(level == TOP, 0).otherwise(F.floor(value / (cell * F.pow(F.lit(2.0), level.cast("double"))))).cast("long")
+
+    def dealt(df: DataFrame, prefix: str, others: list[int]) -> DataFrame:
+        """One row for each level on which a row meets one of the other side's levels, and for each cell there."""
+        own = F.col(f"{prefix}level")
+        meets = F.array_distinct(F.transform(F.array(*[F.lit(k) for k in others]), lambda k: F.greatest(k, own)))
+        spread = df.withColumn("level", F.explode(meets))
+        for axis, low, high in (("cx", "minx", "maxx"), ("cy", "miny", "maxy")):
+            spread = spread.withColumn(axis, F.explode(F.sequence(at(F.col(prefix + low), F.col("level")), at(F.col(prefix + high), F.col("level")))))
+        return spread
+
+    left, right = placed(features, fid, "f_"), placed(boxes, box_id, "b_")
+    f_levels, b_levels = levels(left, "f_"), levels(right, "b_")
+    if not f_levels or not b_levels:
+        return left.select(fid).join(right.select(box_id)).where("false").select(box_id, fid)
+    pairs = dealt(left, "f_", b_levels).join(dealt(right, "b_", f_levels), ["level", "cx", "cy"])
     meet = (F.col("f_minx") <= F.col("b_maxx")) & (F.col("f_maxx") >= F.col("b_minx")) & (F.col("f_miny") <= F.col("b_maxy")) & (F.col("f_maxy") >= F.col("b_miny"))
-    own = (F.floor(F.greatest("f_minx", "b_minx") / cell) == F.col("cx")) & (F.floor(F.greatest("f_miny", "b_miny") / cell) == F.col("cy"))
-    return left.join(right, ["cx", "cy"]).where(meet & own).select(box_id, fid)
+    corner = [at(F.greatest(f"f_{c}", f"b_{c}"), F.col("level")) for c in ("minx", "miny")]
+    own = (F.col("level") == F.greatest("f_level", "b_level")) & (corner[0] == F.col("cx")) & (corner[1] == F.col("cy"))
+    return pairs.where(meet & own).select(box_id, fid)
 
 
 def next_fids(df: DataFrame, last: int, fid: str = "fid") -> DataFrame:

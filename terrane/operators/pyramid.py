@@ -7,8 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.functions import grid
-from terrane.functions.binary import png_size
+from terrane.functions import grid, images
 from terrane.operators.layer import BoundingBox, LayerError
 
 ADDRESS = ("zoom_level", "tile_column", "tile_row")
@@ -67,14 +66,15 @@ class Pyramid:
         return grid.matrix_faults(self.matrices, self.extent).where("fault IS NOT NULL")
 
     def checked(self, new: DataFrame) -> DataFrame:
-        """new tiles with `error`: an unknown zoom, an address outside the grid, a PNG whose size is not the zoom's."""
+        """new tiles with `error`: an unknown zoom, an address outside the grid, a PNG, JPEG, WebP or TIFF whose size is not the zoom's or can't be read."""
         m = self.matrices.select("zoom_level", "matrix_width", "matrix_height", "tile_width", "tile_height")
         both = new.join(F.broadcast(m), "zoom_level", "left")  # one row a zoom: tens at most
-        size = png_size(F.col("tile_data"))
+        both = both.withColumn("_size", images.probes()(F.col("tile_data")))
         outside = ~grid.contains(F.col("matrix_width"), F.col("matrix_height"), F.col("tile_column"), F.col("tile_row"))
-        wrong = size.isNotNull() & ~grid.payload_fits(size, F.col("tile_width"), F.col("tile_height"))
-        error = F.when(F.col("matrix_width").isNull(), "unknown zoom").when(outside, "outside the grid").when(wrong, "payload size")
-        return both.select(*new.columns, error.alias("error"))
+        wrong = F.col("_size").isNotNull() & ~grid.payload_fits(F.col("_size"), F.col("tile_width"), F.col("tile_height"))
+        broken = F.col("_size").isNull() & images.looks_like_one(F.col("tile_data"))
+        error = F.when(F.col("matrix_width").isNull(), "unknown zoom").when(outside, "outside the grid").when(wrong, "payload size").when(broken, "payload")
+        return both.withColumn("error", error).select(*new.columns, "error")
 
     def put(self, new: DataFrame, order: Column | None = None) -> Pyramid:
         """Tiles after an upsert by address; among several new ones the last by `order` counts."""

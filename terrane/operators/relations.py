@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.functions import constraints, names
+from terrane.operators.shared import settled
 
 TARGETS = ("table_name", "column_name", "row_id_value")
-MAX_CHAIN = 64
 
 
 def related(base: DataFrame, mapping: DataFrame, other: DataFrame, base_key: str, other_key: str) -> DataFrame:
@@ -36,9 +36,10 @@ def add_relation(relations: DataFrame, contents: DataFrame, new: DataFrame) -> t
     return relations.unionByName(told.where("error IS NULL").drop("error")), told.where("error IS NOT NULL")
 
 
-def metadata_for(references: DataFrame, scope: str, **target) -> DataFrame:
-    """References of a scope to exactly this target; columns that the scope leaves out have to be null."""
-    if scope not in names.REFERENCE_TARGETS or set(target) - set(names.REFERENCE_TARGETS[scope]):
+def metadata_for(references: DataFrame, scope: str, whole: str = names.WHOLE_FILE, **target) -> DataFrame:
+    """References of a scope to exactly this target; columns that the scope leaves out have to be null.  whole: the scope of the whole file."""
+    targets = {**names.REFERENCE_TARGETS, whole: ()}
+    if scope not in targets or set(target) - set(targets[scope]):
         raise ValueError(f"scope {scope} with target {sorted(target)}")
     same = [F.col(c).eqNullSafe(F.lit(target.get(c))) for c in TARGETS]
     return references.where((F.col("reference_scope") == scope) & reduce(lambda a, b: a & b, same))
@@ -47,28 +48,43 @@ def metadata_for(references: DataFrame, scope: str, **target) -> DataFrame:
 def ancestors(references: DataFrame, start: DataFrame, records: DataFrame | None = None) -> DataFrame:
     """(id, depth, ancestor, error) up the parent chain of each id in start, nearest first.
 
-    One parent counts for a record, the smallest.  A chain that comes back to itself ends with error 'cycle',
-    one that leads to a missing record with 'dangling'.  A recursive query; its depth is bounded.
+    One parent counts for a record, the smallest.  A chain that comes back to itself ends with error 'cycle', one
+    that leads to a missing record with 'dangling'.  Chains have any length: each round continues all known
+    ancestors by as many steps as are known, so a chain of n takes log n rounds.  Chains that came back are
+    set aside, and rounds end when no other chain has grown.
     """
-    spark = references.sparkSession
-    references.where("md_parent_id IS NOT NULL").groupBy("md_file_id").agg(F.min("md_parent_id").alias("parent")).createOrReplaceTempView("_terrane_parents")
-    start.select(F.col("id").cast("long").alias("id")).createOrReplaceTempView("_terrane_start")
-    walked = spark.sql(f"""
-        WITH RECURSIVE up(id, depth, ancestor, seen) MAX RECURSION LEVEL {MAX_CHAIN + 1} AS (
-          SELECT s.id, 1, CAST(p.parent AS BIGINT), array(s.id) FROM _terrane_start s JOIN _terrane_parents p ON p.md_file_id = s.id
-          UNION ALL
-          SELECT u.id, u.depth + 1, CAST(p.parent AS BIGINT), concat(u.seen, array(u.ancestor)) FROM up u JOIN _terrane_parents p ON p.md_file_id = u.ancestor
-          WHERE NOT array_contains(u.seen, u.ancestor) AND u.depth < {MAX_CHAIN})
-        SELECT id, depth, ancestor, CASE WHEN array_contains(seen, ancestor) THEN 'cycle' END AS error FROM up""")
+    parents = settled(references.where("md_parent_id IS NOT NULL").groupBy(F.col("md_file_id").cast("long").alias("id")).agg(F.min("md_parent_id").cast("long").alias("parent")))
+    jump, depth = parents.select("id", F.col("parent").alias("to")), 1
+    asked = start.select(F.col("id").cast("long").alias("id")).distinct()
+    now = settled(_until_seen(parents.select("id", F.lit(1).alias("depth"), F.col("parent").alias("ancestor")).join(asked, "id", "left_semi")))
+    done = now.where("stop IS NOT NULL")
+    while True:
+        ends = jump.select(F.col("id").alias("_at"), F.col("to").alias("_to"))
+        going = now.where("stop IS NULL").select("id", "depth", "ancestor")
+        further = going.join(ends, F.col("ancestor") == F.col("_at")).select("id", (F.col("depth") + depth).alias("depth"), F.col("_to").alias("ancestor"))
+        now = settled(_until_seen(going.union(further)))
+        done = done.union(now.where("stop IS NOT NULL"))
+        if now.where((F.col("depth") > depth) & F.col("stop").isNull()).limit(1).count() == 0:
+            break
+        jump, depth = settled(jump.join(ends, F.col("to") == F.col("_at")).select("id", F.col("_to").alias("to"))), 2 * depth
+    walked = done.union(now.where("stop IS NULL")).select("id", "depth", "ancestor", F.when(F.col("depth") == F.col("stop"), "cycle").alias("error"))
     if records is None:
         return walked
-    known = records.select(F.col("id").alias("_k")).distinct()
-    return walked.join(known, walked.ancestor == known["_k"], "left").select("id", "depth", "ancestor", F.coalesce("error", F.when(F.col("_k").isNull(), "dangling")).alias("error"))
+    there = records.select(F.col("id").alias("_k")).distinct()
+    return walked.join(there, walked.ancestor == there["_k"], "left").select("id", "depth", "ancestor", F.coalesce("error", F.when(F.col("_k").isNull(), "dangling")).alias("error"))
+
+
+def _until_seen(chains: DataFrame) -> DataFrame:
+    """chains (id, depth, ancestor) up to the first ancestor that a chain has seen, its own id included, and that depth as `stop`."""
+    nth = F.row_number().over(Window.partitionBy("id", "ancestor").orderBy("depth"))
+    told = chains.withColumn("_again", (nth > 1) | (F.col("ancestor") == F.col("id")))
+    stop = F.min(F.when(F.col("_again"), F.col("depth"))).over(Window.partitionBy("id"))
+    return told.withColumn("stop", stop).where(F.col("stop").isNull() | (F.col("depth") <= F.col("stop"))).drop("_again")
 
 
-def check_references(references: DataFrame, records: DataFrame) -> DataFrame:
+def check_references(references: DataFrame, records: DataFrame, whole: str = names.WHOLE_FILE) -> DataFrame:
     """references with `error`: unknown scope, wrong targets, own parent, or a record that isn't there."""
-    wanted = names.reference_targets(F.col("reference_scope"))
+    wanted = names.reference_targets(F.col("reference_scope"), whole)
     filled = F.filter(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in TARGETS]), lambda x: x.isNotNull())
     known = records.select(F.col("id").alias("_k")).distinct()
     both = references.join(known, references.md_file_id == known["_k"], "left")

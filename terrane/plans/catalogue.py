@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from terrane.plans import layers, tables, tiles
+from terrane.plans import containers, layers, tables, tiles
 
-PARTS = (layers, tiles, tables)
+PARTS = (layers, tiles, tables, containers)
 
 
 def queries() -> dict:

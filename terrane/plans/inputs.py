@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.functions import codec
-from terrane.functions.binary import with_header_envelope
+from terrane.functions.binary import body, with_header_envelope
+from terrane.operators.container import ColumnSpec, Container, GeometrySpec, TableSpec
+from terrane.operators.layer import Layer
+from terrane.operators.shared import scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,11 +49,34 @@ def with_sidecar(df: DataFrame, blob: str = "geom") -> DataFrame:
 
 
 def point_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """points with geom and sidecar columns: what a layer looks like at rest."""
+    """points with geom and sidecar columns, made as they are read."""
     encoded = points(spark, sf_dir).withColumn("geom", codec.encode_points(4326)(F.col("x"), F.col("y")))
     return with_sidecar(encoded)
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, spec: TableSpec, rows: Callable[[], DataFrame]) -> Layer:
+    """A layer at rest: rows() are written once in an application to a container in the shared folder, and read from there."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        box = Container.create(spark, scratch(spark, "container"))
+        box.create_table(spec)
+        box.insert(spec.name, rows())
+        _STORED[key] = box.path
+    return Container.open(spark, _STORED[key]).layer(spec.name)
+
+
+POINT_COLUMNS = [ColumnSpec("c_name", "TEXT"), ColumnSpec("c_acctbal", "DOUBLE"), ColumnSpec("c_mktsegment", "TEXT"), ColumnSpec("c_nationkey", "INT"), ColumnSpec("x", "DOUBLE"), ColumnSpec("y", "DOUBLE")]
+
+
+def stored_points(spark: SparkSession, sf_dir: str) -> Layer:
+    """points as a layer of a container."""
+    made = lambda: points(spark, sf_dir).withColumn("geom", body(codec.encode_points(4326)(F.col("x"), F.col("y"))))
+    return stored(spark, sf_dir, "points", TableSpec("points", POINT_COLUMNS, GeometrySpec("POINT", 4326)), made)
+
+
 def texts(spark: SparkSession, values: list, schema: str) -> DataFrame:
     """A small literal table as a relation of the session, without a Python round trip."""
     names = [c.strip().split(" ")[0] for c in schema.split(",")]

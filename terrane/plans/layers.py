@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.functions import binary, codec, convert, types
-from terrane.functions.grid import Extent  # noqa: F401
+from terrane.operators.container import ColumnSpec, GeometrySpec, TableSpec
 from terrane.operators.layer import BoundingBox, Layer, fold_extent, spatial_join
 from terrane.plans import inputs as i
 
@@ -32,7 +32,7 @@ def hexed(df: DataFrame) -> DataFrame:
 
 @query("bbox_points", f"WITH {i.P_SQL} SELECT fid, c_name, c_acctbal, x, y FROM p WHERE {BOX_SQL}")
 def bbox_points(spark: SparkSession, d: str) -> DataFrame:
-    return Layer(i.point_layer(spark, d)).features_in(BOX).with_columns("c_name", "c_acctbal", "x", "y").rows()
+    return i.stored_points(spark, d).features_in(BOX).with_columns("c_name", "c_acctbal", "x", "y").rows()
 
 
 @query("bbox_points_decoded", f"WITH {i.P_SQL} SELECT fid, x AS minx, x AS maxx, y AS miny, y AS maxy FROM p WHERE {BOX_SQL}")
@@ -55,18 +55,18 @@ def order_lines(spark: SparkSession, d: str) -> DataFrame:
     """One line for each order, its vertices (quantity, line number)."""
     vertices = i.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array("l_quantity", F.col("l_linenumber").cast("double")).alias("v"))
     flat = vertices.groupBy(F.col("l_orderkey").alias("fid")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "v"))), lambda s: s["v"])).alias("flat"))
-    return i.with_sidecar(flat.select("fid", codec.encode_lines(0)(F.col("flat")).alias("geom")))
+    return flat.select("fid", binary.body(codec.encode_lines(0)(F.col("flat"))).alias("geom"))
 
 
 @query("bbox_lines", f"WITH {LINES} SELECT fid, minx, maxx, miny, maxy FROM l WHERE minx <= 8 AND maxx >= 3 AND miny <= 2 AND maxy >= 2")
 def bbox_lines(spark: SparkSession, d: str) -> DataFrame:
-    layer = Layer(order_lines(spark, d)).features_in(BoundingBox(3.0, 2.0, 8.0, 2.0))
+    layer = i.stored(spark, d, "lines", TableSpec("lines", [], GeometrySpec("LINESTRING", 0)), lambda: order_lines(spark, d)).features_in(BoundingBox(3.0, 2.0, 8.0, 2.0))
     return layer.df.where(layer.predicate).select("fid", "minx", "maxx", "miny", "maxy")
 
 
 @query("bbox_boundary_inclusive", f"WITH {i.P_SQL}, e AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p WHERE fid % 97 < 5) SELECT fid, x, y FROM p, e WHERE x >= -179.5 AND x <= -150.3 AND y >= -89.3 AND y <= -27.9")
 def bbox_boundary_inclusive(spark: SparkSession, d: str) -> DataFrame:
-    return Layer(i.point_layer(spark, d)).features_in(BoundingBox(-179.5, -89.3, -150.3, -27.9)).with_columns("x", "y").rows()
+    return i.stored_points(spark, d).features_in(BoundingBox(-179.5, -89.3, -150.3, -27.9)).with_columns("x", "y").rows()
 
 
 def holes(spark: SparkSession, d: str) -> DataFrame:
@@ -79,7 +79,9 @@ def holes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("bbox_excludes_null_empty", f"WITH {i.P_SQL} SELECT fid, c_name FROM p WHERE fid % 7 <> 0 AND fid % 11 <> 0 AND {BOX_SQL}")
 def bbox_excludes_null_empty(spark: SparkSession, d: str) -> DataFrame:
-    return Layer(holes(spark, d)).features_in(BOX).with_columns("c_name").rows()
+    made = lambda: holes(spark, d).select("fid", "c_name", binary.body(F.col("geom")).alias("geom"))
+    layer = i.stored(spark, d, "holes", TableSpec("holes", [ColumnSpec("c_name", "TEXT")], GeometrySpec("POINT", 4326)), made)
+    return layer.features_in(BOX).with_columns("c_name").rows()
 
 
 @query("geometry_is_empty", f"WITH {i.P_SQL} SELECT fid, CASE WHEN fid % 7 = 0 THEN NULL ELSE fid % 11 = 0 END AS is_empty FROM p")
@@ -94,7 +96,7 @@ def select_where(spark: SparkSession, d: str) -> DataFrame:
 
 @query("bbox_and_where", f"WITH {i.P_SQL} SELECT fid, c_name FROM p WHERE {BOX_SQL} AND c_nationkey < 10")
 def bbox_and_where(spark: SparkSession, d: str) -> DataFrame:
-    return Layer(i.point_layer(spark, d)).features_in(BOX).select("c_nationkey < :n", n=10).with_columns("c_name").rows()
+    return i.stored_points(spark, d).features_in(BOX).select("c_nationkey < :n", n=10).with_columns("c_name").rows()
 
 
 @query("project_columns", f"WITH {i.P_SQL} SELECT fid, c_name, c_mktsegment FROM p")
@@ -104,7 +106,7 @@ def project_columns(spark: SparkSession, d: str) -> DataFrame:
 
 @query("project_without_geometry_bbox", f"WITH {i.P_SQL} SELECT fid, c_name, c_acctbal, c_mktsegment, c_nationkey, x, y FROM p WHERE {BOX_SQL}")
 def project_without_geometry_bbox(spark: SparkSession, d: str) -> DataFrame:
-    return Layer(i.point_layer(spark, d)).features_in(BOX).without_geometry().rows()
+    return i.stored_points(spark, d).features_in(BOX).without_geometry().rows()
 
 
 @query("column_values", "SELECT c_acctbal FROM customer")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.functions import codec, constraints, names
 from terrane.operators import container, pyramid, relations, validate
+from terrane.operators.shared import scratch
 from terrane.plans import inputs as i
 
 QUERIES: dict = {}
@@ -183,12 +182,6 @@ def contents_layers(spark: SparkSession, d: str) -> DataFrame:
     return container.feature_layers(contents, geometry.union(geometry))
 
 
-@query("contents_listing", "SELECT n_name AS table_name, CASE n_nationkey % 3 WHEN 0 THEN 'features' WHEN 1 THEN 'tiles' ELSE 'attributes' END AS data_type FROM nation ORDER BY 1")
-def contents_listing(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("n_nationkey") % 3
-    return i.table(spark, d, "nation").select(F.col("n_name").alias("table_name"), F.when(k == 0, "features").when(k == 1, "tiles").otherwise("attributes").alias("data_type")).orderBy("table_name")
-
-
 @query("open_warnings", "SELECT 'case differs: ' || n_name AS warning FROM nation WHERE n_nationkey % 6 = 0 UNION ALL SELECT 'no geometry column: ' || n_name FROM nation WHERE n_nationkey % 5 = 0 UNION ALL SELECT 'extension: acme_x'")
 def open_warnings(spark: SparkSession, d: str) -> DataFrame:
     nation = i.table(spark, d, "nation")
@@ -225,37 +218,11 @@ def partial_update(spark: SparkSession, d: str) -> DataFrame:
     return container.partial_update(old, changes, "c_custkey")
 
 
-@query("update_rows", "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN upper(c_name) || '!' ELSE c_name END AS c_name FROM customer UNION ALL SELECT c_custkey + 100000000, c_name FROM customer WHERE c_custkey % 100 = 0")
-def update_rows(spark: SparkSession, d: str) -> DataFrame:
-    old = i.table(spark, d, "customer").select("c_custkey", "c_name")
-    new = old.where("c_custkey % 4 = 0").withColumn("c_name", F.concat(F.upper("c_name"), F.lit("!")))
-    added = old.where("c_custkey % 100 = 0").withColumn("c_custkey", F.col("c_custkey") + 100000000)
-    return pyramid.upsert(old, new.union(added), ["c_custkey"])
-
-
-@query("delete_rows", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
-def delete_rows(spark: SparkSession, d: str) -> DataFrame:
-    gone = i.table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
-    return i.table(spark, d, "orders").select("o_orderkey").join(gone, "o_orderkey", "left_anti")
-
-
-def scratch(spark: SparkSession) -> str:
-    """A folder for a query that writes: in the shared folder where the session names one, else temporary and local."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="terrane-")
-    return f"{base.rstrip('/')}/container-{uuid.uuid4().hex}"
-
-
 @query("layer_roundtrip", f"WITH {i.P_SQL} SELECT fid, c_name, c_acctbal, x AS minx, x AS maxx, y AS miny, y AS maxy, false AS geom_empty FROM p WHERE x BETWEEN -100 AND 50 AND y BETWEEN -30 AND 60")
 def layer_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     from terrane.functions.binary import body, with_header_envelope
 
-    box = container.Container.create(spark, scratch(spark))
+    box = container.Container.create(spark, scratch(spark, "container"))
     spec = container.TableSpec("places", [container.ColumnSpec("c_name", "TEXT"), container.ColumnSpec("c_acctbal", "DOUBLE")], container.GeometrySpec("POINT", 4326))
     box.create_table(spec)
     blobs = i.points(spark, d).select("fid", "c_name", "c_acctbal", codec.encode_points(4326)(F.col("x"), F.col("y")).alias("geom"))

@@ -205,12 +205,12 @@ def packed_leaves(spark: SparkSession, d: str) -> DataFrame:
     return index.packed(index.build(i.point_layer(spark, d)), 51).select("id", F.col("leaf").cast("long").alias("leaf"))
 
 
-@query("segment_runs", """WITH k AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 500 < 100 AND (o_orderkey % 7 = 0 OR o_orderkey % 500 > 70)), g AS (SELECT id, CASE WHEN id - lag(id) OVER (ORDER BY id) <= 64 THEN 0 ELSE 1 END AS n FROM k), r AS (SELECT id, sum(n) OVER (ORDER BY id) AS run FROM g)
+@query("segment_runs", """WITH k AS (SELECT o_orderkey + 100 * (o_orderkey // 500) + 20 * (o_orderkey // 7) AS id FROM orders), g AS (SELECT id, CASE WHEN id - lag(id) OVER (ORDER BY id) <= 64 THEN 0 ELSE 1 END AS n FROM k), r AS (SELECT id, sum(n) OVER (ORDER BY id) AS run FROM g)
 SELECT min(id) AS lo, max(id) AS hi, count(*) AS n FROM r GROUP BY run""")
 def segment_runs(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    ids = i.table(spark, d, "orders").where((k % 500 < 100) & ((k % 7 == 0) | (k % 500 > 70))).select(k.alias("id"))
-    return ordering.key_runs(ids, "id")
+    """All orders, spread so that gaps open: small ones, which a run bridges, and large ones, which end it."""
+    spread = F.expr("o_orderkey + 100 * (o_orderkey div 500) + 20 * (o_orderkey div 7)")
+    return ordering.key_runs(i.table(spark, d, "orders").select(spread.alias("id")), "id")
 
 
 @query("dense_span", "SELECT min(o_orderkey) AS lo, max(o_orderkey) AS hi, count(*) AS n, max(o_orderkey) - min(o_orderkey) + 1 = count(*) AS is_dense FROM orders")

@@ -9,23 +9,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from terrane.operators.container import Container
-from terrane.operators.pyramid import latest, upsert
+from terrane.operators.pyramid import latest
 
 
 def upsert_batches(container: Container, table: str, key: list[str], order: Column) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that puts the last row of each key into a table.
 
-    The batch number is kept with the commit, so a batch that is replayed after a failure changes nothing.
+    The batch number is kept with the commit, so a batch that is replayed after a failure changes nothing.  A batch
+    is written as an upsert is: geometries are encoded, bounds grow, nulls are refused, and nothing is rewritten.
     """
 
     def put(batch: DataFrame, number: int) -> None:
         done = container.state["specs"].get("_stream", {}).get(table, -1)
         if number <= done:
             return
-        old = container.table(table)
-        new = latest(batch, key, order).select(*old.columns)
-        merged = upsert(old, new, key)
-        container.commit({table: merged}, {"_stream": {**container.state["specs"].get("_stream", {}), table: number}})
+        marked = {"_stream": {**container.state["specs"].get("_stream", {}), table: number}}
+        own = [c for c in batch.columns if c in container.table(table).columns]
+        container.upsert(table, latest(batch, key, order).select(*own), key, specs=marked)
 
     return put
 

@@ -97,6 +97,10 @@ def test_arc_box_holds_the_arc(cx, cy, r, start, sweep):
         x, y = at(start + sweep * k / 49)
         assert min(xs) - 1e-6 <= x <= max(xs) + 1e-6 and min(ys) - 1e-6 <= y <= max(ys) + 1e-6
     assert max(xs) <= cx + r + 1e-6 and min(ys) >= cy - r - 1e-6
+    for direction in (1, -1):  # no extreme that the arc doesn't reach, whichever way it runs
+        for x, y in codec.arc_box(*p[::direction]):
+            past = (math.atan2(y - cy, x - cx) - start) % math.tau
+            assert past <= sweep + 1e-6 or past >= math.tau - 1e-6
 
 
 def test_spark_encoders_agree_with_the_walker(spark):

@@ -21,3 +21,18 @@ def test_commands(spark, tmp_path, capsys):
     box = c.Container.open(spark, path)
     box.commit({"contents": box.table("contents").replace("world", "gone", "table_name")})
     assert main(["validate", path], spark) == 1
+
+
+def test_validate_audits_the_index(spark, tmp_path, capsys):
+    path = f"{tmp_path}/box"
+    box = c.Container.create(spark, path)
+    box.create_table(c.TableSpec("towns", [c.ColumnSpec("name", "TEXT")], c.GeometrySpec("POINT", 4326)))
+    town = lambda x: spark.createDataFrame([("a", bytearray(struct.pack("<BIdd", 1, 1, x, 6.0)))], "name string, geom binary")
+    box.insert("towns", town(5.0))
+    assert main(["index", path, "towns"], spark) == 0 and main(["validate", "--strict", path], spark) == 0
+    c.Container.open(spark, path).insert("towns", town(9.0))
+    assert main(["validate", path], spark) == 1 and "index out of step" in capsys.readouterr().out
+    assert main(["repair", path, "towns"], spark) == 0 and "rebuilt" in capsys.readouterr().out
+    assert main(["validate", path], spark) == 0 and main(["drop-index", path, "towns"], spark) == 0 and main(["drop-index", path, "towns"], spark) == 1
+    c.Container.open(spark, path).register(("towns", None, "acme_x", "d", "read-write"))
+    assert main(["validate", path], spark) == 0 and main(["validate", "--strict", path], spark) == 1

@@ -5,7 +5,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from terrane.functions import codec, grid
+from terrane.functions import codec, grid, ordering
 from terrane.operators import container as c
 from terrane.operators import index, pyramid, relations, validate
 from terrane.operators.layer import BoundingBox, Layer, LayerError, fold_extent, spatial_join
@@ -54,6 +54,12 @@ def test_writes(spark, places):
     places.recompute_extent(name)
     assert places.contents().where("table_name = 'Places'").first().max_x == 7.0
     first = c.Container.open(spark, places.path, version=3)
+    assert first.state["tables"][name]["deletes"] == [] and len(places.state["tables"][name]["parts"]) == 4  # nothing was rewritten
+    with pytest.raises(ValueError, match="repeats"):
+        places.update_columns(name, spark.createDataFrame([(2, "a"), (2, "b")], "fid long, name string"))
+    before = sorted(map(str, places.table(name).drop("geom").collect()))
+    places.compact(name)
+    assert places.state["tables"][name]["deletes"] == [] and sorted(map(str, places.table(name).drop("geom").collect())) == before
     assert first.layer(name).count().first().n == 5
     for bad in (lambda: places.insert(name, spark.createDataFrame([(1, "again")], "fid long, name string")), lambda: places.insert(name, spark.createDataFrame([(1, 1)], "fid long, nope long")), lambda: places.create_table(c.TableSpec("gpkg_x")), lambda: places.create_table(c.TableSpec("t", [], c.GeometrySpec("POINT", 1234)))):
         with pytest.raises(ValueError):
@@ -81,6 +87,140 @@ def test_catalogue(spark, places, tmp_path):
         c.Container.create(spark, places.path)
 
 
+def test_parameters_outside_of_quotes_only(spark):
+    layer = Layer(spark.createDataFrame([(1, "a :b", 1.5), (2, "it's", float("inf")), (3, None, -2.0)], "fid long, note string, v double"), geom=None)
+    ids = lambda where, **p: [r.fid for r in layer.select(where, **p).rows().collect()]
+    assert ids("note = 'a :b' AND v > :least", least=1.0) == [1] and ids("v = :v", v=float("inf")) == [2]
+    assert ids("note = :n", n="it's") == [2] and ids("note <=> :n -- :comment", n=None) == [3] and ids("fid::int = :k", k=3) == [3] and ids("fid = :k", k=1 << 40) == []
+    for where, params in (("v = :v", {}), ("v = 1", {"v": 1})):
+        with pytest.raises(LayerError):
+            layer.select(where, **params)
+
+
+def test_a_write_is_one_state(spark, places, monkeypatch):
+    name, row = "Places", "fid long, name string, pop long, geom binary"
+    before = places.state["version"]
+    places.insert(name, spark.createDataFrame([(70, "x", 1, wkb(80, 80))], row))
+    assert places.state["version"] == before + 1
+    assert c.Container.open(spark, places.path, version=before).contents().first().max_x == 10.0 and c.Container.open(spark, places.path).contents().first().max_x == 80.0
+    other = c.Container.open(spark, places.path, version=before)
+    with pytest.raises(LayerError, match="another writer"):
+        other.insert(name, spark.createDataFrame([(71, "y", 1, wkb(0, 0))], row))
+
+    def fails(box):
+        box.insert(name, spark.createDataFrame([(72, "z", 1, wkb(0, 0))], row))
+        box.delete(name, spark.createDataFrame([(70,)], "fid long"))
+        assert sorted(r.fid for r in box.table(name).collect()) == [1, 2, 3, 4, 5, 72]
+        raise RuntimeError("stop")
+
+    with pytest.raises(RuntimeError):
+        places.transaction(fails)
+    assert places.table(name).where("fid = 70").count() == 1 and places.table(name).where("fid = 72").count() == 0
+    places.transaction(lambda box: (box.insert(name, spark.createDataFrame([(72, "z", 1, wkb(0, 0))], row)), box.delete(name, spark.createDataFrame([(72,), (70,)], "fid long")), box.insert(name, spark.createDataFrame([(70, "again", 1, None)], row))))
+    assert sorted((r.fid, r.name) for r in c.Container.open(spark, places.path).table(name).where("fid >= 70").collect()) == [(70, "again")]
+
+
+def test_what_may_not_be_written(spark, places):
+    places.create_table(c.TableSpec("codes", [c.ColumnSpec("code", "TEXT", not_null=True, unique=True), c.ColumnSpec("size", "INTEGER"), c.ColumnSpec("kind", "TEXT"), c.ColumnSpec("tag", "TEXT")]))
+    schema = "fid long, code string, size long, kind string, tag string"
+    rows = lambda *x: spark.createDataFrame(list(x), schema)
+    c.add_column_constraint(places, spark.createDataFrame([("sizes", "range", None, 1.0, True, 9.0, False, None), ("kinds", "enum", "a", None, None, None, None, None), ("kinds", "enum", "b", None, None, None, None, None), ("tags", "glob", "t[0-9]*", None, None, None, None, None)], c.CONSTRAINTS))
+    described = [("codes", "size", None, None, None, None, "sizes"), ("codes", "kind", None, None, None, None, "kinds"), ("codes", "tag", None, None, None, None, "tags"), ("codes", "code", None, None, None, None, "none")]
+    c.set_data_columns(places, spark.createDataFrame(described, c.DATA_COLUMNS))
+    assert places.insert("codes", rows((1, "x", 1, "a", "t1"), (2, "y", None, None, None)), constraints=True) == 2
+    assert places.insert("codes", rows((3, "z", 9, "q", "u")), constraints=False) == 1  # constraints are looked at where that is asked for
+    refused = [(rows((4, None, 1, "a", "t1")), "code is null"), (rows((4, "w", 9, "a", "t1")), "size"), (rows((4, "w", 8, "c", "t1")), "kind"), (rows((4, "w", 8, "b", "s1")), "tag")]
+    for bad, reason in refused:
+        with pytest.raises(Exception, match=reason):
+            places.insert("codes", bad, constraints=True)
+    for bad in (rows((4, "x", 1, "a", "t1")), rows((4, "n", 1, "a", "t1"), (5, "n", 1, "a", "t1"))):
+        with pytest.raises(ValueError, match="code repeats"):
+            places.insert("codes", bad)
+    with pytest.raises(ValueError, match="code repeats"):
+        places.update_columns("codes", spark.createDataFrame([(2, "x")], "fid long, code string"))
+    with pytest.raises(Exception, match="code is null"):
+        places.update_columns("codes", spark.createDataFrame([(2, None)], "fid long, code string"))
+    assert places.update("codes", rows((1, "x", 2, "b", "t2"))) == 1  # a row may keep its own value
+    told = c.violations(places, "codes", rows((6, None, 12, "c", "t"), (7, "y", 1, "a", "t7"), (8, "new", None, None, None)))
+    assert {r.fid: sorted(r.violations) for r in told.collect()} == {6: ["code", "kind", "size", "tag"], 7: ["code"], 8: []}
+    assert places.table("codes").count() == 3
+    for bad in (("r", "range", None, 3.0, True, 1.0, True, None), ("e", "enum", None, None, None, None, None, None), ("u", "odd", "v", None, None, None, None, None), ("sizes", "glob", "*", None, None, None, None, None)):
+        with pytest.raises(LayerError):
+            c.add_column_constraint(places, spark.createDataFrame([bad], c.CONSTRAINTS))
+
+
+def test_index_life_cycle(spark, places):
+    name, row = "Places", "fid long, name string, pop long, geom binary"
+    assert places.index_status(name) == "current"  # the sidecar
+    places.create_index(name)
+    assert places.audit_index(name).first().entries == 3 and places.index_status(name) == "current"
+    places.insert(name, spark.createDataFrame([(20, "far", 1, wkb(100, 50))], row))
+    assert places.index_status(name) == "stale" and places.audit_index(name).first().missing == 1
+    assert places.repair_index(name) and not places.repair_index(name)
+    assert places.drop_index(name) and places.index_status(name) == "absent" and not places.drop_index(name)
+    assert places.table("extensions").where("extension_name = 'gpkg_rtree_index'").count() == 0
+
+
+def test_reference_systems_and_extensions(spark, places):
+    for code, name in ((3857, "WGS 84 / Pseudo-Mercator"), (25832, "ETRS89 / UTM zone 32N"), (32733, "WGS 84 / UTM zone 33S"), (4269, "NAD83")):
+        assert places.add_epsg_srs(code)
+        found = places.srs(code)
+        assert found["srs_name"] == name and f'ID["EPSG",{code}]]' in found["definition_12_063"] and f'AUTHORITY["EPSG","{code}"]' in found["definition"]
+        assert all(found[c].count("[") == found[c].count("]") for c in ("definition", "definition_12_063"))
+    for bad in (lambda: places.add_epsg_srs(999_999), lambda: places.srs(12345)):
+        with pytest.raises(LayerError):
+            bad()
+    places.register((None, None, "acme_x", "d", "read-write"))
+    with pytest.raises(LayerError, match="blocks"):
+        places.delete("Places", spark.createDataFrame([(1,)], "fid long"))
+    places.allow_extension("acme_x")
+    assert places.delete("Places", spark.createDataFrame([(1,)], "fid long")) == 1
+    assert places.unregister("acme_x") and not places.unregister("acme_x")
+    assert [r.extension_name for r in places.table_extensions("places").collect()] == ["gpkg_rtree_index"]
+    c.add_metadata(places, spark.createDataFrame([(1, "dataset", "u", "text/xml", "m")], c.METADATA))
+    assert c.metadata_record(places, 1)["metadata"] == "m" and c.references_to(places, 1).count() == 0
+    with pytest.raises(LayerError):
+        c.metadata_record(places, 2)
+
+
+def test_chains_of_any_length(spark):
+    refs = spark.createDataFrame([(k, k + 1) for k in range(100)] + [(200, 201), (201, 202), (202, 201), (300, 300)], "md_file_id long, md_parent_id long")
+    start = spark.createDataFrame([(0,), (200,), (300,), (99,), (500,)], "id long")
+    got = relations.ancestors(refs, start).collect()
+    assert sorted(r.depth for r in got if r.id == 0) == list(range(1, 101)) and all(r.ancestor == r.depth and r.error is None for r in got if r.id == 0)
+    assert sorted((r.depth, r.ancestor, r.error) for r in got if r.id == 200) == [(1, 201, None), (2, 202, None), (3, 201, "cycle")]
+    assert [(r.depth, r.ancestor, r.error) for r in got if r.id == 300] == [(1, 300, "cycle")] and [r.ancestor for r in got if r.id == 99] == [100]
+
+
+def test_join_of_boxes_of_every_size(spark):
+    rng = random.Random(3)
+    side = lambda: rng.choice([0.0, rng.uniform(0, 1), rng.uniform(0, 400), 3e9])
+    make = lambda n: [(k, x := rng.uniform(-200, 200), x + side(), y := rng.uniform(-90, 90), y + side()) for k in range(n)]
+    inf = float("inf")
+    left, right = [*make(150), (900, -inf, inf, -inf, inf), (901, None, None, None, None), (902, 0.0, inf, 1.0, 1.0)], [*make(40), (950, -inf, inf, -5.0, 5.0)]
+    schema = "long, minx double, maxx double, miny double, maxy double"
+    a, b = spark.createDataFrame(left, "fid " + schema), spark.createDataFrame(right, "box_id " + schema)
+    want = sorted((q[0], p[0]) for p in left for q in right if p[1] is not None and p[1] <= q[2] and p[2] >= q[1] and p[3] <= q[4] and p[4] >= q[3])
+    assert sorted((r.box_id, r.fid) for r in spatial_join(a, b, 2.0).collect()) == want
+
+
+def test_key_runs_across_ranges(spark):
+    rng = random.Random(4)
+    ids = sorted(rng.sample(range(40_000), 900) + [k for s in (0, 9_000, 33_000) for k in range(s, s + 500)])
+    ids = sorted(set(ids))
+    want, lo = [], ids[0]
+    for p, q in zip(ids, [*ids[1:], None], strict=True):
+        if q is None or q - p > 64:
+            want.append((lo, p))
+            lo = q
+    runs = ordering.key_runs(spark.createDataFrame([(k,) for k in ids], "id long").repartition(3), "id")
+    assert sorted((r.lo, r.hi) for r in runs.collect()) == want
+    grouped = ordering.key_runs(spark.createDataFrame([(k % 2, k) for k in ids] , "g long, id long"), "id", "g", gap=2)
+    for g in (0, 1):
+        own = [k for k in ids if k % 2 == g]
+        assert sum(r.n for r in grouped.where(f"g = {g}").collect()) == len(own) and grouped.where(f"g = {g}").count() == 1 + sum(q - p > 2 for p, q in zip(own, own[1:], strict=False))
+
+
 def test_box_filter_against_brute_force(spark):
     rng = random.Random(1)
     boxes = [(k, a := rng.uniform(-50, 50), a + rng.choice([0, rng.uniform(0, 30)]), b := rng.uniform(-50, 50), b + rng.uniform(0, 30)) for k in range(300)]
@@ -122,8 +262,8 @@ def test_pyramid(spark):
     assert p.cursor_in(1, BoundingBox(100, -80, 170, -50)).count() == 1 and p.cursor_in(1, BoundingBox(200, 0, 210, 1)).count() == 0 and p.get(2, 4, 2).count() == 1
     with pytest.raises(LayerError, match="no zoom"):
         p.cursor_in(9, BoundingBox(0, 0, 1, 1))
-    new = spark.createDataFrame([(1, 0, 0, png(256)), (1, 9, 0, png(256)), (7, 0, 0, png(256)), (2, 0, 0, png(64)), (2, 0, 0, bytearray(b"other"))], "zoom_level long, tile_column long, tile_row long, tile_data binary").coalesce(1)
-    assert sorted(str(r.error) for r in p.checked(new).collect()) == ["None", "None", "outside the grid", "payload size", "unknown zoom"]
+    new = spark.createDataFrame([(1, 0, 0, png(256)), (1, 9, 0, png(256)), (7, 0, 0, png(256)), (2, 0, 0, png(64)), (2, 0, 0, bytearray(b"other")), (2, 1, 0, bytearray(b"\xff\xd8\xff\xe0")), (2, 1, 1, bytearray(b"RIFF\x16\0\0\0WEBPVP8X\x0a\0\0\0\0\0\0\0" + (63).to_bytes(3, "little") * 2))], "zoom_level long, tile_column long, tile_row long, tile_data binary").coalesce(1)
+    assert sorted(str(r.error) for r in p.checked(new).collect()) == ["None", "None", "outside the grid", "payload", "payload size", "payload size", "unknown zoom"]
 
 
 def test_relations_and_metadata(spark):
@@ -147,7 +287,7 @@ def test_container_tiles_relations_metadata(spark, places):
     m = grid.ladder(spark, grid.WORLD, 0, 1, base=(2, 1))
     c.create_pyramid(places, "world", grid.WORLD, m)
     png = bytearray(bytes.fromhex("89504E470D0A1A0A0000000D49484452") + struct.pack(">II", 256, 256))
-    webp = bytearray(b"RIFF\0\0\0\0WEBPVP8 ")
+    webp = bytearray(b"RIFF\x16\0\0\0WEBPVP8X\x0a\0\0\0\0\0\0\0" + (255).to_bytes(3, "little") * 2)
     c.put_tiles(places, "world", spark.createDataFrame([(0, 0, 0, png), (1, 1, 1, webp)], c.TILES))
     c.put_tiles(places, "world", spark.createDataFrame([(0, 0, 0, webp)], c.TILES))
     p = c.open_pyramid(places, "WORLD")
