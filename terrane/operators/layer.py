@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.functions import codec
+from terrane.operators.shared import settled
 
 SIDECAR = ("minx", "maxx", "miny", "maxy")
 
@@ -241,8 +242,9 @@ def spatial_join(features: DataFrame, boxes: DataFrame, cell: float, fid: str =
 
 
 def next_fids(df: DataFrame, last: int, fid: str = "fid") -> DataFrame:
-    """df with ids after `last`, gapless: counts of each partition first, then places within it, so nothing is sorted globally."""
-    numbered = df.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    """df with ids after `last`, gapless, in the order of its rows: counts of each partition first, then places within it, so nothing is
+    sorted globally.  Rows are written once with their places, as another run could cut partitions elsewhere."""
+    numbered = settled(df.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     placed = numbered.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy("_at")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import struct
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,10 @@ from terrane.functions import codec, grid, names, types
 from terrane.functions.binary import body
 from terrane.operators import container as c
 from terrane.operators import relations
-from terrane.operators.layer import BoundingBox
+from terrane.operators.layer import BoundingBox, Layer
 from terrane.operators.shared import scratch
 from terrane.plans import inputs as i
+from terrane.sources import sqlite
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -346,3 +348,29 @@ def geometry_names(spark: SparkSession, d: str) -> DataFrame:
 def quoted_names(spark: SparkSession, d: str) -> DataFrame:
     rows = i.table(spark, d, "nation").select("n_name", "n_nationkey").collect()  # 25 identifiers
     return i.texts(spark, [(r.n_name, names.quote(r.n_name + ("`x" if r.n_nationkey % 2 == 0 else ""))) for r in rows], "name string, quoted string")
+
+
+def local_folder(spark: SparkSession) -> str:
+    """A folder that this machine's file system and Spark name alike: a file that SQLite writes is one of the driver's."""
+    folder = scratch(spark, "files").removeprefix("file:")
+    os.makedirs(folder, exist_ok=True)
+    return folder
+
+
+@query("file_roundtrip", f"WITH {i.P_SQL} SELECT fid, c_name, c_acctbal, minx, miny FROM (SELECT *, x AS minx, y AS miny FROM p) WHERE x BETWEEN -100 AND 50 AND y BETWEEN -30 AND 60")
+def file_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """A layer written to a file with its R-tree, and a box of it read from there."""
+    path = f"{local_folder(spark)}/points.file"
+    sqlite.export(i.stored_box(spark, d, "points"), path)
+    layer = Layer(sqlite.read(spark, path, "points", columns="fid,c_name,c_acctbal,minx,maxx,miny,maxy"), geom="geom").features_in(BoundingBox(-100, -30, 50, 60))
+    return layer.df.where(layer.predicate).select("fid", "c_name", "c_acctbal", "minx", "miny")
+
+
+@query("file_index_state", "SELECT 'current' AS state, count(*) AS entries FROM customer")
+def file_index_state(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{local_folder(spark)}/points.file"
+    sqlite.export(i.stored_box(spark, d, "points"), path)
+    con = sqlite.connect(path)
+    entries = con.execute("SELECT count(*) FROM rtree_points_geom").fetchone()[0]
+    con.close()
+    return i.texts(spark, [(sqlite.index_state(path, "points"), entries)], "state string, entries long")

@@ -68,6 +68,12 @@ def stored(spark: SparkSession, sf_dir: str, name: str, spec: TableSpec, rows: C
     return Container.open(spark, _STORED[key]).layer(spec.name)
 
 
+def stored_box(spark: SparkSession, sf_dir: str, name: str) -> Container:
+    """The container of stored points."""
+    stored_points(spark, sf_dir)
+    return Container.open(spark, _STORED[spark.sparkContext.applicationId, sf_dir, name])
+
+
 POINT_COLUMNS = [ColumnSpec("c_name", "TEXT"), ColumnSpec("c_acctbal", "DOUBLE"), ColumnSpec("c_mktsegment", "TEXT"), ColumnSpec("c_nationkey", "INT"), ColumnSpec("x", "DOUBLE"), ColumnSpec("y", "DOUBLE")]
 
 

@@ -1,13 +1,18 @@
-"""Reading feature, attribute and tile tables of a SQLite container file as a Python data source.
+"""Reading feature, attribute and tile tables of a SQLite container file as a Python data source, and writing such files.
 
     spark.dataSource.register(ContainerFile)
     spark.read.format("container").option("table", "roads").load("/shared/file")
 
 Executors open the file themselves, so it has to be in a folder that all of them see.  The scan is split by
-ranges of the integer key; comparisons with literals on value columns go into the file's own WHERE clause.
+ranges of the integer key; comparisons with literals on value columns go into the file's own WHERE clause, and
+those of a box on minx, maxx, miny and maxy into its R-tree, where it has one (option index=false: not).  Option
+columns names the columns that are read, the others aren't touched.
 Values follow the declared types: lenient by default, option strict=true to refuse what lenient widens;
 what cannot be read is null, with the reason in the column named by option "errors", if one is given.
 Geometry columns come as stored, with sidecar columns minx, maxx, miny, maxy and geom_empty.
+
+export() writes tables of a container to one file, as the format wants it: rows go there in the order of
+their key, a partition at a time, through one connection of the driver.
 """
 
 from __future__ import annotations
@@ -36,20 +41,21 @@ def quote(name: str) -> str:
 
 
 def connect(path: str) -> sqlite3.Connection:
+    """A connection that reads; text that isn't UTF-8 comes with its bytes escaped."""
     con = sqlite3.connect(f"file:{path.removeprefix('file:')}?mode=ro", uri=True)
-    con.text_factory = bytes
+    con.text_factory = lambda b: b.decode("utf-8", "surrogateescape")
     return con
 
 
-def text(value) -> str | None:
-    return value.decode("utf-8", "replace") if isinstance(value, bytes) else value
+#: Storage classes by the type of the value that comes out.
+CLASSES = {int: "integer", float: "real", str: "text", bytes: "blob"}
 
 
-def convert(value, declared: str, strict: bool):
-    """(value, error) of a stored value under a declared type; text comes as bytes, blobs as memoryview-free bytes with kind told by the caller."""
-    kind, raw = value
-    if kind == "null":
+def convert(raw, declared: str, strict: bool):
+    """(value, error) of a stored value under a declared type."""
+    if raw is None:
         return None, None
+    kind = CLASSES[type(raw)]
     name = re.sub(r"\s*\(.*", "", declared.strip().upper())
     if name == "BOOLEAN":
         return (raw != 0, None) if kind == "integer" and (not strict or raw in (0, 1)) else (None, f"{kind} in BOOLEAN")
@@ -60,14 +66,12 @@ def convert(value, declared: str, strict: bool):
     if name in ("TEXT", "DATE", "DATETIME"):
         if kind != "text":
             return None, f"{kind} in {name}"
-        try:
-            s = raw.decode("utf-8")
-        except UnicodeDecodeError:
+        if not raw.isascii() and not _is_utf8(raw):
             return None, "not UTF-8"
         if name == "TEXT":
-            return s, None
+            return raw, None
         try:
-            return (_date(s) if name == "DATE" else _datetime(s, strict)), None
+            return (_date(raw) if name == "DATE" else _datetime(raw, strict)), None
         except ValueError as e:
             return None, f"{name}: {e}"
     if name == "BLOB" or name in types.GEOMETRY_TYPES:
@@ -78,8 +82,34 @@ def convert(value, declared: str, strict: bool):
     if isinstance(target, T.DoubleType):
         return (float(raw), None) if kind in ("integer", "real") else (None, f"{kind} in {name}")
     if isinstance(target, T.StringType):
-        return (text(raw), None) if kind == "text" else (None, f"{kind} in {name}")
-    return (raw, None) if kind in ("blob", "text") else (None, f"{kind} in {name}")
+        return (raw, None) if kind == "text" and _is_utf8(raw) else (None, f"{kind} in {name}")
+    return (raw if kind == "blob" else raw.encode("utf-8", "surrogateescape"), None) if kind in ("blob", "text") else (None, f"{kind} in {name}")
+
+
+def _is_utf8(value: str) -> bool:
+    try:
+        value.encode("utf-8")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def column(values: tuple, declared: str, strict: bool) -> tuple[list, dict[int, str]]:
+    """The values of a column under its declared type, and what is wrong with some, by row.
+
+    A column whose values all have the type that is looked for is taken as it is.
+    """
+    kinds = set(map(type, values)) - {type(None)}
+    name = re.sub(r"\s*\(.*", "", declared.strip().upper())
+    plain = {"TINYINT": {int}, "SMALLINT": {int}, "MEDIUMINT": {int}, "INT": {int}, "INTEGER": {int}, "BLOB": {bytes}, "FLOAT": {float}, "DOUBLE": {float}, "REAL": {float}}.get(name)
+    if plain is None and name in types.GEOMETRY_TYPES:
+        plain = {bytes}
+    if plain is not None and kinds <= plain:
+        return list(values), {}
+    if name == "TEXT" and kinds <= {str} and all(v is None or v.isascii() for v in values):
+        return list(values), {}
+    told = [convert(v, declared, strict) for v in values]
+    return [v for v, _ in told], {k: e for k, (_, e) in enumerate(told) if e}
 
 
 def _date(s: str) -> datetime.date:
@@ -111,20 +141,22 @@ class Described:
     def __init__(self, path: str, name: str):
         con = connect(path)
         try:
-            tables = [text(r[0]) for r in con.execute("SELECT name FROM sqlite_master WHERE type IN ('table', 'view')")]
+            tables = [r[0] for r in con.execute("SELECT name FROM sqlite_master WHERE type IN ('table', 'view')")]
             found = next((t for t in tables if t == name), None) or next((t for t in tables if t.lower() == name.lower()), None)
             if found is None:
                 raise ValueError(f"no such table: {name}")
             self.name = found
-            info = [(text(r[1]), text(r[2]) or "", r[3], r[5]) for r in con.execute(f"PRAGMA table_info({quote(found)})")]
+            info = [(r[1], r[2] or "", r[3], r[5]) for r in con.execute(f"PRAGMA table_info({quote(found)})")]
             keys = [c for c, _, _, pk in info if pk]
             self.key = keys[0] if len(keys) == 1 else None
             self.columns = [(c, t) for c, t, _, _ in info]
             self.geometry = None
             if "gpkg_geometry_columns" in tables:
                 row = con.execute("SELECT column_name FROM gpkg_geometry_columns WHERE lower(table_name) = lower(?)", (found,)).fetchone()
-                self.geometry = text(row[0]) if row else None
+                self.geometry = row[0] if row else None
             self.key_sql = quote(self.key) if self.key else "rowid"
+            rtree = self.geometry and f"rtree_{found}_{self.geometry}"
+            self.index = next((t for t in tables if rtree and t.lower() == rtree.lower()), None)
             integer = self.key is None or re.match("INT", dict(self.columns)[self.key].upper())
             low, high = con.execute(f"SELECT min({self.key_sql}), max({self.key_sql}) FROM {quote(found)}").fetchone() if integer else (None, None)
             self.range = (low, high) if isinstance(low, int) and isinstance(high, int) else None
@@ -145,16 +177,24 @@ class ContainerReader(DataSourceReader):
         self.schema, self.path, self.table = schema, options["path"], options["table"]
         self.strict = options.get("strict", "false").lower() == "true"
         self.errors = options.get("errors")
+        self.use_index = options.get("index", "true").lower() != "false"
         self.pieces = int(options.get("partitions", "8"))
         self.where: list[str] = []
         self.params: list = []
+        self.box: list[str] = []
+        self.sides: list[float] = []
 
     def pushFilters(self, filters):
-        """Comparisons of plain columns with literals; Spark tests every filter again."""
-        plain = {c: t for c, t in Described(self.path, self.table).columns if isinstance(types.spark_type(t), (T.LongType, T.DoubleType, T.StringType)) and re.sub(r"\W.*", "", t.upper()) not in ("DATE", "DATETIME", "BOOLEAN")}
+        """Comparisons of plain columns with literals, and of the sides of a box that the R-tree's entries, rounded outward, can tell; Spark tests every filter again."""
+        table = Described(self.path, self.table)
+        sides = {"minx": (LessThan, LessThanOrEqual), "miny": (LessThan, LessThanOrEqual), "maxx": (GreaterThan, GreaterThanOrEqual), "maxy": (GreaterThan, GreaterThanOrEqual)}
+        plain = {c: t for c, t in table.columns if isinstance(types.spark_type(t), (T.LongType, T.DoubleType, T.StringType)) and re.sub(r"\W.*", "", t.upper()) not in ("DATE", "DATETIME", "BOOLEAN")}
         for f in filters:
             column = f.attribute[0] if hasattr(f, "attribute") and len(f.attribute) == 1 else None
-            if column in plain:
+            if table.index and self.use_index and isinstance(f, sides.get(column, ())):
+                self.box.append(f"{column} {self.COMPARE[type(f)]} ?")
+                self.sides.append(float(f.value))
+            elif column in plain:
                 if type(f) in self.COMPARE and isinstance(f.value, (int, float, str)) and not isinstance(f.value, bool):
                     self.where.append(f"{quote(column)} {self.COMPARE[type(f)]} ?")
                     self.params.append(f.value)
@@ -175,9 +215,14 @@ class ContainerReader(DataSourceReader):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         table = Described(self.path, self.table)
-        columns = table.columns
-        picked = ", ".join(f"typeof({quote(c)}), {quote(c)}" for c, _ in columns)
+        wanted = {f.name for f in self.schema.fields}
+        boxed = bool(table.geometry) and not wanted.isdisjoint(n for n, _ in SIDECAR)
+        columns = [(c, t) for c, t in table.columns if c in wanted or (boxed and c == table.geometry)]
+        picked = ", ".join(quote(c) for c, _ in columns) or "NULL"
         tests, params = list(self.where), list(self.params)
+        if self.box:
+            tests.append(f"{table.key_sql} IN (SELECT id FROM {quote(table.index)} WHERE {' AND '.join(self.box)})")
+            params += self.sides
         if partition.low is not None:
             tests.append(f"{table.key_sql} BETWEEN ? AND ?")
             params += [partition.low, partition.high]
@@ -187,32 +232,36 @@ class ContainerReader(DataSourceReader):
         try:
             cursor = con.execute(sql, params)
             while rows := cursor.fetchmany(BATCH):
-                out: dict[str, list] = {f.name: [] for f in self.schema.fields}
-                for row in rows:
-                    problems = []
-                    for k, (c, declared) in enumerate(columns):
-                        value, error = convert((text(row[2 * k]), row[2 * k + 1]), declared, self.strict)
-                        out[c].append(value)
-                        if error:
-                            problems.append(f"{c}: {error}")
-                        if c == table.geometry:
-                            try:
-                                box = codec.envelope_of(value)
-                                hollow = None if value is None else box is None
-                            except codec.GeometryError as e:
-                                box, hollow = None, None
-                                problems.append(f"{c}: {e}")
-                            for (name, _), v in zip(SIDECAR, (*(box or (None,) * 4), hollow), strict=True):
-                                out[name].append(v)
-                    if self.errors:
-                        out[self.errors].append("; ".join(problems) or None)
+                out: dict[str, list] = {}
+                problems: dict[int, list[str]] = {}
+                for (c, declared), values in zip(columns, zip(*rows, strict=True), strict=False):
+                    out[c], wrong = column(values, declared, self.strict)
+                    for k, error in wrong.items():
+                        problems.setdefault(k, []).append(f"{c}: {error}")
+                if boxed:
+                    out |= self._sidecar(table.geometry, out[table.geometry], problems)
+                if self.errors:
+                    out[self.errors] = ["; ".join(problems[k]) if k in problems else None for k in range(len(rows))]
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
         finally:
             con.close()
 
+    @staticmethod
+    def _sidecar(name: str, blobs: list, problems: dict[int, list[str]]) -> dict[str, list]:
+        """minx, maxx, miny, maxy and geom_empty of a column of blobs."""
+        rows = []
+        for k, blob in enumerate(blobs):
+            try:
+                box = codec.envelope_of(blob)
+                rows.append((*(box or (None,) * 4), None if blob is None else box is None))
+            except codec.GeometryError as e:
+                rows.append((None,) * 5)
+                problems.setdefault(k, []).append(f"{name}: {e}")
+        return dict(zip((n for n, _ in SIDECAR), map(list, zip(*rows, strict=True)), strict=True))
+
 
 class ContainerFile(DataSource):
-    """Options: path, table; strict, errors, partitions."""
+    """Options: path, table; columns (a list with commas), strict, errors, partitions, index."""
 
     @classmethod
     def name(cls) -> str:
@@ -223,6 +272,11 @@ class ContainerFile(DataSource):
         fields = [T.StructField(c, types.spark_type(t), c != table.key, {"declared": t}) for c, t in table.columns]
         if table.geometry:
             fields += [T.StructField(c, t) for c, t in SIDECAR]
+        if named := self.options.get("columns"):
+            chosen = [c.strip() for c in named.split(",")]
+            if unknown := sorted(set(chosen) - {f.name for f in fields}):
+                raise ValueError(f"no such column: {', '.join(unknown)}")
+            fields = [f for f in fields if f.name in chosen]
         if self.options.get("errors"):
             fields.append(T.StructField(self.options["errors"], T.StringType()))
         return T.StructType(fields)
@@ -243,7 +297,7 @@ def file_warnings(path: str) -> list[str]:
     con = connect(path)
     try:
         (app,), (user,) = con.execute("PRAGMA application_id").fetchone(), con.execute("PRAGMA user_version").fetchone()
-        tables = {text(r[0]) for r in con.execute("SELECT name FROM sqlite_master WHERE type IN ('table', 'view')")}
+        tables = {r[0] for r in con.execute("SELECT name FROM sqlite_master WHERE type IN ('table', 'view')")}
         if not {"gpkg_spatial_ref_sys", "gpkg_contents"} <= tables:
             raise ValueError("no catalogue in this file")
         version = {1196437808: "1.0", 1196437809: "1.1"}.get(app)
@@ -253,8 +307,8 @@ def file_warnings(path: str) -> list[str]:
         if "gpkg_geometry_columns" not in tables:
             out.append("no geometry catalogue")
         for (name,) in con.execute("SELECT table_name FROM gpkg_contents"):
-            if text(name) not in tables:
-                out.append(f"case differs: {text(name)}" if text(name).lower() in {t.lower() for t in tables} else f"missing table: {text(name)}")
+            if name not in tables:
+                out.append(f"case differs: {name}" if name.lower() in {t.lower() for t in tables} else f"missing table: {name}")
         return out
     finally:
         con.close()
@@ -272,7 +326,7 @@ def import_layer(spark, path: str, table: str, container, **options) -> None:
         row = con.execute("SELECT geometry_type_name, srs_id, z, m FROM gpkg_geometry_columns WHERE lower(table_name) = lower(?)", (d.name,)).fetchone() if d.geometry else None
     finally:
         con.close()
-    g = GeometrySpec(text(row[0]).upper(), row[1], d.geometry, row[2], row[3]) if row else None
+    g = GeometrySpec(row[0].upper(), row[1], d.geometry, row[2], row[3]) if row else None
     columns = [ColumnSpec(c, t) for c, t in d.columns if c not in (d.key, d.geometry)]
     container.create_table(TableSpec(d.name, columns, g, d.key or "fid"))
     rows = df.select(*[c for c, _ in d.columns])
@@ -281,3 +335,149 @@ def import_layer(spark, path: str, table: str, container, **options) -> None:
 
         rows = rows.withColumn(d.geometry, body(F.col(d.geometry)))
     container.insert(d.name, rows)
+
+
+# The catalogue's tables as the format declares them, the application id and version.
+APPLICATION, VERSION = 1196444487, 10400
+DECLARED = {
+    "gpkg_spatial_ref_sys": "srs_name TEXT NOT NULL, srs_id INTEGER PRIMARY KEY, organization TEXT NOT NULL, organization_coordsys_id INTEGER NOT NULL, definition TEXT NOT NULL, description TEXT, definition_12_063 TEXT NOT NULL DEFAULT 'undefined'",
+    "gpkg_contents": "table_name TEXT NOT NULL PRIMARY KEY, data_type TEXT NOT NULL, identifier TEXT UNIQUE, description TEXT DEFAULT '', last_change DATETIME NOT NULL DEFAULT (strftime('%Y-%m-%dT%H:%M:%fZ','now')), min_x DOUBLE, min_y DOUBLE, max_x DOUBLE, max_y DOUBLE, srs_id INTEGER REFERENCES gpkg_spatial_ref_sys(srs_id)",
+    "gpkg_geometry_columns": "table_name TEXT NOT NULL UNIQUE REFERENCES gpkg_contents(table_name), column_name TEXT NOT NULL, geometry_type_name TEXT NOT NULL, srs_id INTEGER NOT NULL REFERENCES gpkg_spatial_ref_sys(srs_id), z TINYINT NOT NULL, m TINYINT NOT NULL, PRIMARY KEY (table_name, column_name)",
+    "gpkg_extensions": "table_name TEXT, column_name TEXT, extension_name TEXT NOT NULL, definition TEXT NOT NULL, scope TEXT NOT NULL, UNIQUE (table_name, column_name, extension_name)",
+    "gpkg_tile_matrix_set": "table_name TEXT NOT NULL PRIMARY KEY REFERENCES gpkg_contents(table_name), srs_id INTEGER NOT NULL REFERENCES gpkg_spatial_ref_sys(srs_id), min_x DOUBLE NOT NULL, min_y DOUBLE NOT NULL, max_x DOUBLE NOT NULL, max_y DOUBLE NOT NULL",
+    "gpkg_tile_matrix": "table_name TEXT NOT NULL REFERENCES gpkg_contents(table_name), zoom_level INTEGER NOT NULL, matrix_width INTEGER NOT NULL, matrix_height INTEGER NOT NULL, tile_width INTEGER NOT NULL, tile_height INTEGER NOT NULL, pixel_x_size DOUBLE NOT NULL, pixel_y_size DOUBLE NOT NULL, PRIMARY KEY (table_name, zoom_level)",
+}
+TILE_TABLE = "id INTEGER PRIMARY KEY AUTOINCREMENT, zoom_level INTEGER NOT NULL, tile_column INTEGER NOT NULL, tile_row INTEGER NOT NULL, tile_data BLOB NOT NULL, UNIQUE (zoom_level, tile_column, tile_row)"
+
+
+def index_triggers(table: str, geometry: str, key: str) -> dict[str, str]:
+    """Statements that keep an R-tree in step with its table, by the suffix of their names; writers of the file supply the ST_ functions."""
+    t, g, k, r = quote(table), quote(geometry), quote(key), quote(f"rtree_{table}_{geometry}")
+    has = lambda row: f"({row}.{g} NOT NULL AND NOT ST_IsEmpty({row}.{g}))"
+    hasnt = lambda row: f"({row}.{g} ISNULL OR ST_IsEmpty({row}.{g}))"
+    sides = {"minx": "ST_MinX", "maxx": "ST_MaxX", "miny": "ST_MinY", "maxy": "ST_MaxY"}
+    put = f"INSERT OR REPLACE INTO {r} VALUES (NEW.{k}, {', '.join(f'{f}(NEW.{g})' for f in sides.values())});"
+    move = f"UPDATE {r} SET {', '.join(f'{c} = {f}(NEW.{g})' for c, f in sides.items())} WHERE id = NEW.{k};"
+    drop = lambda ids: f"DELETE FROM {r} WHERE id IN ({ids});"
+    same, other = f"OLD.{k} = NEW.{k}", f"OLD.{k} != NEW.{k}"
+    rules = {  # event, condition, what is done
+        "insert": ("INSERT", has("NEW"), put),
+        "update2": (f"UPDATE OF {g}", f"{same} AND {hasnt('NEW')}", drop(f"OLD.{k}")),
+        "update4": ("UPDATE", f"{other} AND {hasnt('NEW')}", drop(f"OLD.{k}, NEW.{k}")),
+        "update5": ("UPDATE", f"{other} AND {has('NEW')}", drop(f"OLD.{k}") + " " + put),
+        "update6": (f"UPDATE OF {g}", f"{same} AND {has('NEW')} AND {has('OLD')}", move),
+        "update7": (f"UPDATE OF {g}", f"{same} AND {has('NEW')} AND {hasnt('OLD')}", put),
+        "delete": ("DELETE", f"OLD.{g} NOT NULL", drop(f"OLD.{k}")),
+    }
+    named = lambda suffix: quote(f"rtree_{table}_{geometry}_{suffix}")
+    return {s: f"CREATE TRIGGER {named(s)} AFTER {event} ON {t} WHEN {when} BEGIN {then} END" for s, (event, when, then) in rules.items()}
+
+
+def export(container, path: str, tables: list[str] | None = None) -> None:
+    """Write tables of a container (by default all features, attributes and tiles) to a new file; ValueError if it is there.
+
+    The file is written under a passing name and renamed, so that a reader never sees half of it.
+    """
+    import os
+
+    path = path.removeprefix("file:")
+    if os.path.exists(path):
+        raise ValueError(f"{path} is there already")
+    passing = f"{path}.writing"
+    con = sqlite3.connect(passing)
+    try:
+        con.execute(f"PRAGMA application_id = {APPLICATION}")
+        con.execute(f"PRAGMA user_version = {VERSION}")
+        con.execute("PRAGMA synchronous = OFF")  # until the end: what a crash leaves behind is thrown away
+        kept = [r for r in container.rows("contents") if tables is None or r["table_name"].lower() in {t.lower() for t in tables}]
+        named = {r["table_name"] for r in kept}
+        for name, columns in DECLARED.items():
+            con.execute(f"CREATE TABLE {name} ({columns})")
+        for r in container.rows("srs"):
+            _put(con, "gpkg_spatial_ref_sys", [{**r, "definition_12_063": r.get("definition_12_063") or "undefined"}])
+        for r in kept:
+            stamp = r["last_change"].astimezone(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%S.") + f"{r['last_change'].microsecond // 1000:03d}Z"
+            _put(con, "gpkg_contents", [{**r, "last_change": stamp}])
+        _put(con, "gpkg_geometry_columns", [r for r in container.rows("geometry_columns") if r["table_name"] in named])
+        indexed = lambda name: container.state["specs"].get(name, {}).get("spatial_index")
+        _put(con, "gpkg_extensions", [r for r in container.rows("extensions") if r["table_name"] is None or r["table_name"] in named])
+        for name in ("tile_matrix_set", "tile_matrix"):
+            if name in container.state["tables"]:
+                _put(con, f"gpkg_{name}", [r.asDict() for r in container.table(name).collect() if r.table_name in named])  # a row a pyramid, a row a zoom
+        for r in kept:
+            name = r["table_name"]
+            if r["data_type"] == "tiles":
+                _fill(con, name, TILE_TABLE, container.table(name).orderBy("zoom_level", "tile_row", "tile_column"))
+                continue
+            spec, schema = container.state["specs"][name], container._schema_of(name)
+            hidden = {n for n, _ in SIDECAR} | {"geom_type", "dims"} if spec["geometry"] else set()
+            fields = [f for f in schema.fields if f.name not in hidden]
+            declared = [f"{quote(f.name)} " + _declaration(f, spec) for f in fields]
+            rows = container.table(name).orderBy(spec["primary_key"]).select(*[f.name for f in fields])
+            _fill(con, name, ", ".join(declared), rows)
+            if spec["geometry"] and indexed(name):
+                _index(con, container, name, spec)
+        con.commit()
+        con.execute("PRAGMA synchronous = FULL")
+        con.close()
+        os.replace(passing, path)
+    except BaseException:
+        con.close()
+        os.remove(passing)
+        raise
+
+
+def _declaration(f: T.StructField, spec: dict) -> str:
+    if f.name == spec["primary_key"]:
+        return "INTEGER PRIMARY KEY AUTOINCREMENT NOT NULL"
+    declared = f.metadata.get("declared") or f.metadata.get("geometry_type") or types.declared_type(f.dataType)
+    return declared + " NOT NULL" * (f.name in spec["not_null"]) + " UNIQUE" * (f.name in spec["unique"])
+
+
+def _put(con: sqlite3.Connection, table: str, rows: list[dict]) -> None:
+    for r in rows:
+        con.execute(f"INSERT INTO {quote(table)} ({', '.join(map(quote, r))}) VALUES ({', '.join('?' * len(r))})", list(r.values()))
+
+
+def _stored(value):
+    """A value as the file stores it."""
+    if isinstance(value, datetime.datetime):
+        return value.strftime("%Y-%m-%dT%H:%M:%S.") + f"{value.microsecond // 1000:03d}Z"
+    if isinstance(value, datetime.date):
+        return value.isoformat()
+    return bytes(value) if isinstance(value, bytearray) else int(value) if isinstance(value, bool) else value
+
+
+def _fill(con: sqlite3.Connection, table: str, columns: str, rows) -> None:
+    """Create a table and put rows there, one partition of them in memory at a time."""
+    con.execute(f"CREATE TABLE {quote(table)} ({columns})")
+    names = ", ".join(map(quote, rows.columns))
+    put = f"INSERT INTO {quote(table)} ({names}) VALUES ({', '.join('?' * len(rows.columns))})"
+    con.executemany(put, (tuple(map(_stored, r)) for r in rows.toLocalIterator(prefetchPartitions=True)))
+
+
+def _index(con: sqlite3.Connection, container, name: str, spec: dict) -> None:
+    """The R-tree of a layer, from its sidecar columns, and the triggers that keep it."""
+    from terrane.operators import index
+
+    tree, key = f"rtree_{name}_{spec['geometry']}", spec["primary_key"]
+    con.execute(f"CREATE VIRTUAL TABLE {quote(tree)} USING rtree(id, minx, maxx, miny, maxy)")
+    entries = index.build(container.table(name), key).orderBy("hilbert").select("id", "minx", "maxx", "miny", "maxy")
+    con.executemany(f"INSERT INTO {quote(tree)} VALUES (?, ?, ?, ?, ?)", (tuple(r) for r in entries.toLocalIterator(prefetchPartitions=True)))
+    for statement in index_triggers(name, spec["geometry"], key).values():
+        con.execute(statement)
+
+
+def index_state(path: str, table: str) -> str:
+    """absent, current, legacy or stale: what a file's R-tree and its triggers say."""
+    d = Described(path, table)
+    con = connect(path)
+    try:
+        prefix = f"rtree_{d.name}_{d.geometry}_"
+        suffixes = {r[0][len(prefix) :] for r in con.execute("SELECT name FROM sqlite_master WHERE type = 'trigger'") if r[0].startswith(prefix)}
+    finally:
+        con.close()
+    old, new = bool(suffixes & {"update1", "update3"}), bool(suffixes & {"update5", "update6", "update7"})
+    if not d.index:
+        return "stale" if old or new else "absent"
+    return "legacy" if old else "current" if new else "stale"

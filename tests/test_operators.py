@@ -349,6 +349,43 @@ def test_file_source(spark, file):
     assert strict[2].b is None and strict[2].dtm is None and strict[1].dtm is not None
 
 
+def test_columns_and_bad_text(spark, file):
+    df = sqlite.read(spark, file, "spread", columns="fid,txt")
+    assert df.columns == ["fid", "txt"] and {r.fid: r.txt for r in df.collect()} == {1: "é☃", 2: "t", 3: None, 900: "z"}
+    con = sqlite3.connect(file)
+    con.execute("UPDATE spread SET txt = CAST(x'ff41' AS TEXT) WHERE fid = 2")
+    con.commit()
+    assert {r.fid: (r.txt, r.e) for r in sqlite.read(spark, file, "spread", columns="fid,txt", errors="e").collect()}[2] == (None, "txt: not UTF-8")
+    with pytest.raises(Exception, match="no such column"):
+        sqlite.read(spark, file, "spread", columns="nope").collect()
+
+
+def test_export_and_box(spark, places, tmp_path):
+    m = grid.ladder(spark, grid.WORLD, 0, 0, base=(2, 1))
+    c.create_pyramid(places, "world", grid.WORLD, m)
+    c.put_tiles(places, "world", spark.createDataFrame([(0, 1, 0, bytearray(b"data"))], c.TILES))
+    places.create_table(c.TableSpec("notes", [c.ColumnSpec("note", "TEXT", not_null=True, unique=True), c.ColumnSpec("day", "DATE")]))
+    places.insert("notes", spark.createDataFrame([("a",), ("b",)], "note string"))
+    path = f"{tmp_path}/out.file"
+    sqlite.export(places, path)
+    assert sqlite.file_warnings(path) == [] and sqlite.index_state(path, "places") == "current"
+    con = sqlite3.connect(path)
+    assert con.execute("SELECT count(*) FROM rtree_Places_geom").fetchone() == (3,) and con.execute("PRAGMA integrity_check").fetchone() == ("ok",)
+    assert con.execute("SELECT min_x, max_y FROM gpkg_contents WHERE table_name = 'Places'").fetchone() == (1.0, 20.0)
+    assert con.execute("SELECT tile_data FROM world").fetchone() == (b"data",) and con.execute("SELECT note FROM notes ORDER BY fid").fetchall() == [("a",), ("b",)]
+    with pytest.raises(sqlite3.IntegrityError):
+        con.execute("INSERT INTO notes (note) VALUES ('a')")
+    df = sqlite.read(spark, path, "places")
+    assert {r.fid: (r.name, bytes(r.geom)) for r in df.where("geom IS NOT NULL").collect()} == {r.fid: (r.name, bytes(r.geom)) for r in places.table("Places").where("geom IS NOT NULL").collect()}
+    assert sorted(r.fid for r in Layer(df).features_in(BoundingBox(0, -10, 5, 3)).rows().collect()) == [1, 2]
+    con.execute("DELETE FROM rtree_Places_geom WHERE id = 2")  # what the index doesn't tell isn't read: so the box went through it
+    con.commit()
+    box = lambda **o: sorted(r.fid for r in Layer(sqlite.read(spark, path, "places", **o)).features_in(BoundingBox(0, -10, 5, 3)).rows().collect())
+    assert box() == [1] and box(index="false") == [1, 2]
+    with pytest.raises(ValueError, match="there already"):
+        sqlite.export(places, path)
+
+
 def test_import(spark, file, tmp_path):
     con = sqlite3.connect(file)
     con.execute("DELETE FROM spread WHERE fid = 900")
