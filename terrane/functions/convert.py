@@ -7,6 +7,8 @@ zone, Z, +HH:MM, +HHMM or +HH.  No zone counts as UTC.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,18 @@ LENIENT = r"^([0-9]{4}-[0-9]{2}-[0-9]{2})[T ]([0-9]{2}):([0-9]{2}):([0-9]{2})(?:
 DAY = 86_400_000_000
 
 
+@dataclass(frozen=True)
+class Options:
+    """What a conversion lets pass: each switch on its own, or all by LENIENT_READING and STRICT_READING."""
+
+    any_boolean: bool = True  # an INTEGER other than 0 and 1 is true
+    loose_datetime: bool = True  # the wider shapes of a datetime
+    integer_as_real: bool = True  # an INTEGER in a column of floats
+
+
+LENIENT_READING, STRICT_READING = Options(), Options(False, False, False)
+
+
 def date(text: Column) -> Column:
     """A DATE: ten characters, valid in the calendar; else null."""
     return F.when(text.rlike(DATE), text.try_cast("date"))

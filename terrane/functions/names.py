@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from typing import NamedTuple
 
@@ -177,9 +178,21 @@ def crs_code(metadata: Column) -> Column:
     return F.coalesce(document, short)
 
 
+def projjson(code: int) -> dict | None:
+    """The head of a reference system's PROJJSON document: kind, name and id; None for a code that isn't known here."""
+    known = epsg_definition(code)
+    if known is None:
+        return None
+    kind = "GeographicCRS" if code in GEOGRAPHIC else "ProjectedCRS"
+    return {"$schema": "https://proj.org/schemas/v0.7/projjson.schema.json", "type": kind, "name": known.name, "id": {"authority": "EPSG", "code": code}}
+
+
 def crs_metadata(srs_id: int) -> str:
-    """Field metadata that names a reference system; {} for an undefined one."""
-    return f'{{"crs": "EPSG:{srs_id}"}}' if srs_id > 0 else "{}"
+    """Field metadata that names a reference system: its document where it is known, else its code; {} for an undefined one."""
+    if srs_id <= 0:
+        return "{}"
+    document = projjson(srs_id)
+    return json.dumps({"crs": document} if document else {"crs": f"EPSG:{srs_id}", "crs_type": "authority_code"})
 
 
 def index_status(has_table: Column, generation: Column) -> Column:

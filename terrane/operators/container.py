@@ -874,16 +874,19 @@ def partial_update(old: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return both.select(*[F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in old.columns])
 
 
-def read_value(df: DataFrame, column: str, declared: str, lenient: bool = True) -> DataFrame:
+def read_value(df: DataFrame, column: str, declared: str, options: convert.Options = convert.LENIENT_READING) -> DataFrame:
     """column of text or number as its declared type, with `<column>_error` beside it."""
     c = F.col(column)
     if declared == "DATE":
         return df.withColumn(f"{column}_error", convert.date_error(c)).withColumn(column, convert.date(c))
     if declared == "DATETIME":
-        return df.withColumn(f"{column}_error", convert.datetime_error(c, lenient)).withColumn(column, convert.datetime(c, lenient))
+        loose = options.loose_datetime
+        return df.withColumn(f"{column}_error", convert.datetime_error(c, loose)).withColumn(column, convert.datetime(c, loose))
     if declared == "BOOLEAN":
-        value = convert.boolean(c) if lenient else convert.boolean_strict(c)
+        value = convert.boolean(c) if options.any_boolean else convert.boolean_strict(c)
         return df.withColumn(f"{column}_error", F.when(c.isNotNull() & value.isNull(), "not a boolean")).withColumn(column, value)
     kind = types.spark_type(declared)
     value = c.try_cast(kind)
+    refused = isinstance(kind, T.DoubleType) and not options.integer_as_real and isinstance(df.schema[column].dataType, T.IntegralType)
+    value = F.lit(None).cast(kind) if refused else value
     return df.withColumn(f"{column}_error", F.when(c.isNotNull() & value.isNull(), F.lit(f"not {declared}"))).withColumn(column, value)

@@ -11,12 +11,15 @@ from __future__ import annotations
 import datetime
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.functions import codec
+from terrane.functions import codec, names, types
+from terrane.functions.binary import body
 from terrane.operators.shared import settled
 
 SIDECAR = ("minx", "maxx", "miny", "maxy")
@@ -117,6 +120,44 @@ class Layer:
         """Rows in id order, as a columnar read gives them."""
         return self.rows().orderBy(self.fid)
 
+    def arrow_schema(self) -> pa.Schema:
+        """The projection's Arrow schema; the geometry is a GeoArrow field of WKB with its reference system."""
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        plain = to_arrow_schema(self.rows().schema)
+        if self.geom is None or self.geom not in plain.names:
+            return plain
+        marks = {"ARROW:extension:name": "geoarrow.wkb", "ARROW:extension:metadata": names.crs_metadata(self.srs_id)}
+        at = plain.get_field_index(self.geom)
+        return plain.set(at, pa.field(self.geom, pa.binary(), metadata=marks))
+
+    def read_arrow(self, rows: int = 8192, most_bytes: int | None = None) -> Iterator[pa.RecordBatch]:
+        """Record batches in id order, of at most `rows` rows and, where a row alone isn't larger, most_bytes; geometries as WKB.
+
+        One partition at a time is in the driver's memory.
+        """
+        df = self.rows()
+        if self.geom is not None and self.geom in df.columns:
+            df = df.withColumn(self.geom, body(F.col(self.geom)))
+        schema, waiting, size = self.arrow_schema(), [], 0
+        turn = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*waiting, strict=True), schema, strict=True)], schema=schema)
+        for row in df.orderBy(self.fid).toLocalIterator(prefetchPartitions=True):
+            own = sum(len(v) if isinstance(v, (bytes, bytearray, str)) else 8 for v in row)
+            if waiting and (len(waiting) >= rows or (most_bytes is not None and size + own > most_bytes)):
+                yield turn()
+                waiting, size = [], 0
+            waiting.append(tuple(row))
+            size += own
+        if waiting:
+            yield turn()
+
+    def mistyped(self, declared: str, z: int = 2, m: int = 2) -> DataFrame:
+        """The id, geom_type and `error` of geometries that a column of the declared type, with these z and m codes, may not hold."""
+        code, dims = F.col("geom_type"), F.col("dims")
+        error = F.when(~types.type_matches(types.geometry_code(F.lit(declared)), code), "geometry type")
+        error = error.when(~(types.zm_allowed(F.lit(z), dims.isin(1, 3)) & types.zm_allowed(F.lit(m), dims.isin(2, 3))), "z or m")
+        return self.df.where(code.isNotNull()).select(self.fid, "geom_type", error.alias("error")).where("error IS NOT NULL")
+
     def page(self, after: int, size: int) -> DataFrame:
         """The next `size` rows with an id of `after` or more, in id order."""
         return self._where(F.col(self.fid) >= after).rows().orderBy(self.fid).limit(size)

@@ -7,11 +7,12 @@ import struct
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from terrane.functions import codec, grid, names, types
+from terrane.functions import codec, convert, grid, images, names, spatial, types
 from terrane.functions.binary import body
 from terrane.operators import container as c
-from terrane.operators import relations
+from terrane.operators import relations, validate
 from terrane.operators.layer import BoundingBox, Layer
 from terrane.operators.shared import scratch
 from terrane.plans import inputs as i
@@ -374,3 +375,106 @@ def file_index_state(spark: SparkSession, d: str) -> DataFrame:
     entries = con.execute("SELECT count(*) FROM rtree_points_geom").fetchone()[0]
     con.close()
     return i.texts(spark, [(sqlite.index_state(path, "points"), entries)], "state string, entries long")
+
+
+@query("st_functions", f"WITH {i.P_SQL} SELECT fid, CASE WHEN fid % 7 <> 0 AND fid % 11 <> 0 THEN x END AS minx, CASE WHEN fid % 7 <> 0 AND fid % 11 <> 0 THEN y END AS maxy, CASE WHEN fid % 7 <> 0 THEN fid % 11 = 0 END AS is_empty FROM p")
+def st_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Bounds by the functions' SQL names."""
+    from terrane.plans.layers import holes
+
+    spatial.register(spark)
+    return holes(spark, d).select("fid", F.expr("ST_MinX(geom)").alias("minx"), F.expr("ST_MaxY(geom)").alias("maxy"), F.expr("ST_IsEmpty(geom)").alias("is_empty"))
+
+
+@query("st_is_empty_body", "SELECT * FROM (VALUES (1, false), (2, true), (3, true), (4, NULL)) t(k, is_empty)")
+def st_is_empty_body(spark: SparkSession, d: str) -> DataFrame:
+    """A point, one without a finite pair whose header doesn't say so, a line of no points, and a broken blob."""
+    plain = codec.header(0, [], False, False)
+    point = lambda x: plain + struct.pack("<BIdd", 1, codec.POINT, x, x)
+    blobs = [point(1.0), point(float("nan")), plain + struct.pack("<BII", 1, codec.LINE, 0), b"GP\x00\x01"]
+    rows = i.texts(spark, [(k + 1, b.hex()) for k, b in enumerate(blobs)], "k int, blob string")
+    return rows.select("k", spatial.st_is_empty(F.unhex("blob")).alias("is_empty"))
+
+
+@query("arrow_batches", f"WITH {i.P_SQL}, b AS (SELECT fid, (row_number() OVER (ORDER BY fid) - 1) // 100 AS batch FROM p WHERE x > 0) SELECT CAST(batch AS INTEGER) AS batch, min(fid) AS lo, max(fid) AS hi, count(*) AS n FROM b GROUP BY batch")
+def arrow_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of a layer in id order, a hundred to a batch."""
+    layer = i.stored_points(spark, d).select("x > :least", least=0.0).with_columns("c_name", "geom")
+    told = [(k, b.column("fid")[0].as_py(), b.column("fid")[-1].as_py(), b.num_rows) for k, b in enumerate(layer.read_arrow(rows=100))]
+    return spark.createDataFrame(told, "batch int, lo long, hi long, n long")
+
+
+@query("arrow_fields", "SELECT * FROM (VALUES ('fid', 'int64', CAST(NULL AS VARCHAR), CAST(NULL AS INTEGER)), ('c_name', 'string', NULL, NULL), ('geom', 'binary', 'geoarrow.wkb', 4326)) t(name, type, extension, code)")
+def arrow_fields(spark: SparkSession, d: str) -> DataFrame:
+    schema = i.stored_points(spark, d).with_columns("c_name", "geom").arrow_schema()
+    mark = lambda f, key: (f.metadata or {}).get(key.encode(), b"").decode() or None
+    rows = i.texts(spark, [(f.name, str(f.type), mark(f, "ARROW:extension:name"), mark(f, "ARROW:extension:metadata")) for f in schema], "name string, type string, extension string, metadata string")
+    return rows.select("name", "type", "extension", names.crs_code(F.col("metadata")).alias("code"))
+
+
+@query("mistyped_geometries", "WITH t AS (SELECT o_orderkey AS fid, CAST(CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 8 END AS INTEGER) AS geom_type, o_orderkey % 2 AS dims FROM orders) SELECT fid, geom_type, CASE WHEN geom_type <> 2 THEN 'geometry type' ELSE 'z or m' END AS error FROM t WHERE geom_type <> 2 OR dims = 1")
+def mistyped_geometries(spark: SparkSession, d: str) -> DataFrame:
+    """Geometries that a column of flat line strings may not hold."""
+    k = F.col("o_orderkey")
+    kind = F.when(k % 3 == 0, 1).when(k % 3 == 1, 2).otherwise(8)
+    rows = i.table(spark, d, "orders").select(k.alias("fid"), kind.cast("int").alias("geom_type"), (k % 2).cast("int").alias("dims"))
+    return Layer(rows).mistyped("LINESTRING", z=0, m=0)
+
+
+@query("tile_to_xyz", "WITH a AS (SELECT o_orderkey, o_orderkey % 6 AS z, o_orderkey % 40 AS x, o_orderkey % 23 AS y FROM orders) SELECT o_orderkey, CASE WHEN ok THEN z END AS z, CASE WHEN ok THEN x END AS x, CASE WHEN ok THEN y END AS y FROM (SELECT *, x < (1 << z) AND y < (1 << z) AS ok FROM a)")
+def tile_to_xyz(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    df = i.table(spark, d, "orders").select("o_orderkey", (k % 6).alias("z"), (k % 40).alias("x"), (k % 23).alias("y"))
+    side = F.pow(F.lit(2.0), F.col("z").cast("double")).cast("long")
+    at = grid.tile_xyz(grid.WEB_MERCATOR, F.col("z"), side, side, F.col("x"), F.col("y"))
+    return df.select("o_orderkey", *[at[c_].alias(c_) for c_ in ("z", "x", "y")])
+
+
+@query("datetime_offset_out", "SELECT event_id, strftime(ts + to_minutes(CASE event_id % 3 WHEN 0 THEN 330 WHEN 1 THEN -90 ELSE 0 END), '%Y-%m-%dT%H:%M:%S.') || CASE WHEN epoch_us(ts) % 1000 = 0 THEN lpad(CAST((epoch_us(ts) // 1000) % 1000 AS VARCHAR), 3, '0') ELSE lpad(CAST(epoch_us(ts) % 1000000 AS VARCHAR), 6, '0') || '000' END || CASE event_id % 3 WHEN 0 THEN '+05:30' WHEN 1 THEN '-01:30' ELSE 'Z' END AS s FROM events")
+def datetime_offset_out(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id") % 3
+    offset = F.when(k == 0, 330).when(k == 1, -90)
+    rows = i.table(spark, d, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), offset.alias("offset"))
+    return rows.select("event_id", convert.format_micros(F.col("t"), F.col("offset")).alias("s"))
+
+
+@query("reading_options", "SELECT p_partkey, p_size % 3 <> 0 AS lenient, CASE WHEN p_size % 3 < 2 THEN p_size % 3 = 1 END AS strict, CASE WHEN p_size % 3 = 2 THEN 'not a boolean' END AS error FROM part")
+def reading_options(spark: SparkSession, d: str) -> DataFrame:
+    df = i.table(spark, d, "part").select("p_partkey", (F.col("p_size") % 3).alias("lenient"), (F.col("p_size") % 3).alias("strict"))
+    both = c.read_value(c.read_value(df, "lenient", "BOOLEAN"), "strict", "BOOLEAN", convert.STRICT_READING)
+    return both.select("p_partkey", "lenient", "strict", F.col("strict_error").alias("error"))
+
+
+IMAGES = {
+    "png": bytes.fromhex("89504E470D0A1A0A0000000D49484452") + struct.pack(">II", 256, 128),
+    "jpeg": b"\xff\xd8\xff\xe0" + struct.pack(">H", 16) + b"JFIF\0" + bytes(9) + b"\xff\xc0" + struct.pack(">HBHH", 17, 8, 300, 400) + bytes(10),
+    "webp": b"RIFF\0\0\0\0WEBPVP8X" + struct.pack("<I", 10) + bytes(4) + (511).to_bytes(3, "little") + (255).to_bytes(3, "little"),
+    "tiff": b"II*\0" + struct.pack("<IH", 8, 2) + struct.pack("<HHIHxx", 256, 3, 1, 77) + struct.pack("<HHII", 257, 4, 1, 88),
+    "gif": b"GIF89a",
+}
+
+
+@query("image_probe", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'png' WHEN 1 THEN 'jpeg' WHEN 2 THEN 'webp' WHEN 3 THEN 'tiff' END AS format, CAST(CASE p_partkey % 5 WHEN 0 THEN 256 WHEN 1 THEN 400 WHEN 2 THEN 512 WHEN 3 THEN 77 END AS BIGINT) AS width, CAST(CASE p_partkey % 5 WHEN 0 THEN 128 WHEN 1 THEN 300 WHEN 2 THEN 256 WHEN 3 THEN 88 END AS BIGINT) AS height FROM part")
+def image_probe(spark: SparkSession, d: str) -> DataFrame:
+    """Size and format of a payload of each kind that is probed, and of one that isn't."""
+    payload = F.element_at(F.array(*[F.unhex(F.lit(b.hex())) for b in IMAGES.values()]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    found = i.table(spark, d, "part").select("p_partkey", images.probes()(payload).alias("s"))
+    return found.select("p_partkey", "s.format", "s.width", "s.height")
+
+
+@query("findings_order", "SELECT severity, kind, table_name FROM (VALUES ('error', 'missing table', 'b', 0), ('error', 'missing table', 'd', 1), ('warning', 'case differs', 'C', 2), ('warning', 'unrecognised extension', 't', 3), ('advisory', 'no index', 'a', 4)) t(severity, kind, table_name, k) ORDER BY k")
+def findings_order(spark: SparkSession, d: str) -> DataFrame:
+    contents = i.texts(spark, [(x,) for x in ("a", "b", "C", "d")], "table_name string")
+    there = i.texts(spark, [("a",), ("c",)], "name string")
+    indexes = i.texts(spark, [("a", "absent", True), ("C", "current", True)], "table_name string, status string, is_consistent boolean")
+    extensions = i.texts(spark, [("acme_x", "t")], "extension_name string, table_name string")
+    return validate.validate(contents=contents, tables=there, indexes=indexes, extensions=extensions).select("severity", "kind", "table_name")
+
+
+@query("container_of_schema", "SELECT * FROM (VALUES (0, 'fid', 'bigint', CAST(NULL AS VARCHAR)), (1, 'n', 'bigint', 'MEDIUMINT'), (2, 'name', 'string', 'TEXT'), (3, 'day', 'date', 'DATE'), (4, 'shape', 'binary', 'GEOMETRY')) t(ordinal, column_name, type, declared)")
+def container_of_schema(spark: SparkSession, d: str) -> DataFrame:
+    """A table made from a Spark schema."""
+    schema = T.StructType([T.StructField("fid", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("name", T.StringType()), T.StructField("day", T.DateType()), T.StructField("shape", T.BinaryType(), True, {"crs": "4326"})])
+    box = fresh(spark)
+    box.create_table(c.TableSpec.of_schema("made", schema))
+    return c.table_schema(box, "made").where("ordinal < 5").select("ordinal", "column_name", "type", "declared")
