@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from terrane.operators.shared import settled
+
 #: A word, as Java and RE2 regular expressions read it; bytes.split() cuts at the same six characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,37 +15,22 @@ KEY_DIGITS, ROWS_A_BUCKET = 16, 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    hold_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir as the session has it.
-
-    Where it is unset, a local session gets a temporary folder; a cluster has to name one.
-    """
-    if named := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="terrane-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+def hold_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Bound the bytes of an Arrow batch, where the session doesn't: whole texts and blocks make its 10,000 rows large."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(setting, None) is None:
+        spark.conf.set(setting, size)
 
 
 def settle(df: DataFrame) -> DataFrame:
     """df written once to the shared folder and read again: its lineage ends there, so a lost executor
     costs a reread and nothing upstream runs twice.  The folder goes when the application ends, if not before."""
-    path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
-    passing(df.sparkSession, path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def passing(spark: SparkSession, path: str) -> None:
-    """Have a folder deleted when the application ends."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    files.mkdirs(folder.getParent())
-    files.deleteOnExit(folder)
+    hold_batches(df.sparkSession)
+    return settled(df)
 
 
 def forget(df: DataFrame) -> None:

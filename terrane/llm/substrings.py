@@ -41,7 +41,7 @@ WIDTH, GRAM = 13, 3
 #: Places that travel along with a super-k-mer, and windows of one super-k-mer.
 FEW, LONGEST = 4, 256
 #: Bytes of text that are cut into words at once, words that are hashed at once, bytes of super-k-mers in a batch.
-PIECE_BYTES, PIECE_WORDS, BATCH_BYTES = 1 << 19, 1 << 17, 24 << 20
+PIECE_BYTES, PIECE_WORDS, BATCH_BYTES = 1 << 19, 1 << 17, 16 << 20
 #: Bytes of text to a bin, and of super-k-mers that are judged at once.
 BIN_BYTES, SLICE_BYTES = 2 << 20, 4 << 20
 #: Documents sampled to find hot minimisers, and the least count there.
@@ -278,6 +278,7 @@ def _packer(hot, bins: int):
                         yield flush()
                         waiting.clear()
                         volume = 0
+                        pa.default_memory_pool().release_unused()
         if waiting:
             yield flush()
 
