@@ -109,6 +109,37 @@ def test_pieces_and_slices(monkeypatch):
     assert {(i, n) for i, n in Counter(i for i, _ in gone).items()} == {(i, n) for i, _, n, _ in slow(rows) if n}
 
 
+def test_a_spread_passage_makes_few_runs(spark, documents, tables, monkeypatch):
+    """Windows of hot minimisers travel singly; where their copies are parked, they make runs of a passage and not of a window."""
+    monkeypatch.setattr(substrings, "EVERY", 1)
+    monkeypatch.setattr(substrings, "HOT_LEAST", 1)
+    passage = " ".join(f"p{j}" for j in range(60))
+    own = lambda k, n: " ".join(f"w{k}x{j}" for j in range(n))
+    rows = [(k, f"{own(k, k % 90)} {passage} {own(-k, 20)}") for k in range(1, 161)]
+    docs = documents(rows).repartition(4)
+    runs = substrings.removed_runs(docs, F.lit(0).cast("long"), 200_000)
+    assert runs.count() <= 3 * len(rows)
+    out = substrings.op9_substrings(spark, tables(documents=docs)).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out), key=str) == slow(rows)
+
+
+@pytest.mark.parametrize("spread", [1, 1 << 18])
+def test_runs_at_parked_places_are_joined(monkeypatch, spread):
+    monkeypatch.setattr(substrings, "SPREAD", spread)
+    place = lambda *at: np.array(list(at), dtype=substrings.PLACE).tobytes()
+    least = lambda *ids: np.array(ids, dtype=np.int64).tobytes()
+    rows = [
+        (place((1, 0, 8), (2, 0, 7), (3, 0, 40)), least(1, 2, 1)),  # not the second window in 2
+        (place((1, 0, 10), (2, 0, 9), (2, 7, 10), (3, 0, 57)), least(1)),
+        (place((2, 0, 33), (3, 0, 56)), least(1)),  # 3: leaves a word before it
+        (place((2, 0, 22)), least(1)),
+        (place((1, 0, 0)), least(1)),
+    ]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*r, strict=True)], names=["places", "least"]) for r in (rows[:2], rows[2:])]
+    found = [(r["doc"], r["tag"], r["start"], r["n"]) for b in substrings._unpark(iter(batches)) for r in b.to_pylist()]
+    assert found == [(2, 0, 7, 39), (2, 7, 10, 13), (3, 0, 40, 15), (3, 0, 56, 14)]
+
+
 def test_words_of_several_texts():
     texts = [b"  one two", b"", b"\x0bthree\n\n four ", b"\xc3\xa9", b" \t "]
     buffer, starts, whose, place = substrings.cut_words(texts)
