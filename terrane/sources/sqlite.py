@@ -11,24 +11,27 @@ Values follow the declared types: lenient by default, option strict=true to refu
 what cannot be read is null, with the reason in the column named by option "errors", if one is given.
 Geometry columns come as stored, with sidecar columns minx, maxx, miny, maxy and geom_empty.
 
-export() writes tables of a container to one file, as the format wants it: rows go there in the order of
-their key, a partition at a time, through one connection of the driver.
+export() writes tables of a container to one file, as the format wants it: tasks write ranges of the key to files of
+their own and pack the leaves of an index, and one connection of the driver copies those, in their order, into the one.
 """
 
 from __future__ import annotations
 
 import datetime
+import itertools
 import re
 import sqlite3
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
-from terrane.functions import codec, types
+from terrane.functions import codec, ordering, types
 
-BATCH = 8192
+# Rows of a batch that is read, bytes of a piece of a file that tasks hand over.
+BATCH, PIECE = 8192, 256 << 10
 STRICT_DATETIME = re.compile(r"(\d{4})-(\d\d)-(\d\d)T(\d\d):(\d\d):(\d\d)\.(\d{3})Z", re.A)
 LENIENT_DATETIME = re.compile(r"(\d{4})-(\d\d)-(\d\d)[T ](\d\d):(\d\d):(\d\d)(?:\.(\d{1,9}))?(Z|[+-]\d\d(?::?\d\d)?)?", re.A)
 SIDECAR = [("minx", T.DoubleType()), ("maxx", T.DoubleType()), ("miny", T.DoubleType()), ("maxy", T.DoubleType()), ("geom_empty", T.BooleanType())]
@@ -407,14 +410,13 @@ def export(container, path: str, tables: list[str] | None = None) -> None:
         for r in kept:
             name = r["table_name"]
             if r["data_type"] == "tiles":
-                _fill(con, name, TILE_TABLE, container.table(name).orderBy("zoom_level", "tile_row", "tile_column"))
+                _fill(con, name, TILE_TABLE, container.table(name), ["zoom_level", "tile_row", "tile_column"])
                 continue
             spec, schema = container.state["specs"][name], container._schema_of(name)
             hidden = {n for n, _ in SIDECAR} | {"geom_type", "dims"} if spec["geometry"] else set()
             fields = [f for f in schema.fields if f.name not in hidden]
             declared = [f"{quote(f.name)} " + _declaration(f, spec) for f in fields]
-            rows = container.table(name).orderBy(spec["primary_key"]).select(*[f.name for f in fields])
-            _fill(con, name, ", ".join(declared), rows)
+            _fill(con, name, ", ".join(declared), container.table(name).select(*[f.name for f in fields]), [spec["primary_key"]])
             if spec["geometry"] and indexed(name):
                 _index(con, container, name, spec)
         con.commit()
@@ -442,32 +444,184 @@ def _put(con: sqlite3.Connection, table: str, rows: list[dict]) -> None:
 def _stored(value):
     """A value as the file stores it."""
     if isinstance(value, datetime.datetime):
+        value = value.astimezone(datetime.UTC) if value.tzinfo else value
         return value.strftime("%Y-%m-%dT%H:%M:%S.") + f"{value.microsecond // 1000:03d}Z"
     if isinstance(value, datetime.date):
         return value.isoformat()
     return bytes(value) if isinstance(value, bytearray) else int(value) if isinstance(value, bool) else value
 
 
-def _fill(con: sqlite3.Connection, table: str, columns: str, rows) -> None:
-    """Create a table and put rows there, one partition of them in memory at a time."""
+def _fill(con: sqlite3.Connection, table: str, columns: str, rows, order: list[str]) -> None:
+    """Create a table and put rows there in their order."""
     con.execute(f"CREATE TABLE {quote(table)} ({columns})")
     names = ", ".join(map(quote, rows.columns))
-    put = f"INSERT INTO {quote(table)} ({names}) VALUES ({', '.join('?' * len(rows.columns))})"
-    con.executemany(put, (tuple(map(_stored, r)) for r in rows.toLocalIterator(prefetchPartitions=True)))
+    whole = [r[1] for r in con.execute(f"PRAGMA table_info({quote(table)})")] == rows.columns  # then SQLite may copy records as they are
+    put = f"INSERT INTO main.{quote(table)} " + ("SELECT *" if whole else f"({names}) SELECT {names}") + f" FROM part.{quote(table)}" + (" ORDER BY rowid" if not whole else "")
+    _merge(con, rows.repartitionByRange(*order).sortWithinPartitions(*order), _table_part(table, columns, rows.columns), [put])
+
+
+def _table_part(table: str, columns: str, names: list[str]):
+    """A function that puts batches of rows into a file with this table."""
+
+    def write(con: sqlite3.Connection, batches: Iterator[pa.RecordBatch]) -> None:
+        con.execute(f"CREATE TABLE {quote(table)} ({columns})")
+        put = f"INSERT INTO {quote(table)} ({', '.join(map(quote, names))}) VALUES ({', '.join('?' * len(names))})"
+        for batch in batches:
+            con.executemany(put, zip(*(map(_stored, c.to_pylist()) for c in batch.columns), strict=True))
+
+    return write
+
+
+def _merge(con: sqlite3.Connection, rows, write, statements: list[str]) -> None:
+    """Rows into con: each task writes those of its partition to a file of its own, as write(file, batches) says, and the statements copy
+    what is in it, attached as `part`, in the order of the partitions.
+
+    The files go through the shared folder as rows of Parquet, so nothing of them passes through Spark's driver, and a task that is
+    run twice counts once; a file at a time is on the driver's disk.
+    """
+    import os
+    import tempfile
+
+    import pyarrow.parquet as pq
+
+    from terrane.operators.shared import scratch
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next((b for b in batches if b.num_rows), None)
+        if first is None:
+            return
+        with tempfile.TemporaryDirectory() as own:
+            made = sqlite3.connect(f"{own}/part")
+            made.execute("PRAGMA synchronous = OFF")
+            made.execute("PRAGMA journal_mode = OFF")
+            write(made, itertools.chain([first], batches))
+            made.commit()
+            made.close()
+            with open(f"{own}/part", "rb") as f:
+                while piece := f.read(PIECE):
+                    yield pa.RecordBatch.from_arrays([pa.array([piece], pa.binary())], ["piece"])
+
+    spark, folder = rows.sparkSession, scratch(rows.sparkSession, "export")
+    rows.mapInArrow(run, "piece binary").write.option("maxRecordsPerFile", 0).option("parquet.enable.dictionary", "false").option("parquet.block.size", 16 << 20).parquet(folder)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    source = hadoop(folder)
+    files = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        for name in sorted(n for n in (s.getPath().getName() for s in files.listStatus(source)) if n.startswith("part-")):
+            with tempfile.TemporaryDirectory() as own:
+                files.copyToLocalFile(False, hadoop(f"{folder}/{name}"), hadoop(f"file://{own}/pieces"), True)
+                with open(f"{own}/part", "wb") as out, pq.ParquetFile(f"{own}/pieces") as pieces:
+                    for batch in pieces.iter_batches(batch_size=16):
+                        out.writelines(p.as_py() for p in batch.column(0))
+                os.remove(f"{own}/pieces")
+                if not os.path.getsize(f"{own}/part"):
+                    continue
+                con.commit()  # nothing is attached inside a transaction
+                con.execute("ATTACH ? AS part", (f"{own}/part",))
+                for statement in statements:
+                    con.execute(statement)
+                con.commit()
+                con.execute("DETACH part")
+    finally:
+        files.delete(source, True)
 
 
 def _index(con: sqlite3.Connection, container, name: str, spec: dict) -> None:
-    """The R-tree of a layer, from its sidecar columns, and the triggers that keep it."""
-    from terrane.operators import index
+    """The R-tree of a layer, from its sidecar columns, and the triggers that keep it.
+
+    Its nodes are packed in Hilbert order: the leaves and the keys' places by the tasks, the levels above, a node for each
+    full one below, from the file itself.  The root is node 1 and the leaves follow.
+    """
+    from pyspark.sql import functions as F
 
-    tree, key = f"rtree_{name}_{spec['geometry']}", spec["primary_key"]
-    con.execute(f"CREATE VIRTUAL TABLE {quote(tree)} USING rtree(id, minx, maxx, miny, maxy)")
-    entries = index.build(container.table(name), key).orderBy("hilbert").select("id", "minx", "maxx", "miny", "maxy")
-    con.executemany(f"INSERT INTO {quote(tree)} VALUES (?, ?, ?, ?, ?)", (tuple(r) for r in entries.toLocalIterator(prefetchPartitions=True)))
+    from terrane.operators import index
+    from terrane.operators.shared import settled
+
+    key, shadow = spec["primary_key"], lambda s: quote(f"rtree_{name}_{spec['geometry']}{s}")
+    con.execute(f"CREATE VIRTUAL TABLE {shadow('')} USING rtree(id, minx, maxx, miny, maxy)")
+    ((size,),) = con.execute(f"SELECT length(data) FROM {shadow('_node')} WHERE nodeno = 1")
+    fanout = (size - ordering.NODE_HEADER) // ordering.CELL
+    entries = settled(index.packed(index.build(container.table(name), key), fanout).select("id", *(c for c, _ in SIDECAR[:4]), "hilbert", F.col("leaf").cast("long").alias("leaf")))
+    several = entries.where("leaf > 0").limit(1).count() > 0
+    places = entries.select(F.col("id").alias("rowid"), (F.col("leaf") + (2 if several else 1)).alias("nodeno"))
+    columns = "rowid INTEGER PRIMARY KEY, nodeno"
+    _merge(con, places.repartitionByRange("rowid").sortWithinPartitions("rowid"), _table_part("places", columns, places.columns), [f"INSERT INTO main.{shadow('_rowid')} SELECT * FROM part.places"])
+    leaves = entries.repartitionByRange("leaf").sortWithinPartitions("leaf", "hilbert", "id").drop("hilbert")
+    if several or entries.limit(1).count():
+        con.execute(f"DELETE FROM {shadow('_node')}")
+        _merge(con, leaves, _leaf_part(size, 2 if several else 1), [f"INSERT INTO main.{shadow('_node')} SELECT * FROM part.leaves"])
+    if several:
+        _levels(con, shadow, size)
     for statement in index_triggers(name, spec["geometry"], key).values():
         con.execute(statement)
 
 
+CELLS = np.dtype([("id", ">i8"), ("minx", ">f4"), ("maxx", ">f4"), ("miny", ">f4"), ("maxy", ">f4")])
+
+
+def _nodes(cells: np.ndarray, counts: np.ndarray, size: int, depth: int = 0) -> list[bytes]:
+    """Nodes of so many cells each, as the R-tree stores them: depth (which the root alone tells), number of cells, cells."""
+    fanout = (size - ordering.NODE_HEADER) // ordering.CELL
+    body = np.zeros((len(counts), fanout), dtype=CELLS)
+    body[np.arange(fanout) < counts[:, None]] = cells
+    heads = np.column_stack((np.full(len(counts), depth), counts)).astype(">u2")
+    rest = bytes(size - ordering.NODE_HEADER - ordering.CELL * fanout)
+    return [h.tobytes() + b.tobytes() + rest for h, b in zip(heads, body, strict=True)]
+
+
+def _leaf_part(size: int, first: int):
+    """A function that puts the leaves of rows in their order into a file; leaf 0 is node `first`."""
+
+    def write(con: sqlite3.Connection, batches: Iterator[pa.RecordBatch]) -> None:
+        con.execute("CREATE TABLE leaves (nodeno INTEGER PRIMARY KEY, data)")
+        left, numbers = np.zeros(0, dtype=CELLS), np.zeros(0, dtype=np.int64)
+
+        def put(cells: np.ndarray, numbers: np.ndarray) -> None:
+            found, counts = np.unique(numbers, return_counts=True)
+            con.executemany("INSERT INTO leaves VALUES (?, ?)", zip((found + first).tolist(), _nodes(cells, counts, size), strict=True))
+
+        for batch in batches:
+            new = np.zeros(batch.num_rows, dtype=CELLS)
+            for c in CELLS.names:
+                new[c] = batch.column(c).to_numpy(zero_copy_only=False)
+            left, numbers = np.concatenate((left, new)), np.concatenate((numbers, batch.column("leaf").to_numpy(zero_copy_only=False)))
+            whole = int(np.searchsorted(numbers, numbers[-1]))  # the last leaf may go on in the next batch
+            put(left[:whole], numbers[:whole])
+            left, numbers = left[whole:], numbers[whole:]
+        put(left, numbers)
+
+    return write
+
+
+def _levels(con: sqlite3.Connection, shadow, size: int) -> None:
+    """The levels above the leaves, nodes 2 and on: a few hundred nodes of a level at a time are in memory."""
+    fanout = (size - ordering.NODE_HEADER) // ordering.CELL
+    low, (high,), depth = 2, con.execute(f"SELECT max(nodeno) FROM {shadow('_node')}").fetchone(), 0
+    while low <= high:
+        depth += 1
+        root, above, at = high - low < fanout, high + 1, low
+        while at <= high:
+            rows = con.execute(f"SELECT data FROM {shadow('_node')} WHERE nodeno BETWEEN ? AND ? ORDER BY nodeno", (at, min(high, at + 16 * fanout - 1))).fetchall()
+            below = np.frombuffer(b"".join(r[0] for r in rows), dtype=np.uint8).reshape(-1, size)
+            held = np.ascontiguousarray(below[:, 2:4]).view(">u2").astype(np.int64)
+            inner = np.ascontiguousarray(below[:, ordering.NODE_HEADER : ordering.NODE_HEADER + ordering.CELL * fanout]).view(CELLS)
+            used, cells = np.arange(fanout) < held, np.zeros(len(below), dtype=CELLS)
+            cells["id"] = np.arange(at, at + len(below))
+            for c in CELLS.names[1:]:
+                cells[c] = np.where(used, inner[c], np.inf).min(axis=1) if c.startswith("min") else np.where(used, inner[c], -np.inf).max(axis=1)
+            counts = np.full(-(-len(cells) // fanout), fanout)
+            counts[-1] = len(cells) - fanout * (len(counts) - 1)
+            numbers = [1] if root else range(above, above + len(counts))
+            con.executemany(f"INSERT INTO {shadow('_node')} VALUES (?, ?)", zip(numbers, _nodes(cells, counts, size, depth if root else 0), strict=True))
+            parents = np.repeat(np.array(numbers), counts).tolist()
+            con.executemany(f"INSERT INTO {shadow('_parent')} VALUES (?, ?)", zip(cells["id"].tolist(), parents, strict=True))
+            above += len(counts)
+            at += len(cells)
+        if root:
+            return
+        low, high = high + 1, above - 1
+
+
 def index_state(path: str, table: str) -> str:
     """absent, current, legacy or stale: what a file's R-tree and its triggers say."""
     d = Described(path, table)

@@ -5,7 +5,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from terrane.functions import codec, grid, ordering
+from terrane.functions import binary, codec, grid, ordering
 from terrane.operators import container as c
 from terrane.operators import index, pyramid, relations, validate
 from terrane.operators.layer import BoundingBox, Layer, LayerError, fold_extent, spatial_join
@@ -386,6 +386,40 @@ def test_export_and_box(spark, places, tmp_path):
         sqlite.export(places, path)
 
 
+def test_export_sends_no_rows_to_the_driver(spark, tmp_path, monkeypatch):
+    """Tasks write the rows and pack the index; the file is whole, its R-tree well-formed on every number of levels."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def refused(self, *_, **__):
+        raise AssertionError("rows are sent to the driver")
+
+    box = c.Container.create(spark, f"{tmp_path}/many")
+    sizes = {"none": 0, "full": 51, "deep": 9000}  # no level, one, three
+    for name, n in sizes.items():
+        box.create_table(c.TableSpec(name, [c.ColumnSpec("v", "TEXT"), c.ColumnSpec("at", "DATETIME")], c.GeometrySpec("POINT", 4326)))
+        k = F.col("fid")
+        points = spark.range(n).select(F.col("id").alias("fid")).withColumn("geom", F.when(k % 10 != 7, binary.body(codec.encode_points(4326)(((k * 7919) % 3600) / 10.0 - 180, ((k * 104_729) % 1800) / 10.0 - 90))))
+        box.insert(name, points.withColumn("v", F.concat(F.lit("v"), k.cast("string"))).withColumn("at", F.timestamp_seconds(k)))
+    path = f"{tmp_path}/many.file"
+    monkeypatch.setattr(DataFrame, "toLocalIterator", refused)
+    sqlite.export(box, path)
+    monkeypatch.undo()
+    con = sqlite3.connect(path)
+    for name, n in sizes.items():
+        rows = con.execute(f"SELECT fid, v, at, geom FROM {name}").fetchall()
+        assert [r[:2] for r in rows] == [(k, f"v{k}") for k in range(n)]
+        assert [r[3] for r in rows] == [r.geom and bytes(r.geom) for r in box.table(name).orderBy("fid").collect()]
+        assert con.execute("SELECT rtreecheck(?)", (f"rtree_{name}_geom",)).fetchone() == ("ok",)
+        assert con.execute(f"SELECT count(*) FROM rtree_{name}_geom").fetchone() == (sum(k % 10 != 7 for k in range(n)),)
+        wanted = [k for k in range(n) if k % 10 != 7 and 0 <= (k * 7919) % 3600 / 10.0 - 180 <= 20.5 and -30 <= (k * 104_729) % 1800 / 10.0 - 90 <= 20]
+        assert [r[0] for r in con.execute(f"SELECT id FROM rtree_{name}_geom WHERE minx <= 20.5 AND maxx >= 0 AND miny <= 20 AND maxy >= -30 ORDER BY id")] == wanted
+        assert sqlite.index_state(path, name) == "current"
+    assert rows[60][2] == "1970-01-01T00:01:00.000Z" and con.execute("SELECT seq FROM sqlite_sequence WHERE name = 'deep'").fetchone() == (8999,)
+    con.execute("DELETE FROM rtree_deep_geom WHERE id < 4000")  # the module goes on from the packed nodes
+    con.executemany("INSERT INTO rtree_deep_geom VALUES (?, 0, 1, 0, 1)", [(k,) for k in range(3000)])
+    assert con.execute("SELECT rtreecheck('rtree_deep_geom')").fetchone() == ("ok",) and con.execute("PRAGMA integrity_check").fetchone() == ("ok",)
+
+
 def test_import(spark, file, tmp_path):
     con = sqlite3.connect(file)
     con.execute("DELETE FROM spread WHERE fid = 900")
