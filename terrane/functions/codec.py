@@ -10,6 +10,7 @@ from __future__ import annotations
 import cmath
 import math
 import struct
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -235,42 +236,146 @@ def encode_points(srs_id: int, with_envelope: bool = True):
     return run
 
 
+def _boxes(xy: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """minx, maxx, miny, maxy of runs of so many pairs, over finite pairs; inf, -inf, inf, -inf where a run has none."""
+    out = np.tile(np.array([math.inf, -math.inf, math.inf, -math.inf]), (len(counts), 1))
+    held = counts > 0
+    if held.any():
+        good = np.isfinite(xy).all(axis=1)[:, None]
+        first = (np.cumsum(counts) - counts)[held]
+        out[held, 0::2] = np.minimum.reduceat(np.where(good, xy, math.inf), first)
+        out[held, 1::2] = np.maximum.reduceat(np.where(good, xy, -math.inf), first)
+    return out
+
+
+def _headed(boxes: np.ndarray, srs_id: int, bodies: Iterable[bytes]) -> list[bytes]:
+    """Blobs of core XY bodies whose boxes are known."""
+    heads = np.empty((len(boxes), 40), dtype=np.uint8)
+    heads[:, :8] = np.frombuffer(header(srs_id, [0.0] * 4, False, False)[:8], dtype=np.uint8)
+    heads[:, 8:] = np.ascontiguousarray(boxes, dtype="<f8").view(np.uint8).reshape(-1, 32)
+    data, hollow = heads.tobytes(), header(srs_id, [], True, False)
+    return [(hollow if e else data[40 * k : 40 * k + 40]) + b for k, (e, b) in enumerate(zip((boxes[:, 0] > boxes[:, 1]).tolist(), bodies, strict=True))]
+
+
+def _lines(xy: np.ndarray, counts: np.ndarray, srs_id: int) -> list[bytes]:
+    """Blobs of lines of so many pairs each."""
+    heads = np.empty((len(counts), 9), dtype=np.uint8)
+    heads[:, :5] = np.frombuffer(struct.pack("<BI", 1, LINE), dtype=np.uint8)
+    heads[:, 5:] = counts.astype("<u4").view(np.uint8).reshape(-1, 4)
+    data, drawn, ends = heads.tobytes(), xy.tobytes(), (16 * np.cumsum(counts)).tolist()
+    bodies = (data[9 * k : 9 * k + 9] + drawn[a:b] for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False)))
+    return _headed(_boxes(xy, counts), srs_id, bodies)
+
+
 def encode_lines(srs_id: int):
-    """Arrow function: a flat list of coordinates x0, y0, x1, y1 and so on to line blobs."""
+    """Arrow function: a flat list of coordinates x0, y0, x1, y1 and so on to line blobs, a batch at once."""
 
     @F.arrow_udf(BinaryType())
     def run(flat: pa.Array) -> pa.Array:
-        out = []
-        for v in flat.to_pylist():
-            if v is None:
-                out.append(None)
+        there = np.array(flat.is_valid(), dtype=bool)
+        lists = flat.drop_null()
+        sizes = np.array(lists.value_lengths(), dtype=np.int64)
+        values = np.array(lists.flatten().cast(pa.float64()).fill_null(math.nan), dtype="<f8")
+        odd = (np.cumsum(sizes) - 1)[sizes % 2 == 1]  # a last coordinate without its pair
+        xy, counts = np.delete(values, odd).reshape(-1, 2), sizes // 2
+        blobs = iter(_lines(xy, counts, srs_id))
+        return pa.array([next(blobs) if t else None for t in there.tolist()], pa.binary())
+
+    return run
+
+
+def lines_of_runs(srs_id: int):
+    """For mapInArrow: rows of (key, x, y) in the order of their keys to (key, geom), a line for each run of equal keys through its pairs in their order."""
+
+    def starts(keys: pa.Array, before: pa.Scalar | None) -> np.ndarray:
+        """Where a run begins; the first row goes on with the one before, if they are equal."""
+        fresh = np.ones(len(keys), dtype=bool)
+        there, values = np.array(keys.is_valid(), dtype=bool), np.array(keys.fill_null(0))
+        fresh[1:] = (values[1:] != values[:-1]) | (there[1:] != there[:-1])
+        fresh[0] = before is None or before.as_py() != keys[0].as_py()
+        return np.flatnonzero(fresh)
+
+    def drawn(pending: list[pa.RecordBatch]) -> pa.RecordBatch:
+        keys, x, y = (pa.concat_arrays([b.column(k) for b in pending]) for k in range(3))
+        xy = np.column_stack([np.array(c.cast(pa.float64()).fill_null(math.nan), dtype="<f8") for c in (x, y)])
+        at = starts(keys, None)
+        lines = _lines(np.ascontiguousarray(xy), np.diff(at, append=len(xy)), srs_id)
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(at)), pa.array(lines, pa.binary())], [pending[0].schema.names[0], "geom"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pending: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            xy = np.array(v[: len(v) // 2 * 2], dtype="<f8")
-            out.append(encode(struct.pack("<BII", 1, LINE, len(xy) // 2) + xy.tobytes(), srs_id)[0])
-        return pa.array(out, pa.binary())
+            found = starts(batch.column(0), pending[-1].column(0)[-1] if pending else None)
+            last = int(found[-1]) if len(found) else -1
+            if last > 0 or (last == 0 and pending):  # the last run may go on in the next batch
+                yield drawn([*pending, batch.slice(0, last)])
+                pending = []
+            pending.append(batch.slice(max(last, 0)))
+        if pending:
+            yield drawn(pending)
 
     return run
 
 
+def _plain(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of bodies in data: which are whole little-endian XY points and lines, and of those the type, the number of pairs and where they begin."""
+    kind, pairs = np.zeros(len(starts), dtype=np.int64), np.zeros(len(starts), dtype=np.int64)
+    long = np.flatnonzero(ends - starts >= 9)
+    if len(long):
+        first = data[starts[long][:, None] + np.arange(9)]
+        codes = np.ascontiguousarray(first[:, 1:5]).view("<u4").ravel().astype(np.int64)
+        kind[long] = np.where((first[:, 0] == 1) & np.isin(codes, (POINT, LINE)), codes, 0)
+        pairs[long] = np.where(codes == POINT, 1, np.ascontiguousarray(first[:, 5:9]).view("<u4").ravel())
+    begin = starts + np.where(kind == POINT, 5, 9)
+    plain = (kind > 0) & (begin + 16 * pairs <= ends)
+    return plain, kind[plain], pairs[plain], begin[plain]
+
+
 def encode_wkb(srs_id: int):
-    """Arrow function: WKB body to blob with its sidecar columns; error instead of a blob where it is refused."""
+    """Arrow function: WKB body to blob with its sidecar columns; error instead of a blob where it is refused.
+
+    Points and lines as nearly all writers make them, little-endian and XY, are done a batch at once; any other body is walked.
+    """
 
     @F.arrow_udf(ENCODED)
     def run(body: pa.Array) -> pa.Array:
-        rows = []
-        for b in body.to_pylist():
-            row = dict.fromkeys(ENCODED.names)
-            if b is not None:
-                try:
-                    row["geom"], found = encode(b, srs_id)
-                    row |= {"geom_empty": found.empty, "geom_type": struct.unpack("<I" if b[0] else ">I", b[1:5])[0] % 1000, "dims": found.dimensions}
-                    if not found.empty:
-                        row |= dict(zip(("minx", "maxx", "miny", "maxy"), found.box, strict=True))
-                except GeometryError as e:
-                    row["error"] = str(e)
-            rows.append(row)
+        out: dict[str, list] = {n: [None] * len(body) for n in ENCODED.names}
+        there = np.flatnonzero(np.array(body.is_valid(), dtype=bool))
+        whole = body.drop_null().cast(pa.large_binary())
+        at = np.frombuffer(whole.buffers()[1], dtype=np.int64)[whole.offset : whole.offset + len(whole) + 1] if len(whole) else np.zeros(1, dtype=np.int64)
+        raw = memoryview(whole.buffers()[2] or b"") if len(whole) else memoryview(b"")
+        data = np.frombuffer(raw, dtype=np.uint8)
+        plain, kind, pairs, begin = _plain(data, at[:-1], at[1:])
+        if len(kind):
+            edges = np.zeros(len(data) + 1, dtype=np.int8)
+            held = pairs > 0
+            edges[begin[held]] += 1
+            edges[(begin + 16 * pairs)[held]] -= 1
+            xy = data[np.cumsum(edges[:-1], dtype=np.int8).view(bool)].view("<f8").reshape(-1, 2)
+            boxes = _boxes(xy, pairs)
+            bodies = (bytes(raw[a:b]) for a, b in zip(at[:-1][plain].tolist(), (begin + 16 * pairs).tolist(), strict=True))
+            empty = boxes[:, 0] > boxes[:, 1]
+            sides = [[None if e else v for e, v in zip(empty.tolist(), boxes[:, k].tolist(), strict=True)] for k in range(4)]
+            done = {"geom": _headed(boxes, srs_id, bodies), **dict(zip(BOX.names, sides, strict=True)), "geom_empty": empty.tolist(), "geom_type": kind.tolist(), "dims": [0] * len(kind)}
+            rows = there[plain].tolist()
+            for name, values in done.items():
+                column = out[name]
+                for k, v in zip(rows, values, strict=True):
+                    column[k] = v
+        for j in np.flatnonzero(~plain).tolist():
+            k, b = there[j], bytes(raw[at[j] : at[j + 1]])
+            try:
+                out["geom"][k], found = encode(b, srs_id)
+                out["geom_empty"][k], out["geom_type"][k], out["dims"][k] = found.empty, struct.unpack("<I" if b[0] else ">I", b[1:5])[0] % 1000, found.dimensions
+                if not found.empty:
+                    for name, side in zip(BOX.names, found.box, strict=True):
+                        out[name][k] = side
+            except GeometryError as e:
+                out["error"][k] = str(e)
         kinds = {DoubleType: pa.float64(), BinaryType: pa.binary(), BooleanType: pa.bool_(), IntegerType: pa.int32(), StringType: pa.string()}
-        return pa.array(rows, pa.struct([(f.name, kinds[type(f.dataType)]) for f in ENCODED.fields]))
+        return pa.StructArray.from_arrays([pa.array(out[f.name], kinds[type(f.dataType)]) for f in ENCODED.fields], ENCODED.names)
 
     return run
 

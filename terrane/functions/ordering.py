@@ -19,21 +19,30 @@ def grid_cell(value: Column, low: Column, high: Column) -> Column:
     return F.when(broken, F.lit(0)).otherwise(F.floor(share * side)).cast("long")
 
 
-def hilbert(x: Column, y: Column) -> Column:
-    """Position on the Hilbert curve of a cell (x, y) of the 2^16 grid, as an unrolled fold over the bits."""
-    state = F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), F.lit(0).cast("long").alias("d"))
+def _turns() -> list[int]:
+    """For each of four ways that the curve lies (flipped, swapped) and two bits of x and y each: 16 times the way after them, plus their four bits of the position."""
+    out = []
+    for way in range(4):
+        for bits in range(16):
+            flip, swap, at = way >> 1, way & 1, 0
+            for k in (1, 0):
+                rx, ry = (bits >> 2 + k & 1) ^ flip, (bits >> k & 1) ^ flip
+                rx, ry = (ry, rx) if swap else (rx, ry)
+                at = at * 4 + (3 * rx ^ ry)
+                if not ry:
+                    flip, swap = flip ^ rx, swap ^ 1
+            out.append((flip * 2 + swap) * 16 + at)
+    return out
 
-    def step(acc: Column, s: Column) -> Column:
-        rx, ry = (acc["x"].bitwiseAND(s) > 0).cast("long"), (acc["y"].bitwiseAND(s) > 0).cast("long")
-        quadrant = (3 * rx).bitwiseXOR(ry)
-        turned = (ry == 0) & (rx == 1)
-        u, v = F.when(turned, s - 1 - acc["x"]).otherwise(acc["x"]), F.when(turned, s - 1 - acc["y"]).otherwise(acc["y"])
-        mask = s - 1  # the bits that are left; what lies above has been used
-        u, v = u.bitwiseAND(mask), v.bitwiseAND(mask)
-        return F.struct(F.when(ry == 0, v).otherwise(u).alias("x"), F.when(ry == 0, u).otherwise(v).alias("y"), (acc["d"] + s * s * quadrant).alias("d"))
 
-    sides = F.array(*[F.lit(1 << k).cast("long") for k in range(BITS - 1, -1, -1)])
-    return F.aggregate(sides, state, step, lambda acc: acc["d"])
+def hilbert(x: Column, y: Column) -> Column:
+    """Position on the Hilbert curve of a cell (x, y) of the 2^16 grid, two bits of each at a time through a table, so that it is compiled; x and y had best be plain columns."""
+    table, way, key = F.array(*[F.lit(t) for t in _turns()]), F.lit(0).cast("long"), F.lit(0).cast("long")
+    for k in range(BITS - 2, -1, -2):
+        pair = lambda v: F.shiftright(v.cast("long"), k).bitwiseAND(3)  # noqa: E731, B023
+        found = table[way * 16 + pair(x) * 4 + pair(y)]
+        way, key = F.shiftright(found, 4), key + F.shiftleft(found.bitwiseAND(15).cast("long"), 2 * k)
+    return key
 
 
 def with_hilbert(df: DataFrame, minx: str = "minx", maxx: str = "maxx", miny: str = "miny", maxy: str = "maxy", name: str = "hilbert") -> DataFrame:
@@ -41,8 +50,8 @@ def with_hilbert(df: DataFrame, minx: str = "minx", maxx: str = "maxx", miny: st
     cx, cy = (F.col(minx) + F.col(maxx)) / 2, (F.col(miny) + F.col(maxy)) / 2
     extent = df.agg(F.min(cx).alias("_x0"), F.max(cx).alias("_x1"), F.min(cy).alias("_y0"), F.max(cy).alias("_y1"))
     both = df.join(F.broadcast(extent))
-    key = hilbert(grid_cell(cx, F.col("_x0"), F.col("_x1")), grid_cell(cy, F.col("_y0"), F.col("_y1")))
-    return both.withColumn(name, key).drop("_x0", "_x1", "_y0", "_y1")
+    both = both.withColumn("_hx", grid_cell(cx, F.col("_x0"), F.col("_x1"))).withColumn("_hy", grid_cell(cy, F.col("_y0"), F.col("_y1")))
+    return both.withColumn(name, hilbert(F.col("_hx"), F.col("_hy"))).drop("_x0", "_x1", "_y0", "_y1", "_hx", "_hy")
 
 
 def round_down(value: Column) -> Column:

@@ -439,11 +439,19 @@ class Container:
             if values.groupBy(c).count().where("count > 1").limit(1).count() or values.join(old.select(c), c, "left_semi").limit(1).count():
                 raise ValueError(f"{c} repeats")
 
-    def _put(self, name: str, rows: DataFrame, gone: DataFrame | None, key: list[str], specs: dict | None = None) -> int:
-        """Add rows, in place of those of older parts whose keys are in gone, as one commit; how many were added."""
+    def _put(self, name: str, rows: DataFrame, gone: DataFrame | None, key: list[str], specs: dict | None = None, fresh: bool = False) -> int:
+        """Add rows, in place of those of older parts whose keys are in gone, as one commit; how many were added.
+
+        fresh: ValueError for a key that is there already or comes twice, as the part that was written tells.
+        """
         part, delete = self._staged(name, rows), None
         try:
             new = self._part(name, part)
+            if fresh:
+                ids = new.select(*key)
+                self._once(ids, *key)
+                if self.state["tables"][self._named(name)]["parts"] and ids.join(self.table(name).select(*key), key, "left_semi").limit(1).count():
+                    raise ValueError(f"{key[0]} repeats")
             if self._spec(name)["unique"]:
                 old = self.table(name)
                 self._check_unique(name, new, old if gone is None else old.join(gone, key, "left_anti"))
@@ -463,16 +471,10 @@ class Container:
     def insert(self, name: str, rows: DataFrame, constraints: bool = False) -> int:
         """Add rows; ids are given or follow the largest.  ValueError for an id that is there already or comes twice."""
         key, new = self._spec(name)["primary_key"], self._prepared(name, rows, constraints)
-        old = self.table(name)
         if key not in rows.columns:
-            last = old.agg(F.coalesce(F.max(key), F.lit(0))).first()[0]
+            last = self.table(name).agg(F.coalesce(F.max(key), F.lit(0))).first()[0]
             new = next_fids(new, last, key)
-        else:
-            ids = rows.select(key)
-            self._once(ids, key)
-            if self.state["tables"][self._named(name)]["parts"] and ids.join(old.select(key), key, "left_semi").limit(1).count():
-                raise ValueError(f"{key} repeats")
-        return self._put(name, new, None, [key])
+        return self._put(name, new, None, [key], fresh=key in rows.columns)
 
     write_all = insert
 

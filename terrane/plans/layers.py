@@ -53,9 +53,10 @@ LINES = """l AS (SELECT l_orderkey AS fid, min(l_quantity) AS minx, max(l_quanti
 
 def order_lines(spark: SparkSession, d: str) -> DataFrame:
     """One line for each order, its vertices (quantity, line number)."""
-    vertices = i.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array("l_quantity", F.col("l_linenumber").cast("double")).alias("v"))
-    flat = vertices.groupBy(F.col("l_orderkey").alias("fid")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "v"))), lambda s: s["v"])).alias("flat"))
-    return flat.select("fid", binary.body(codec.encode_lines(0)(F.col("flat"))).alias("geom"))
+    lines = i.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("fid"), "l_quantity", F.col("l_linenumber").cast("double").alias("at"))
+    runs = lines.repartition("fid").sortWithinPartitions("fid", "at", "l_quantity")
+    drawn = runs.mapInArrow(codec.lines_of_runs(0), f"fid {lines.schema['fid'].dataType.simpleString()}, geom binary")
+    return drawn.select("fid", binary.body(F.col("geom")).alias("geom"))
 
 
 @query("bbox_lines", f"WITH {LINES} SELECT fid, minx, maxx, miny, maxy FROM l WHERE minx <= 8 AND maxx >= 3 AND miny <= 2 AND maxy >= 2")

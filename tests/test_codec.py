@@ -1,6 +1,7 @@
 import math
 import struct
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -125,3 +126,36 @@ def test_malformed_blobs_are_data_not_errors(spark):
     assert [r.e for r in df.select(codec.envelopes()(F.col("b")).alias("e")).collect()] == [None] * 3
     enc = df.select(codec.encode_wkb(0)(F.col("b")).alias("e")).collect()
     assert all(r.e.geom is None and r.e.error for r in enc)
+
+
+def test_plain_bodies_are_encoded_without_a_walk(monkeypatch):
+    """Points and lines of a batch at once give what the walk gives, beside bodies that are walked or refused."""
+    nan, inf = math.nan, math.inf
+    plain = [line([]), line([(1, 3), (2, -4)]), line([(nan, 1), (5, 6)]), line([(inf, 1)]), line([(0, 0)]) + b"trailing", struct.pack("<BIdd", 1, 1, 7.5, 8), struct.pack("<BIdd", 1, 1, nan, nan), None]
+    odd = [b"", b"\1\2", line([(1, 2)])[:-1], line([(1, 2)], ">"), line([(1, 2, 3)], "<", 1), struct.pack("<BII", 1, 2, 2**32 - 1), struct.pack("<BII", 1, 4, 0)]
+    for bodies in (plain, odd, plain + odd, odd[::-1] + plain[::-1], []):
+        got = codec.encode_wkb(4326).func(pa.array([None, *bodies], pa.binary()).slice(1)).to_pylist()
+        for b, r in zip(bodies, got, strict=True):
+            try:
+                blob, found = codec.encode(b, 4326) if b is not None else (None, None)
+            except codec.GeometryError as e:
+                assert r["error"] == str(e) and r["geom"] is None
+                continue
+            assert (r["geom"], r["error"], r["geom_empty"]) == (blob, None, found and found.empty)
+            assert [r[c] for c in ("minx", "maxx", "miny", "maxy")] == (found.box if found and not found.empty else [None] * 4)
+    monkeypatch.setattr(codec, "scan", lambda _: pytest.fail("walked"))
+    codec.encode_wkb(4326).func(pa.array(plain, pa.binary()))
+    codec.encode_lines(0).func(pa.array([[1.0, 2.0, 3.0], [], None, [None, 1.0]], pa.list_(pa.float64())))
+
+
+@pytest.mark.parametrize("rows", [1, 2, 3, 7, 100])
+def test_lines_of_runs(rows):
+    """Runs of keys that batches of any size cut, among them a null key and one that fills several batches."""
+    keys = [None, None, 1, 2, 2, *[3] * 9, 4, 0, 0]
+    table = pa.table({"fid": pa.array(keys, pa.int64()), "x": [float(k) for k in range(len(keys))], "y": pa.array([None if k == 3 else -1.0 - k for k in range(len(keys))])})
+    got = [(r["fid"], r["geom"]) for b in codec.lines_of_runs(0)(iter(table.to_batches(max_chunksize=rows))) for r in b.to_pylist()]
+    want = []
+    for key in (None, 1, 2, 3, 4, 0):
+        own = [k for k, v in enumerate(keys) if v == key]
+        want.append((key, codec.encode(line([(k, math.nan if k == 3 else -1 - k) for k in own]), 0)[0]))
+    assert got == want

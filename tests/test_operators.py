@@ -1,6 +1,7 @@
 import random
 import sqlite3
 import struct
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -420,6 +421,45 @@ def test_export_sends_no_rows_to_the_driver(spark, tmp_path, monkeypatch):
     assert con.execute("SELECT rtreecheck('rtree_deep_geom')").fetchone() == ("ok",) and con.execute("PRAGMA integrity_check").fetchone() == ("ok",)
 
 
+def test_an_insert_makes_its_rows_once(spark, tmp_path):
+    """Keys are tested on the part that was written, not on rows that are made a second time; a refused part leaves nothing."""
+    marks = tmp_path / "marks"
+    marks.mkdir()
+
+    def marked(batches):
+        (marks / uuid.uuid4().hex).touch()
+        yield from batches
+
+    box = c.Container.create(spark, f"{tmp_path}/once")
+    box.create_table(c.TableSpec("points", [], c.GeometrySpec("POINT", 4326)))
+    rows = lambda low, high: spark.range(low, high, 1, 1).selectExpr("id AS fid").withColumn("geom", binary.body(codec.encode_points(4326)(F.lit(1.0), F.lit(2.0)))).mapInArrow(marked, "fid long, geom binary")
+    assert box.insert("points", rows(0, 50)) == 50 and len(list(marks.iterdir())) == 1
+    version = box.state["version"]
+    for bad in (rows(49, 60), rows(60, 70).union(rows(69, 71))):
+        with pytest.raises(ValueError, match="fid repeats"):
+            box.insert("points", bad)
+    assert box.state["version"] == version and box.table("points").count() == 50 and len([p for p in (tmp_path / "once").iterdir() if p.name.startswith("points")]) == 1
+
+
+def test_hilbert_keys_are_compiled(spark):
+    """The table gives what the fold over single bits gives, with no lambda in the plan."""
+
+    def fold(x: int, y: int) -> int:
+        at = 0
+        for s in (1 << k for k in range(15, -1, -1)):
+            rx, ry = int(x & s > 0), int(y & s > 0)
+            at += s * s * (3 * rx ^ ry)
+            if not ry:
+                x, y = (s - 1 - x, s - 1 - y) if rx else (x, y)
+                x, y = y & (s - 1), x & (s - 1)
+        return at
+
+    rnd = random.Random(3)
+    cells = [(0, 0), (65535, 0), (0, 65535), (65535, 65535), *((rnd.randrange(1 << 16), rnd.randrange(1 << 16)) for _ in range(500))]
+    df = spark.createDataFrame(cells, "x long, y long").select("x", "y", ordering.hilbert(F.col("x"), F.col("y")).alias("key"))
+    assert all(r.key == fold(r.x, r.y) for r in df.collect()) and "lambda" not in df._jdf.queryExecution().toString()
+
+
 def test_import(spark, file, tmp_path):
     con = sqlite3.connect(file)
     con.execute("DELETE FROM spread WHERE fid = 900")
