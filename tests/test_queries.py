@@ -89,3 +89,11 @@ def test_no_exchange_to_one_partition_of_rows(spark, name):
     for at in [k for k in range(len(plan)) if plan.startswith("Exchange SinglePartition", k)]:
         below = plan[at:].split("\n")[1]
         assert "HashAggregate" in below or "Window" in below or "Project" in below, below
+
+
+@pytest.mark.parametrize("name", ["file_index_state"])
+def test_a_file_is_written_without_rows_at_the_driver(spark, monkeypatch, name):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    monkeypatch.setattr(DataFrame, "toLocalIterator", lambda *_, **__: pytest.fail("rows are sent to the driver"))
+    assert __spark_entry__.queries()[name](spark, FOLDER).first().state == "current"
